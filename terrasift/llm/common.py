@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
@@ -51,3 +51,26 @@ def written(df: DataFrame, path: str | None = None, partition_by: list[str] | No
 def lower_words(text: str) -> list[bytes]:
     """White-space separated words in UTF-8, A-Z in lower case."""
     return text.encode("utf-8", "surrogatepass").translate(_SPACES).split()
+
+
+def running_total(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds ``name``, the sum of ``value`` over all rows before, ``part`` and ``rank``, a row's place within its part.
+
+    Ranges of rows are summed each by itself; the sums of ranges, one for each partition, are added up by the driver.
+    """
+    spark = rows.sparkSession
+    dealt = written(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("part").orderBy(*order)
+    sums = dealt.groupBy("part").agg(F.sum(value).alias("total")).orderBy("part").collect()
+    before, starts = 0, []
+    for part, total in sums:
+        starts.append((part, before))
+        before += total
+    offsets = spark.createDataFrame(starts, "part int, offset long")
+    return (
+        dealt.withColumn(name, F.sum(value).over(inside) - F.col(value))
+        .withColumn("rank", F.row_number().over(inside) - 1)
+        .join(F.broadcast(offsets), "part")
+        .withColumn(name, F.col(name) + F.col("offset"))
+        .drop("offset")
+    )

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasift.llm.byte_bpe import bpe_decode, bpe_encode, broadcast_tables
-from terrasift.llm.common import read_table
+from terrasift.llm.common import read_table, shared_dir
+from terrasift.llm.content_store import read_digests, write_store
 from terrasift.llm.exact_dedup import exact_dedup
+from terrasift.llm.license_scan import license_scan
 
 #: Where the vocabulary files are; never copied into the repository.
 TOKENIZERS = os.environ.get("TERRASIFT_TOKENIZERS", os.path.dirname(public_tokenizers.__file__))
@@ -27,6 +29,13 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op5_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(f"{TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8") as file:
+        definition = file.read()
+    write_store(read_table(spark, sf_dir, "documents"), definition, path := shared_dir(spark))
+    return read_digests(spark, path)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = broadcast_tables(spark, f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN)
     coded = bpe_decode(bpe_encode(read_table(spark, sf_dir, "documents"), tables), tables)
@@ -39,5 +48,15 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op7_byte_bpe": op7_byte_bpe}
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_scan(read_table(spark, sf_dir, "documents")).drop("spans")
+    return scanned.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op5_content_store": op5_content_store,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_license_scan": op8_license_scan,
+}
 ORACLES = {"op1_exact_dedup": OP1_SQL}
