@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasift.llm.byte_bpe import bpe_decode, bpe_encode, broadcast_tables
-from terrasift.llm.common import read_table, shared_dir
+from terrasift.llm.common import fold, read_table, shared_dir
 from terrasift.llm.content_store import read_digests, write_store
+from terrasift.llm.decontamination import find_leaks
 from terrasift.llm.exact_dedup import exact_dedup
+from terrasift.llm.language_id import language_id
 from terrasift.llm.license_scan import license_scan
+from terrasift.llm.minhash_join import near_duplicates
+from terrasift.llm.toxicity import toxicity
 
 #: Where the vocabulary files are; never copied into the repository.
 TOKENIZERS = os.environ.get("TERRASIFT_TOKENIZERS", os.path.dirname(public_tokenizers.__file__))
@@ -29,6 +33,23 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = language_id(docs, training=fold(docs["doc_id"], 4) != 2)
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", F.size("runs").alias("n_runs"))
+
+
+def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    found = toxicity(docs, labels, training=lambda doc_id: fold(doc_id, 4) != 2)
+    held_out = (fold(F.col("doc_id"), 4) == 2).alias("held_out")
+    return found.select("doc_id", held_out, "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(f"{TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8") as file:
         definition = file.read()
@@ -53,10 +74,18 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
+def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_crf_language_id": op3_crf_language_id,
+    "op4_toxic_segments": op4_toxic_segments,
     "op5_content_store": op5_content_store,
+    "op6_decontamination": op6_decontamination,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_license_scan": op8_license_scan,
+    "op10_minhash_join": op10_minhash_join,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL}
