@@ -14,8 +14,10 @@ from terrasift.llm.content_store import read_digests, write_store
 from terrasift.llm.decontamination import find_leaks
 from terrasift.llm.exact_dedup import exact_dedup
 from terrasift.llm.language_id import language_id
+from terrasift.llm.katz_lm import katz_scores
 from terrasift.llm.license_scan import license_scan
 from terrasift.llm.minhash_join import near_duplicates
+from terrasift.llm.token_files import token_counts
 from terrasift.llm.toxicity import toxicity
 
 #: Where the vocabulary files are; never copied into the repository.
@@ -33,6 +35,16 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def tokenizer_file(name: str) -> str:
+    with open(f"{TOKENIZERS}/{name}", encoding="utf-8") as file:
+        return file.read()
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end_id = 50256  # <|endoftext|>
+    return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id, shared_dir(spark))
+
+
 def op3_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = language_id(docs, training=fold(docs["doc_id"], 4) != 2)
@@ -51,9 +63,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with open(f"{TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8") as file:
-        definition = file.read()
-    write_store(read_table(spark, sf_dir, "documents"), definition, path := shared_dir(spark))
+    write_store(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), path := shared_dir(spark))
     return read_digests(spark, path)
 
 
@@ -74,18 +84,26 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = katz_scores(docs, training=fold(docs["doc_id"], 7) != 2)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_token_counts": op2_token_counts,
     "op3_crf_language_id": op3_crf_language_id,
     "op4_toxic_segments": op4_toxic_segments,
     "op5_content_store": op5_content_store,
     "op6_decontamination": op6_decontamination,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_license_scan": op8_license_scan,
+    "op9_katz_backoff": op9_katz_backoff,
     "op10_minhash_join": op10_minhash_join,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL}
