@@ -16,14 +16,16 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from terrasift.llm.common import doc_texts
 
 #: Entries of a worker's memories; they start anew when full.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -68,6 +70,8 @@ class ByteBpe:
             self.finder.add_word(self.token[rank].decode("latin-1")[::-1], rank)
         self.finder.make_automaton()
         self.length = {rank: len(token) for rank, token in self.token.items()}
+        #: Entries that merging reaches: a piece that is one of them is merged to it.
+        self.whole = {self.token[rank]: rank for rank in self.halves}
         self.shorter: dict[int, int] = {}
         self.fitting: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
@@ -101,31 +105,37 @@ class ByteBpe:
                 bound, a = a, self.halves[a][1]
             else:  # of equal ranks the left one is merged first
                 bound, b = b + 1, self.halves[b][0]
-        if len(self.fitting) >= REMEMBERED:
+        if len(self.fitting) >= REMEMBERED // 2:
             self.fitting.clear()
         self.fitting[left, right] = answer
         return answer
 
     def encode_piece(self, piece: bytes) -> list[int]:
         n = len(piece)
-        longest = [-1] * n
-        length, fits, prefix = self.length, self.fits, self.prefix
-        for end, rank in self.finder.iter(piece.decode("latin-1")[::-1]):
-            at = n - 1 - end
-            if longest[at] < 0 or length[rank] > length[longest[at]]:
-                longest[at] = rank
-        if n and min(longest) < 0:
+        whole = self.whole.get(piece)
+        if whole is not None:
+            return [whole]
+        length, prefix, fitting = self.length, self.prefix, self.fitting
+        # of the matches that end at a place the finder gives the longest first: reversed, it is the one that stays
+        longest = dict([*self.finder.iter(piece.decode("latin-1")[::-1])][::-1])
+        if len(longest) < n:
             raise ValueError("the vocabulary lacks a byte of the text")
         out, at, dead = [], 0, bytearray(n + 1)
-        rank = longest[0] if n else -1
+        rank = longest[n - 1] if n else -1
         while at < n:
             last = out[-1] if out else -1
-            while rank >= 0 and (dead[at + length[rank]] or (last >= 0 and not fits(last, rank))):
+            while rank >= 0:
+                if not dead[at + length[rank]]:
+                    if last < 0:
+                        break
+                    fit = fitting.get((last, rank))
+                    if self.fits(last, rank) if fit is None else fit:
+                        break
                 rank = prefix(rank)
             if rank >= 0:
                 out.append(rank)
                 at += length[rank]
-                rank = longest[at] if at < n else -1
+                rank = longest[n - 1 - at] if at < n else -1
             else:  # nothing fits here: this place can't be a border
                 dead[at] = 1
                 rank = out.pop()
@@ -146,20 +156,38 @@ class ByteBpe:
             out.append(ids)
         return b"".join(out)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
 
+class Decoder:
+    """The entries' bytes one after another, to be picked by ranges."""
 
-_built: dict[int, ByteBpe] = {}
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.size[rank] = len(token)
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
+        self.pool = np.zeros(self.start[-1], np.uint8)
+        for token, rank in ranks.items():
+            self.pool[self.start[rank] : self.start[rank + 1]] = np.frombuffer(token, np.uint8)
 
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes of ids between ``ends``, as an array of binary values."""
+        sizes = self.size[ids]
+        behind = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.arange(behind[-1]) + np.repeat(self.start[ids] - behind[:-1], sizes)
+        offsets = pa.array(behind[ends].astype(np.int32)).buffers()[1]
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, offsets, pa.py_buffer(self.pool[places])])
 
-def _worker(tables: Broadcast, key: int) -> ByteBpe:
-    """This worker's encoder, built once."""
-    if key not in _built:
+
+_built: dict[tuple[type, int], ByteBpe | Decoder] = {}
+
+
+def _worker(kind: type, tables: Broadcast, key: int) -> ByteBpe | Decoder:
+    """This worker's encoder or decoder, built once."""
+    if (kind, key) not in _built:
         _built.clear()
         ranks, pattern, halves = tables.value
-        _built[key] = ByteBpe(ranks, pattern, halves)
-    return _built[key]
+        _built[kind, key] = ByteBpe(ranks, pattern, halves) if kind is ByteBpe else Decoder(ranks)
+    return _built[kind, key]
 
 
 def broadcast_tables(spark: SparkSession, path: str, pattern: str) -> Broadcast:
@@ -175,7 +203,7 @@ def bpe_encode(docs: DataFrame, tables: Broadcast) -> DataFrame:
     key = tables.id if hasattr(tables, "id") else id(tables)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _worker(tables, key)
+        bpe = _worker(ByteBpe, tables, key)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -193,13 +221,15 @@ def bpe_decode(coded: DataFrame, tables: Broadcast) -> DataFrame:
     key = tables.id if hasattr(tables, "id") else id(tables)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _worker(tables, key)
+        decoder = _worker(Decoder, tables, key)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                texts = [None if ids is None else bpe.decode(ids) for ids in batch.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
-
-    from pyspark.sql import types as T
+                column = batch.column("ids")
+                sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                texts = decoder.decode(column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)]))
+                if column.null_count:
+                    texts = pc.if_else(column.is_valid(), texts, None)
+                yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
     return coded.mapInArrow(decode, T.StructType([*coded.schema.fields, T.StructField("decoded", T.BinaryType())]))
