@@ -4,11 +4,10 @@ A document's five-word shingles become a signature of COORDINATES minima. Two se
 coordinates on average, and in fewer than MATCHES with a chance of 1 in 70,000. Documents are posted under
 (coordinate, value) pairs. Prefix merging: of two signatures that agree MATCHES times, the COORDINATES - MATCHES + 1
 posts that come first in any common order share one, so only those are posted, the rarest first. Skip merging: a pair
-is counted in the first post that both have, and not at all once other links have joined the two.
+is counted in the first post that both have, and not at all once confirmed links have joined the two.
 
-Within a post documents are compared in blocks of bounded size. The first round proposes for each document its best
-match in a post, the second its best matches outside its component so far, and the last all pairs of different
-components that are left. Links are confirmed on full sets by DataFrame functions. Equal sets are one node
+Within a post documents are compared in blocks of bounded size. What has a match there meets again with its full sets,
+which confirm the links. A block gives as many links as join its members, not all pairs of them. Equal sets are one node
 throughout, so copies cost nothing.
 """
 
@@ -123,103 +122,119 @@ class Group:
     def __init__(self, columns: dict[str, list], coord: int):
         self.node = columns["node"]
         self.n = np.array(columns["n"], np.int64)
-        self.root = columns["root"]
-        codes = {root: i for i, root in enumerate(dict.fromkeys(self.root))}
-        self.part = np.array([codes[root] for root in self.root])
         self.side = np.array(columns["side"])
         self.mask = np.array(columns["mask"], np.int64).view(np.uint64)
         self.sig = np.frombuffer(b"".join(columns["sig"]), np.uint32).reshape(-1, COORDINATES)
+        self.sets = columns.get("shingles")
         self.bit = np.uint64(1) << np.uint64(coord)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Members i < j that agree often enough, of like size and different components, first met in this post."""
-        found = []
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Members i < j of like size that agree often enough and first meet in this post, the most alike first."""
+        found = [(np.zeros(0, np.int64),) * 3]
         weights = np.uint64(1) << np.arange(COORDINATES, dtype=np.uint64)
         for i in range(len(self.n) - 1):
             rest = slice(i + 1, None)
             small, large = np.minimum(self.n[i], self.n[rest]), np.maximum(self.n[i], self.n[rest])
-            js = np.flatnonzero((100 * small >= SIMILAR * large) & (self.part[rest] != self.part[i]) & ((self.side[rest] != self.side[i]) | (self.side[rest] == 0)))
-            if not len(js):
-                continue
-            js += i + 1
+            across = (self.side[rest] != self.side[i]) | (self.side[rest] == 0)
+            js = np.flatnonzero((100 * small >= SIMILAR * large) & across) + i + 1
             same = self.sig[js] == self.sig[i]
             n = same.sum(1)
             js, same, n = js[n >= MATCHES], same[n >= MATCHES], n[n >= MATCHES]
-            common = (same * weights).sum(1, dtype=np.uint64) & self.mask[js] & self.mask[i]
-            first = common & (~common + np.uint64(1)) == self.bit
-            found.append((np.full(first.sum(), i), js[first], n[first]))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            if len(js):
+                common = (same * weights).sum(1, dtype=np.uint64) & self.mask[js] & self.mask[i]
+                first = common & (~common + np.uint64(1)) == self.bit
+                found.append((np.full(first.sum(), i), js[first], n[first]))
+        i, j, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(-n, kind="stable")
+        return i[order], j[order]
+
+    def links(self) -> list[tuple[int, int]]:
+        """Pairs whose full sets are similar, without those that others have joined already."""
+        root = list(range(len(self.n)))
+        out = []
+        for i, j in zip(*(x.tolist() for x in self.pairs()), strict=True):
+            a, b = i, j
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            while root[b] != b:
+                root[b] = b = root[root[b]]
+            if a != b:
+                inter = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+                if 100 * inter >= SIMILAR * (self.n[i] + self.n[j] - inter):
+                    root[b] = a
+                    out.append((i, j))
+        return out
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, Group]]:
+    """((key, block, coord), members) of blocks with two members at least; a block's rows follow each other."""
+    held: dict[str, list] = {name: [] for name in names}
+    last = None
+    for batch in batches:
+        columns = {name: batch.column(name).to_pylist() for name in names if name != "shingles"}
+        if "shingles" in names:
+            lists = batch.column("shingles")
+            flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+            columns["shingles"] = np.split(flat, ends[:-1])
+        key = list(zip(*(batch.column(name).to_pylist() for name in ("key", "block", "coord")), strict=True))
+        starts = [i for i in range(len(key)) if i == 0 or key[i] != key[i - 1]]
+        for start, end in zip(starts, [*starts[1:], len(key)], strict=True):
+            if key[start] != last:
+                if len(held["n"]) > 1:
+                    yield last, Group(held, last[2])
+                held, last = {name: [] for name in names}, key[start]
+            for name in names:
+                held[name] += list(columns[name][start:end])
+    if len(held["n"]) > 1:
+        yield last, Group(held, last[2])
+
+
+def by_block(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "node")
+
+
+MEMBER = "key long, block long, coord int, side int, mask long, node binary"
+
+
+def matched(posts: DataFrame) -> DataFrame:
+    """The members of each block that agree often enough with another one there.
+
+    ``posts`` has key, block, coord, side, mask, node, n, sig.
+    """
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, block, coord), group in groups_of(batches, ["node", "n", "side", "mask", "sig"]):
+            at = np.unique(np.concatenate(group.pairs()))
+            if len(at):
+                same = [pa.array([x] * len(at), kind) for x, kind in ((key, pa.int64()), (block, pa.int64()), (coord, pa.int32()))]
+                own = [pa.array(group.side[at], pa.int32()), pa.array(group.mask[at].view(np.int64)), pa.array([group.node[i] for i in at], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*same, *own], ["key", "block", "coord", "side", "mask", "node"])
 
-def best_of(i: np.ndarray, j: np.ndarray, n: np.ndarray, top: int) -> np.ndarray:
-    """Places of the pairs that are among the ``top`` of either member."""
-    keep = np.zeros(len(i), bool)
-    for member in (i, j):
-        order = np.lexsort((-n, member))
-        ranked = member[order]
-        start = np.maximum.accumulate(np.where(np.r_[True, ranked[1:] != ranked[:-1]], np.arange(len(ranked)), 0)) if len(ranked) else order
-        keep[order[np.arange(len(ranked)) - start < top]] = True
-    return keep
+    return by_block(posts).mapInArrow(found, MEMBER)
 
 
-def proposals(posts: DataFrame, top: int | None) -> DataFrame:
-    """a, b: pairs of nodes worth a look; with ``top``, the best of each member in each post only.
+def confirmed(members: DataFrame) -> DataFrame:
+    """u, v: links between members of blocks, by their full sets. ``members`` also has n, sig, shingles."""
 
-    ``posts`` has key, block, coord, node, mask, n, sig, root, side. Rows of a block follow each other in a partition.
-    """
-    names = ["node", "n", "root", "side", "mask", "sig"]
-
-    def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {name: [] for name in names}
-        last, coord = None, 0
-
-        def finish() -> pa.RecordBatch | None:
-            group = Group(held, coord)
-            if len(group.n) < 2 or (group.part == group.part[0]).all():
-                return None
-            i, j, n = group.pairs()
-            if top is not None and len(i):
-                keep = best_of(i, j, n, top)
-                i, j = i[keep], j[keep]
-            a = [min(group.node[x], group.node[y]) for x, y in zip(i, j, strict=True)]
-            b = [max(group.node[x], group.node[y]) for x, y in zip(i, j, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"]) if a else None
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groups_of(batches, ["node", "n", "side", "mask", "sig", "shingles"]):
+            if pairs := group.links():
+                yield pa.RecordBatch.from_arrays([pa.array([group.node[p[k]] for p in pairs], pa.binary()) for k in (0, 1)], ["u", "v"])
 
-        for batch in batches:
-            columns = {name: batch.column(name).to_pylist() for name in [*names, "key", "block", "coord"]}
-            key = list(zip(columns["key"], columns["block"], strict=True))
-            for i in range(batch.num_rows):
-                if key[i] != last:
-                    if len(held["n"]) > 1 and (out := finish()):
-                        yield out
-                    held = {name: [] for name in names}
-                    last, coord = key[i], columns["coord"][i]
-                for name in names:
-                    held[name].append(columns[name][i])
-        if len(held["n"]) > 1 and (out := finish()):
-            yield out
-
-    dealt = posts.repartition("key", "block").sortWithinPartitions("key", "block", "node")
-    return dealt.mapInArrow(proposed, "a binary, b binary").distinct()
-
-
-def blocked(posts: DataFrame, crossing: bool) -> DataFrame:
-    """Adds ``block`` and ``side``. A post of more than BLOCK documents is cut into blocks of about half that size.
-
-    With ``crossing`` any two blocks also meet: as a block of their own, whose two sides are compared.
+    return by_block(members).mapInArrow(found, "u binary, v binary")
+
+
+def blocked(posts: DataFrame) -> DataFrame:
+    """Adds ``block`` and ``side``. A post of more than BLOCK documents is cut into parts, any two of which meet.
+
+    A block of two parts compares the members of one side with those of the other.
     """
-    count = F.ceil(F.col("posted") / (BLOCK // 2)).cast("int")
-    own = F.when(F.col("posted") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), count).cast("int"))
-    rows = posts.withColumn("own", own).withColumn("blocks", F.when(F.col("posted") <= BLOCK, F.lit(1)).otherwise(count))
-    if not crossing:
-        return rows.withColumn("block", F.col("own").cast("long")).withColumn("side", F.lit(0)).drop("own", "blocks")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("*", other)
+    count = F.when(F.col("posted") <= BLOCK, 1).otherwise(F.ceil(F.col("posted") / (BLOCK // 2))).cast("int")
+    rows = posts.withColumn("parts", count).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     low, high = F.least("own", "other").cast("long"), F.greatest("own", "other").cast("long")
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    return rows.withColumn("block", low * F.col("blocks") + high).withColumn("side", side).drop("own", "blocks", "other")
+    return rows.withColumn("block", low * F.col("parts") + high).withColumn("side", side).drop("own", "parts", "other")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -240,15 +255,6 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return chosen.mapInArrow(listed, "node binary, shingles array<long>").dropDuplicates(["node"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar."""
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("inter", F.size(F.array_intersect("of_a", "of_b")))
-    union = F.size("of_a") + F.size("of_b") - F.col("inter")
-    return both.filter(100 * F.col("inter") >= SIMILAR * union).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
@@ -262,21 +268,12 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     nodes = written(nodes.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
     posts = prefix_posts(nodes, frequent_keys(nodes))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("posted")).filter("posted > 1")
-    posts = written(posts.join(shared, "key"))
-    met = posts.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    sets = written(full_sets(docs, written(met), width))
-    posts = written(posts.join(nodes.select("node", "n", "sig"), "node"))
-    kind = "a binary, b binary"
-    links, tested, roots = (docs.sparkSession.createDataFrame([], kind) for _ in range(3))
-    roots = docs.sparkSession.createDataFrame([], "node binary, root binary")
-    for top in (1, 4, None):
-        known = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = proposals(blocked(known, crossing=top is None), top)
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = written(confirmed(pairs, sets))
-        tested, links = tested.unionByName(pairs), links.unionByName(found)
-        if not found.isEmpty():
-            roots = written(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    known = nodes.select("node", "n", "sig")
+    members = written(matched(blocked(posts.join(shared, "key")).join(known, "node")))
+    met = written(members.select("node").distinct().join(nodes.select("node", "doc_id"), "node"))
+    sets = full_sets(docs, met, width).join(known, "node")
+    links = written(confirmed(members.join(sets, "node")))
+    roots = connected_components(links)
     parts = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = parts.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = written(parts.join(least, "root").select("node", "component_id"))
