@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from terrasift.llm.common import doc_texts
+from terrasift.llm.common import broadcast_key, doc_texts, map_batches, once
 
 #: Entries of a worker's memories; they start anew when full.
 REMEMBERED = 400_000
@@ -178,16 +178,14 @@ class Decoder:
         return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, offsets, pa.py_buffer(self.pool[places])])
 
 
-_built: dict[tuple[type, int], ByteBpe | Decoder] = {}
-
-
-def _worker(kind: type, tables: Broadcast, key: int) -> ByteBpe | Decoder:
+def _worker(kind: type, tables: Broadcast, key: str) -> ByteBpe | Decoder:
     """This worker's encoder or decoder, built once."""
-    if (kind, key) not in _built:
-        _built.clear()
+
+    def make() -> ByteBpe | Decoder:
         ranks, pattern, halves = tables.value
-        _built[kind, key] = ByteBpe(ranks, pattern, halves) if kind is ByteBpe else Decoder(ranks)
-    return _built[kind, key]
+        return ByteBpe(ranks, pattern, halves) if kind is ByteBpe else Decoder(ranks)
+
+    return once(f"{kind.__name__}-{key}", make)
 
 
 def broadcast_tables(spark: SparkSession, path: str, pattern: str) -> Broadcast:
@@ -200,7 +198,7 @@ def bpe_encode(docs: DataFrame, tables: Broadcast) -> DataFrame:
 
     A null or empty text has no ids; ids and rows may be null or repeat; other columns are not looked at.
     """
-    key = tables.id if hasattr(tables, "id") else id(tables)
+    key = broadcast_key("bpe", tables)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker(ByteBpe, tables, key)
@@ -213,12 +211,12 @@ def bpe_encode(docs: DataFrame, tables: Broadcast) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
     rows = doc_texts(docs)
-    return rows.mapInArrow(encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return map_batches(rows, encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def bpe_decode(coded: DataFrame, tables: Broadcast) -> DataFrame:
     """The columns of ``coded`` and ``decoded``, the bytes of ``ids``; null ids have null bytes."""
-    key = tables.id if hasattr(tables, "id") else id(tables)
+    key = broadcast_key("bpe", tables)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _worker(Decoder, tables, key)
@@ -232,4 +230,4 @@ def bpe_decode(coded: DataFrame, tables: Broadcast) -> DataFrame:
                     texts = pc.if_else(column.is_valid(), texts, None)
                 yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
-    return coded.mapInArrow(decode, T.StructType([*coded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return map_batches(coded, decode, T.StructType([*coded.schema.fields, T.StructField("decoded", T.BinaryType())]))

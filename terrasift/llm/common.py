@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +21,51 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACES = bytes(32 if 9 <= b <= 13 else b for b in LOWER)
 
 
+#: Rows of an Arrow batch where it would be Spark's default of 10,000: texts are long.
+BATCH_ROWS = 4000
+
+_held: dict[str, object] = {}
+
+
+def once(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept by this Python worker until another name is asked for."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, after which the worker gives unused memory back to the machine.
+
+    Idle workers stay, and each stage may use other ones.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return wrapped
+
+
+def map_batches(rows: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """``mapInArrow`` with small batches and workers that stay small."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name, "10000") == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return rows.mapInArrow(lean(run), schema)
+
+
+def broadcast_key(name: str, shared) -> str:
+    return f"{name}-{getattr(shared, 'id', None) or id(shared)}"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

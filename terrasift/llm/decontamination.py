@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import doc_texts
+from terrasift.llm.common import doc_texts, map_batches
 
 #: Words of a seed; n-grams of an item of which the rarest is always a seed.
 SEED, STRETCH = 3, 6
@@ -201,7 +201,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int64()), pa.array([total, *n[at]], pa.int64())], ["seed", "n"])
 
-        found = texts.select("text").mapInArrow(counted, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+        found = map_batches(texts.select("text"), counted, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
         documents = {row.seed: row.n for row in found.collect()}  # as many as the block has seeds at most
         chosen = spark.sparkContext.broadcast(rare(block, documents, documents.get(-1, 0)))
 
@@ -214,5 +214,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 arrays = [ids, pa.array(item, item_type), pa.array(score, pa.float64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "score", "first_word", "last_word"])
 
-        out = out.unionByName(texts.mapInArrow(aligned, schema))
+        out = out.unionByName(map_batches(texts, aligned, schema))
     return out

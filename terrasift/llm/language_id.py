@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import doc_texts
+from terrasift.llm.common import broadcast_key, doc_texts, map_batches, once
 
 #: Most labelled documents of a language that the model is fitted on.
 PER_LANGUAGE = 300
@@ -225,7 +225,6 @@ class Labeller:
         return forward_backward([self.factors[row] for row in rows], self.moves, self.model.start)
 
 
-_labellers: dict[int, Labeller] = {}
 RUN = pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
@@ -245,18 +244,16 @@ def language_id(docs: DataFrame, training: Column) -> DataFrame:
     """
     model = fit(sample(docs, training))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = shared.id if hasattr(shared, "id") else id(shared)
+    key = broadcast_key("language", shared)
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        if model and key not in _labellers:
-            _labellers.clear()
-            _labellers[key] = Labeller(model)
+        labeller = once(key, lambda: Labeller(model)) if model else None
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 texts = batch.column("text").to_pylist()
-                likely = _labellers[key].label(texts) if model else [np.zeros((0, 1))] * len(texts)
+                likely = labeller.label(texts) if model else [np.zeros((0, 1))] * len(texts)
                 sums = [p.sum(0) for p in likely]
                 names = [model.languages[int(s.argmax())] if len(p) else UNKNOWN for s, p in zip(sums, likely, strict=True)]
                 score = [min(1.0, float(s.max()) / len(p)) if len(p) else 0.0 for s, p in zip(sums, likely, strict=True)]
@@ -266,4 +263,4 @@ def language_id(docs: DataFrame, training: Column) -> DataFrame:
 
     rows = doc_texts(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(labelled, f"doc_id {kind}, lang_pred string, score double, runs array<struct<lang: string, start: int, end: int>>")
+    return map_batches(rows, labelled, f"doc_id {kind}, lang_pred string, score double, runs array<struct<lang: string, start: int, end: int>>")

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terrasift.llm.common import doc_texts
+from terrasift.llm.common import doc_texts, map_batches
 
 #: Bytes of words are kept (A-Z in lower case); all others become spaces.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -205,4 +205,4 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templat
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *names])
 
     rows = doc_texts(docs)
-    return rows.mapInArrow(scanned, SCHEMA.format(rows.schema["doc_id"].dataType.simpleString()))
+    return map_batches(rows, scanned, SCHEMA.format(rows.schema["doc_id"].dataType.simpleString()))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import doc_texts, written
+from terrasift.llm.common import doc_texts, map_batches, once, written
 from terrasift.llm.components import connected_components
 from terrasift.llm.shingles import Shingler, mixed, name_of
 
@@ -29,20 +29,19 @@ COORDINATES, MATCHES = 64, 34
 SIMILAR = 75
 #: Documents that are compared with each other in one task at most.
 BLOCK = 2048
-#: Values of coordinates that are known as frequent: counted from this many in one task on, and this many at most.
+#: Values of coordinates that are known as frequent: counted from this many in one batch on, and this many at most.
 #: They only decide which posts come first; any order gives the same links.
-OFTEN, FREQUENT = 16, 50_000
+OFTEN, FREQUENT = 8, 50_000
 #: Ids that are broadcast at most; more take a shuffle join.
 BROADCAST_IDS = 1_000_000
 
 _RNG = np.random.default_rng(10)
 _TIMES = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
-_shinglers: dict[int, Shingler] = {}
 
 
 def shingler(width: int) -> Shingler:
-    return _shinglers.setdefault(width, Shingler(width))
+    return once(f"shingler-{width}", lambda: Shingler(width))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -67,7 +66,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
     rows = doc_texts(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(signed, f"doc_id {kind}, n_shingles long, node binary, sig binary")
+    return map_batches(rows, signed, f"doc_id {kind}, n_shingles long, node binary, sig binary")
 
 
 def _keys(sigs: np.ndarray) -> np.ndarray:
@@ -80,7 +79,7 @@ def _table(column: pa.Array) -> np.ndarray:
 
 
 def frequent_keys(nodes: DataFrame) -> np.ndarray:
-    """Keys of frequent coordinate values and their counts, as far as single tasks see them often."""
+    """Keys of frequent coordinate values and their counts, as far as single batches see them often."""
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +87,7 @@ def frequent_keys(nodes: DataFrame) -> np.ndarray:
             on = n >= OFTEN
             yield pa.RecordBatch.from_arrays([pa.array(key[on].view(np.int64)), pa.array(n[on])], ["key", "n"])
 
-    counted = nodes.select("sig").mapInArrow(often, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = map_batches(nodes.select("sig"), often, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas().sort_values("key", key=lambda k: k.to_numpy().view(np.uint64))
     return np.stack([top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64).astype(np.uint64)])
 
@@ -113,7 +112,7 @@ def prefix_posts(nodes: DataFrame, frequent: np.ndarray) -> DataFrame:
             arrays = [pa.array(key.view(np.int64)), pa.array(first.ravel().astype(np.int32)), batch.column("node").take(pa.array(row)), pa.array(mask.view(np.int64)[row])]
             yield pa.RecordBatch.from_arrays(arrays, ["key", "coord", "node", "mask"])
 
-    return nodes.select("node", "sig").mapInArrow(posted, "key long, coord int, node binary, mask long")
+    return map_batches(nodes.select("node", "sig"), posted, "key long, coord int, node binary, mask long")
 
 
 class Group:
@@ -210,7 +209,7 @@ def matched(posts: DataFrame) -> DataFrame:
                 own = [pa.array(group.side[at], pa.int32()), pa.array(group.mask[at].view(np.int64)), pa.array([group.node[i] for i in at], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*same, *own], ["key", "block", "coord", "side", "mask", "node"])
 
-    return by_block(posts).mapInArrow(found, MEMBER)
+    return map_batches(by_block(posts), found, MEMBER)
 
 
 def confirmed(members: DataFrame) -> DataFrame:
@@ -221,7 +220,7 @@ def confirmed(members: DataFrame) -> DataFrame:
             if pairs := group.links():
                 yield pa.RecordBatch.from_arrays([pa.array([group.node[p[k]] for p in pairs], pa.binary()) for k in (0, 1)], ["u", "v"])
 
-    return by_block(members).mapInArrow(found, "u binary, v binary")
+    return map_batches(by_block(members), found, "u binary, v binary")
 
 
 def blocked(posts: DataFrame) -> DataFrame:
@@ -252,7 +251,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     ids = nodes.select(F.col("doc_id").alias("wanted")).distinct()
     ids = F.broadcast(ids) if nodes.count() <= BROADCAST_IDS else ids
     chosen = doc_texts(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
-    return chosen.mapInArrow(listed, "node binary, shingles array<long>").dropDuplicates(["node"])
+    return map_batches(chosen, listed, "node binary, shingles array<long>").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import doc_texts, written
+from terrasift.llm.common import doc_texts, map_batches, written
 from terrasift.llm.decontamination import words_of
 
 #: Most labelled documents that the model is fitted on, and most words with scores of their own.
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column) -> Model | None:
         columns = [pa.array([n[w] for w in words], pa.int64()) for n in (documents[1], documents[0], uses)]
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *columns], ["word", "toxic", "clean", "uses"])
 
-    words = sampled.mapInArrow(counted, "word binary, toxic long, clean long, uses long").groupBy("word")
+    words = map_batches(sampled, counted, "word binary, toxic long, clean long, uses long").groupBy("word")
     words = written(words.agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "uses"))))
     n_uses = words.agg(F.sum("uses")).first()[0] or 0
     often = words.filter(F.col("toxic") >= LEAST).orderBy(F.desc("toxic"), "word").limit(4 * LEXICON).toPandas()
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column) -> Model | None:
         arrays = [pa.array([k[i] for k in keys], pa.int32()) for i in (0, 1)]
         yield pa.RecordBatch.from_arrays([*arrays, pa.array([n[k] for k in keys], pa.int64())], ["bin", "label", "n"])
 
-    found = sampled.mapInArrow(binned, "bin int, label int, n long").groupBy("bin", "label").agg(F.sum("n").alias("n")).collect()
+    found = map_batches(sampled, binned, "bin int, label int, n long").groupBy("bin", "label").agg(F.sum("n").alias("n")).collect()
     model.intercept, model.slope = calibrate({(row.bin, row.label): row.n for row in found})
     return model
 
@@ -222,4 +222,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, training) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "score", "predicted", "passages"])
 
     rows = doc_texts(docs)
-    return rows.mapInArrow(scored, SCHEMA.format(rows.schema["doc_id"].dataType.simpleString()))
+    return map_batches(rows, scored, SCHEMA.format(rows.schema["doc_id"].dataType.simpleString()))
