@@ -204,8 +204,8 @@ def is_static(kind: Column, path: Column) -> Column:
 
 
 def media_types(entry: Column) -> tuple[Column, Column]:
-    asked = F.coalesce(F.nullif(entry["request.postData.mimeType"], F.lit("")), header(entry["request.headers"], "Content-Type"))
-    given = F.coalesce(F.nullif(entry["response.content.mimeType"], F.lit("")), header(entry["response.headers"], "Content-Type"))
+    asked = F.coalesce(F.nullif(entry["request"]["postData"]["mimeType"], F.lit("")), header(entry["request"]["headers"], "Content-Type"))
+    given = F.coalesce(F.nullif(entry["response"]["content"]["mimeType"], F.lit("")), header(entry["response"]["headers"], "Content-Type"))
     return asked, given
 
 
@@ -243,12 +243,12 @@ def rank_candidates(entries: DataFrame, redact: Redactor | None = None) -> DataF
     """Entries by how likely they are the search request: highest score first, then in their order."""
     e = F.col("entry")
     clean = redactor("link", redact or Redactor())
-    rows = entries.withColumn("url", F.coalesce(clean(e["request.url"]), F.lit("")))
+    rows = entries.withColumn("url", F.coalesce(clean(e["request"]["url"]), F.lit("")))
     asked, given = media_types(e)
     sound = F.col("url") != ""
     host, path = F.when(sound, host_of(F.col("url"))).otherwise(""), F.when(sound, path_of(F.col("url"))).otherwise("")
-    method, kind = F.upper(e["request.method"]), F.lower(F.coalesce(e["_resourceType"], F.lit("")))
-    score, reasons = add_up(score_rules(method, host, path, kind, asked, given, e["response.status"], sound))
+    method, kind = F.upper(e["request"]["method"]), F.lower(F.coalesce(e["_resourceType"], F.lit("")))
+    score, reasons = add_up(score_rules(method, host, path, kind, asked, given, e["response"]["status"], sound))
     columns = {"score": score, "method": method, "url": F.col("url"), "host": host, "path": path, "resourceType": kind, "requestMimeType": asked, "responseMimeType": given, "reasons": reasons}
     ranked = rows.select("source_id", "entry_index", *(c.alias(n) for n, c in columns.items()))
     return ranked.orderBy("source_id", F.desc("score"), "entry_index")
@@ -269,8 +269,8 @@ def is_referer(link: Column) -> Column:
 
 
 def is_search_entry(e: Column) -> Column:
-    said = F.coalesce(e["request.postData.text"], F.lit(""))
-    return (e["request.method"] == "PUT") & is_endpoint(e["request.url"]) & is_referer(header(e["request.headers"], "Referer", "Referrer")) & (trim_ws(said) != "")
+    said = F.coalesce(e["request"]["postData"]["text"], F.lit(""))
+    return (e["request"]["method"] == "PUT") & is_endpoint(e["request"]["url"]) & is_referer(header(e["request"]["headers"], "Referer", "Referrer")) & (trim_ws(said) != "")
 
 
 def derive_templates(entries: DataFrame, redact: Redactor | None = None) -> DataFrame:
@@ -291,6 +291,10 @@ def derive_templates(entries: DataFrame, redact: Redactor | None = None) -> Data
     return rows.filter(F.coalesce(full & listed, F.lit(False))).select("source_id", "entry_index", F.lit(1).alias("version"), "endpoint", "method", "referer", "searchQueryState", "wants")
 
 
+def _may_stay(head: Column, names: list[str], own: list[str]) -> Column:
+    return F.lower(trim_ws(head["name"])).isin(*names) & ~R.is_forbidden_header(head["name"]) & ~R.is_sensitive_key(head["name"], own)
+
+
 def sanitize(entries: DataFrame, redact: Redactor | None = None, keep_bodies: bool = False) -> DataFrame:
     """Entries without cookies, comments, initiators and other headers, with secrets in links, names and bodies replaced.
 
@@ -304,9 +308,7 @@ def sanitize(entries: DataFrame, redact: Redactor | None = None, keep_bodies: bo
     rows = rows.withColumn("_search", (F.col("entry.request.method") == "PUT") & is_endpoint(F.col("entry.request.url")))
     rows = rows.withColumn("_body", body(F.when(F.col("_search"), F.col("entry.request.postData.text"))))
     for side, names in (("request", R.REQUEST_HEADERS), ("response", R.RESPONSE_HEADERS)):
-        # links in headers: each distinct place is cleaned by position, so that rows stay rows
-        kept = F.filter(f"entry.{side}.headers", lambda h, names=names: F.lower(trim_ws(h["name"])).isin(*names) & ~R.is_forbidden_header(h["name"]) & ~R.is_sensitive_key(h["name"], own))
-        rows = rows.withColumn(f"_{side}", kept)
+        rows = rows.withColumn(f"_{side}", F.filter(f"entry.{side}.headers", lambda h: _may_stay(h, names, own)))  # noqa: B023
         linked = F.transform(f"_{side}", lambda h: F.when(R.normalize_key(h["name"]).isin(*R.LINK_HEADERS), h["value"]))
         rows = rows.withColumn(f"_{side}_links", clean_links(redact)(linked))
         rows = rows.withColumn(f"_{side}", F.zip_with(f"_{side}", f"_{side}_links", lambda h, v: h.withField("value", F.coalesce(v, h["value"])).withField("comment", F.lit(None).cast("string"))))
@@ -318,14 +320,14 @@ def sanitize(entries: DataFrame, redact: Redactor | None = None, keep_bodies: bo
     ))
     params = F.transform("entry.request.postData.params", lambda p: p.withField("name", F.when(R.is_credential(p["name"]), token).otherwise(p["name"])).withField("value", F.when(p["value"] != "", token).otherwise(p["value"])).withField("fileName", F.when(p["fileName"] != "", token).otherwise(p["fileName"])).withField("comment", F.lit(None).cast("string")))
     none = F.lit(None).cast("string")
-    bare = F.when(e["request.postData"].isNotNull(), e["request.postData"].withField("params", params).withField("comment", none).withField("text", F.coalesce("_body", F.lit(""))))
+    bare = F.when(e["request"]["postData"].isNotNull(), e["request"]["postData"].withField("params", params).withField("comment", none).withField("text", F.coalesce("_body", F.lit(""))))
     unread = F.raise_error(F.lit("a link can't be sanitized")).cast("string")
     sure = lambda new, old: F.when(F.col(new).isNull() & old.isNotNull(), unread).otherwise(F.col(new))
-    request = e["request"].withField("url", sure("_url", e["request.url"])).withField("headers", F.col("_request")).withField("queryString", items).withField("cookies", F.slice(e["request.cookies"], 1, 0)).withField("postData", bare).withField("comment", none)
-    content = e["response.content"].withField("comment", none)
+    request = e["request"].withField("url", sure("_url", e["request"]["url"])).withField("headers", F.col("_request")).withField("queryString", items).withField("cookies", F.slice(e["request"]["cookies"], 1, 0)).withField("postData", bare).withField("comment", none)
+    content = e["response"]["content"].withField("comment", none)
     if not keep_bodies:
         content = content.withField("text", none).withField("encoding", none)
-    response = e["response"].withField("redirectURL", sure("_to", e["response.redirectURL"])).withField("headers", F.col("_response")).withField("cookies", F.slice(e["response.cookies"], 1, 0)).withField("content", content).withField("comment", none)
+    response = e["response"].withField("redirectURL", sure("_to", e["response"]["redirectURL"])).withField("headers", F.col("_response")).withField("cookies", F.slice(e["response"]["cookies"], 1, 0)).withField("content", content).withField("comment", none)
     clean = e.withField("request", request).withField("response", response).withField("cache", F.lit("{}"))
     clean = clean.withField("timings", F.when(e["timings"].isNotNull(), e["timings"].withField("comment", none)))
     for name in ("pageref", "comment", "serverIPAddress", "connection", "_initiator"):
@@ -347,7 +349,7 @@ def leaks(entries: DataFrame, redact: Redactor | None = None, keep_bodies: bool
     own = [plain_key(x) for x in redact.names if x not in R.SENSITIVE]
     link = redactor("link", redact)
     e = F.col("entry")
-    heads = F.concat(e["request.headers"], e["response.headers"])
+    heads = F.concat(e["request"]["headers"], e["response"]["headers"])
 
     @F.pandas_udf("boolean")
     def body_leaks(texts: pd.Series) -> pd.Series:
@@ -361,15 +363,15 @@ def leaks(entries: DataFrame, redact: Redactor | None = None, keep_bodies: bool
 
     changed = lambda c: (F.coalesce(c, F.lit("")) != "") & ~c.eqNullSafe(link(c))
     tests = [
-        ("free text", F.coalesce(e["pageref"], e["comment"], e["serverIPAddress"], e["connection"], e["_initiator"], e["request.comment"], e["response.comment"]).isNotNull()),
+        ("free text", F.coalesce(e["pageref"], e["comment"], e["serverIPAddress"], e["connection"], e["_initiator"], e["request"]["comment"], e["response"]["comment"]).isNotNull()),
         ("cache", e["cache"] != "{}"),
-        ("cookies", (F.size(e["request.cookies"]) > 0) | (F.size(e["response.cookies"]) > 0)),
-        ("link", changed(e["request.url"]) | changed(e["response.redirectURL"])),
-        ("query", F.exists(e["request.queryString"], lambda i: (R.is_sensitive_link_key(i["name"], own) | R.is_credential(i["value"])) & (i["value"] != redact.token))),
+        ("cookies", (F.size(e["request"]["cookies"]) > 0) | (F.size(e["response"]["cookies"]) > 0)),
+        ("link", changed(e["request"]["url"]) | changed(e["response"]["redirectURL"])),
+        ("query", F.exists(e["request"]["queryString"], lambda i: (R.is_sensitive_link_key(i["name"], own) | R.is_credential(i["value"])) & (i["value"] != redact.token))),
         ("header", F.exists(heads, lambda h: R.is_forbidden_header(h["name"]) | R.is_sensitive_key(h["name"], own))),
-        ("parameter", F.exists(e["request.postData.params"], lambda p: ~F.coalesce(p["value"], F.lit("")).isin("", redact.token))),
-        ("request body", body_leaks(e["request.postData.text"])),
-        ("response body", F.lit(not keep_bodies) & (F.coalesce(e["response.content.text"], F.lit("")) != "")),
+        ("parameter", F.exists(e["request"]["postData"]["params"], lambda p: ~F.coalesce(p["value"], F.lit("")).isin("", redact.token))),
+        ("request body", body_leaks(e["request"]["postData"]["text"])),
+        ("response body", F.lit(not keep_bodies) & (F.coalesce(e["response"]["content"]["text"], F.lit("")) != "")),
     ]
     found = F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests)))
     return entries.select("source_id", "entry_index", F.explode(found).alias("leak"))

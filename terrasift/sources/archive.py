@@ -45,7 +45,7 @@ def ready_to_save(entry: Column) -> Column:
     fill = lambda c, kind: F.coalesce(c, F.array().cast(kind))
     kinds = ENTRY[ENTRY.index("cookies: ") + 9 :]
     cookies = kinds[: kinds.index(">>") + 2]
-    request = entry["request"].withField("headers", fill(entry["request.headers"], pairs)).withField("queryString", fill(entry["request.queryString"], pairs)).withField("cookies", fill(entry["request.cookies"], cookies))
-    response = entry["response"].withField("headers", fill(entry["response.headers"], pairs)).withField("cookies", fill(entry["response.cookies"], cookies))
+    request = entry["request"].withField("headers", fill(entry["request"]["headers"], pairs)).withField("queryString", fill(entry["request"]["queryString"], pairs)).withField("cookies", fill(entry["request"]["cookies"], cookies))
+    response = entry["response"].withField("headers", fill(entry["response"]["headers"], pairs)).withField("cookies", fill(entry["response"]["cookies"], cookies))
     zero = F.struct(*(F.lit(None).cast("double").alias(n) for n in ("blocked", "dns", "connect")), *(F.lit(0.0).alias(n) for n in ("send", "wait", "receive")), F.lit(None).cast("double").alias("ssl"), F.lit(None).cast("string").alias("comment"))
     return entry.withField("request", request).withField("response", response).withField("cache", F.coalesce(entry["cache"], F.lit("{}"))).withField("timings", F.coalesce(entry["timings"], zero))
