@@ -14,34 +14,40 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrasift.llm.common import doc_texts, running_total, written
+from terrasift.llm.common import broadcast_key, doc_texts, map_batches, once, running_total, written
 
 #: Ids in a chunk: least, on average about least + 2 ** bits, most.
-LEAST, BITS, MOST = 128, 9, 4096
+LEAST, BITS, MOST = 256, 10, 8192
 #: Ids that the rolling hash sees.
 WINDOW = 16
 #: Recipes below one Merkle node of the second level.
 BLOCK = 1024
-REMEMBERED = 250_000
-#: A single space before a visible character starts a new match of the split pattern, whatever stands around it.
-_BORDER = re.compile("(?= [!-~¡-ᙿ、-퟿])")
+#: Words that an encoder remembers, and new ones that it encodes together.
+REMEMBERED, TOGETHER = 1_200_000, 2000
+#: A single space before a visible character starts a new match of the split pattern, whatever stands around it. Texts
+#: with other spaces, or none but one at an end, are encoded as they are.
+_UNUSUAL = r"^ | $| [^!-~\x{A1}-\x{167F}\x{3001}-\x{D7FF}]"
 
 LOG = "doc_id {0}, rid long, seq int, n int, after long, hash binary, data binary"
 
 
 class Encoder:
-    """A byte-level BPE of the tokenizers library that remembers the ids of recent words."""
+    """A byte-level BPE of the tokenizers library that remembers the ids of recent words.
+
+    Texts are cut at single spaces into words, of which only new ones are encoded: many at a time as one text, to be told
+    apart by the lengths of the ids in bytes. The ids of all words met stand one after another in ``pool``.
+    """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,20 +55,79 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [_BORDER.split(text) for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*pieces).difference(self.known))
-        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update(zip(new, (np.array(x.ids, self.width).tobytes() for x in coded), strict=True))
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, x)), self.width) for x in pieces]
-        for piece in new:  # long ones are seldom seen again
-            if len(piece) > 64:
-                del self.known[piece]
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, at in vocabulary.items():
+            self.sizes[at] = len(token)  # a character stands for a byte
+        self.words = pa.array([], pa.string())
+        self.start = np.zeros(1, np.int64)
+        self.pool = np.zeros(0, self.width)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.width) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: pa.Array) -> None:
+        """Ids of words that each follow a space."""
+        pools, starts, last = [self.pool], [self.start], len(self.pool)
+        groups = [words.slice(at, TOGETHER) for at in range(0, len(words), TOGETHER)]
+        for group, coded in zip(groups, self.ids([" " + " ".join(group.to_pylist()) for group in groups]), strict=True):
+            ends = np.cumsum(pc.binary_length(group.cast(pa.binary())).to_numpy() + 1)
+            behind = np.cumsum(self.sizes[coded])
+            at = np.searchsorted(behind, ends)
+            if at[-1] >= len(behind) or (behind[at] != ends).any():
+                raise ValueError("an id crosses the border of a word")
+            pools.append(coded)
+            starts.append(last + at + 1)
+            last += len(coded)
+        self.words = pa.concat_arrays([self.words, words])
+        self.pool, self.start = np.concatenate(pools), np.concatenate(starts)
+
+    def forget(self) -> None:
+        """Keeps the half that was met first: the frequent words."""
+        self.words = pa.concat_arrays([self.words.slice(0, REMEMBERED // 2), pa.array([], pa.string())])
+        self.start = self.start[: len(self.words) + 1].copy()
+        self.pool = self.pool[: self.start[-1]].copy()
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        usual = pc.invert(pc.match_substring_regex(texts, _UNUSUAL))
+        out: list[np.ndarray] = [self.pool[:0]] * len(texts)
+        rest = np.flatnonzero(~usual.to_numpy(zero_copy_only=False)).tolist()
+        for i, ids in zip(rest, self.ids([texts[i].as_py() for i in rest]), strict=True):
+            out[i] = ids
+        split = pc.split_pattern(texts.filter(usual), " ")
+        if not len(split):
+            return out
+        ends = np.cumsum(split.value_lengths().to_numpy())
+        first = np.concatenate([[0], ends[:-1]])
+        met = split.flatten().dictionary_encode()
+        names, index = met.dictionary, met.indices.to_numpy().copy()
+        heads = self.ids(names.take(pa.array(index[first])).to_pylist())  # nothing stands before them
+        index[first] = len(names) + np.arange(len(first))
+        needed = np.zeros(len(names) + len(first), bool)
+        needed[index] = True
+        if len(self.words) > REMEMBERED:
+            self.forget()
+        place = pc.index_in(names, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        new = needed[: len(names)] & (place < 0)
+        place[new] = np.arange(len(self.words), len(self.words) + new.sum())
+        self.learn(names.filter(pa.array(new)))
+        # the ids of each name as bytes, then of all words in their order
+        start = self.start[place]
+        sizes = np.where(needed[: len(names)], self.start[place + 1] - start, 0)
+        behind = np.cumsum(sizes)
+        flat = self.pool[np.arange(behind[-1] if len(behind) else 0) - np.repeat(behind - sizes - start, sizes)]
+        width = self.width.itemsize
+        borders = np.concatenate([[0], behind, (behind[-1] if len(behind) else 0) + np.cumsum([len(ids) for ids in heads])]) * width
+        data = np.concatenate([flat, *heads])
+        coded = pa.Array.from_buffers(pa.binary(), len(borders) - 1, [None, pa.py_buffer(borders.astype(np.int32)), pa.py_buffer(data)])
+        whole = coded.take(pa.array(index))
+        offsets = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1] // width
+        ids = np.frombuffer(whole.buffers()[2], self.width)
+        plain = np.flatnonzero(usual.to_numpy(zero_copy_only=False)).tolist()
+        for i, low, high in zip(plain, offsets[first].tolist(), offsets[ends].tolist(), strict=True):
+            out[i] = ids[low:high]
         return out
 
 
@@ -79,42 +144,44 @@ def rolling_hash(ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks."""
+def cuts(ids: np.ndarray, sizes: list[int]) -> list[list[int]]:
+    """Ends of the chunks within each of the streams that stand one after another in ``ids``.
+
+    What the window sees of the stream before doesn't matter: no chunk ends within the first LEAST ids.
+    """
     places = np.flatnonzero(rolling_hash(ids) >> np.uint64(64 - BITS) == 0) + 1
-    ends, last = [], 0
-    for place in [*places.tolist(), len(ids)]:
-        while place - last > MOST:
-            last += MOST
-            ends.append(last)
-        if place - last >= LEAST:
-            last = place
-            ends.append(last)
-    if last < len(ids):
-        ends.append(len(ids))
-    return ends
+    borders = np.cumsum([0, *sizes])
+    out = []
+    for size, first, low, high in zip(sizes, borders.tolist(), *np.searchsorted(places, [borders[:-1], borders[1:]], side="right").tolist(), strict=False):
+        ends, last = [], 0
+        for place in [*(places[low:high] - first).tolist(), size]:
+            while place - last > MOST:
+                last += MOST
+                ends.append(last)
+            if place - last >= LEAST:
+                last = place
+                ends.append(last)
+        if last < size:
+            ends.append(size)
+        out.append(ends)
+    return out
 
 
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-_encoders: dict[int, Encoder] = {}
-
-
-def _chunked(definition, end_id: int, key: int) -> Callable:
+def _chunked(definition, end_id: int, key: str) -> Callable:
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _encoders:
-            _encoders.clear()
-            _encoders[key] = Encoder(definition.value)
-        encoder, sent = _encoders[key], set()
+        encoder, sent = once(key, lambda: Encoder(definition.value)), set()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
                 rows: list[tuple] = []
-                for row, ids in enumerate(encoder.encode(batch.column("text").to_pylist())):
-                    ids, last = np.append(ids, ids.dtype.type(end_id)), 0
-                    for seq, end in enumerate(cuts(ids)):
+                coded = [np.append(ids, ids.dtype.type(end_id)) for ids in encoder.encode(batch.column("text"))]
+                for row, (ids, ends) in enumerate(zip(coded, cuts(np.concatenate(coded), [*map(len, coded)]), strict=True)):
+                    last = 0
+                    for seq, end in enumerate(ends):
                         name = digest(data := ids[last:end].tobytes())
                         rows.append((row, seq, end - last, len(ids) - end, name, None if name in sent else data))
                         if len(sent) >= REMEMBERED:
@@ -152,10 +219,10 @@ def write_store(docs: DataFrame, definition: str, path: str, end_id: int = 0) ->
     shared = spark.sparkContext.broadcast(definition)
     rows = doc_texts(docs).withColumn("rid", F.monotonically_increasing_id())
     schema = LOG.format(rows.schema["doc_id"].dataType.simpleString())
-    log = rows.mapInArrow(_chunked(shared, end_id, shared.id if hasattr(shared, "id") else id(shared)), schema)
+    log = map_batches(rows, _chunked(shared, end_id, broadcast_key("encoder", shared)), schema)
     by = F.when(F.col("data").isNotNull(), F.xxhash64("hash")).otherwise(F.xxhash64("rid", "seq"))
     dealt = log.withColumn("by", by).repartition("by").drop("by").sortWithinPartitions("hash", F.col("data").isNull(), "rid", "seq")
-    log = written(dealt.mapInArrow(_stored_once, schema), f"{path}/log")
+    log = written(map_batches(dealt, _stored_once, schema), f"{path}/log")
     leaf = F.struct("seq", "n", "after", "hash")
     recipes = log.groupBy("doc_id", "rid").agg(F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(leaf)).alias("chunks"))
     recipes = recipes.withColumn("node", F.sha2(F.array_join(F.transform("chunks", lambda c: F.hex(c["hash"])), ","), 256))
@@ -226,7 +293,7 @@ def read_digests(spark: SparkSession, path: str, width: str = "<u2") -> DataFram
         return pd.Series(shift_crc(crc.to_numpy(), behind.to_numpy()).astype(np.int64))
 
     log = spark.read.parquet(f"{path}/log").filter("data IS NOT NULL").select("hash", "data")
-    chunks = log.mapInArrow(inspected, "hash binary, crc long, held int, sound boolean")
+    chunks = map_batches(log, inspected, "hash binary, crc long, held int, sound boolean")
     read = read_recipes(spark, path).join(chunks, "hash").withColumn("share", share("crc", F.col("after") * 4))
     named = F.sort_array(F.collect_list(F.struct("seq", "hash")))
     whole = read.groupBy("doc_id", "rid", "start", "n_tokens", "node").agg(

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import doc_texts, written
+from terrasift.llm.common import broadcast_key, doc_texts, map_batches, once, written
 from terrasift.llm.content_store import Encoder
 
 #: Bytes of a block.
@@ -30,9 +30,6 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def write_token_files(docs: DataFrame, definition: str, end_id: int, folder: str) -> DataFrame:
     """Writes a file for each partition of ``docs`` into ``folder``; path, ordinal, doc_id of the documents in them.
 
@@ -41,20 +38,17 @@ def write_token_files(docs: DataFrame, definition: str, end_id: int, folder: str
     store, root = filesystem(folder)
     store.create_dir(root, recursive=True)
     shared = docs.sparkSession.sparkContext.broadcast(definition)
-    key = shared.id if hasattr(shared, "id") else id(shared)
+    key = broadcast_key("encoder", shared)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _encoders:
-            _encoders.clear()
-            _encoders[key] = Encoder(shared.value)
-        encoder, store = _encoders[key], filesystem(folder)[0]
+        encoder, store = once(key, lambda: Encoder(shared.value)), filesystem(folder)[0]
         path, n, out = f"{root}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin", 0, None
         try:
             for whole in batches:
-                for at in range(0, whole.num_rows, 500):
-                    batch = whole.slice(at, 500)
+                for at in range(0, whole.num_rows, 4000):
+                    batch = whole.slice(at, 4000)
                     out = out or store.open_output_stream(path)
-                    for ids in encoder.encode(batch.column("text").to_pylist()):
+                    for ids in encoder.encode(batch.column("text")):
                         out.write(np.append(ids, ids.dtype.type(end_id)).tobytes())
                     places = pa.array(range(n, n + batch.num_rows), pa.int64())
                     n += batch.num_rows
@@ -64,7 +58,7 @@ def write_token_files(docs: DataFrame, definition: str, end_id: int, folder: str
                 out.close()
 
     rows = doc_texts(docs)
-    return written(rows.mapInArrow(put, f"path string, ordinal long, doc_id {rows.schema['doc_id'].dataType.simpleString()}"))
+    return written(map_batches(rows, put, f"path string, ordinal long, doc_id {rows.schema['doc_id'].dataType.simpleString()}"))
 
 
 def separators(paths: DataFrame, folder: str, end_id: int, width: str = "<u2") -> DataFrame:
@@ -92,8 +86,8 @@ def separators(paths: DataFrame, folder: str, end_id: int, width: str = "<u2") -
                 arrays = [pa.array([path]), pa.array([block], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([ends], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, ["path", "block", "size", "ends"])
 
-    blocks = paths.select("path").distinct().mapInArrow(cut, "path string, block long").repartition("path", "block")
-    return blocks.mapInArrow(search, "path string, block long, size long, ends array<long>")
+    blocks = map_batches(paths.select("path").distinct(), cut, "path string, block long").repartition("path", "block")
+    return map_batches(blocks, search, "path string, block long, size long, ends array<long>")
 
 
 def scan_token_files(paths: DataFrame, folder: str, end_id: int, width: str = "<u2") -> DataFrame:
