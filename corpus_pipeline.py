@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasift.llm.byte_bpe import bpe_decode, bpe_encode, broadcast_tables
+from terrasift.llm.byte_bpe import bpe_encode, broadcast_tables
 from terrasift.llm.common import fold, read_table, written
 from terrasift.llm.decontamination import find_leaks
 from terrasift.llm.exact_dedup import exact_dedup
@@ -53,7 +53,7 @@ def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and whether decoding gives the text back."""
     tables = broadcast_tables(spark, f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN)
-    coded = bpe_decode(bpe_encode(docs, tables), tables)
+    coded = bpe_encode(docs, tables, decode=True)
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

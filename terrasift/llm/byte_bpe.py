@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from terrasift.llm.common import broadcast_key, doc_texts, map_batches, once
 
 #: Entries of a worker's memories; they start anew when full.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -178,14 +178,14 @@ class Decoder:
         return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, offsets, pa.py_buffer(self.pool[places])])
 
 
-def _worker(kind: type, tables: Broadcast, key: str) -> ByteBpe | Decoder:
-    """This worker's encoder or decoder, built once."""
+def _worker(tables: Broadcast) -> tuple[ByteBpe, Decoder]:
+    """This worker's encoder and decoder, built once."""
 
-    def make() -> ByteBpe | Decoder:
+    def make() -> tuple[ByteBpe, Decoder]:
         ranks, pattern, halves = tables.value
-        return ByteBpe(ranks, pattern, halves) if kind is ByteBpe else Decoder(ranks)
+        return ByteBpe(ranks, pattern, halves), Decoder(ranks)
 
-    return once(f"{kind.__name__}-{key}", make)
+    return once(broadcast_key("bpe", tables), make)
 
 
 def broadcast_tables(spark: SparkSession, path: str, pattern: str) -> Broadcast:
@@ -193,33 +193,36 @@ def broadcast_tables(spark: SparkSession, path: str, pattern: str) -> Broadcast:
     return spark.sparkContext.broadcast((ranks, pattern, halves_of(ranks)))
 
 
-def bpe_encode(docs: DataFrame, tables: Broadcast) -> DataFrame:
+def bpe_encode(docs: DataFrame, tables: Broadcast, decode: bool = False) -> DataFrame:
     """doc_id, ids array<int>: one row for each row of ``docs``, without a shuffle.
 
-    A null or empty text has no ids; ids and rows may be null or repeat; other columns are not looked at.
+    With ``decode`` also ``decoded``, the bytes that the ids stand for. A null or empty text has no ids; ids of documents
+    may be null or repeat; other columns are not looked at.
     """
-    key = broadcast_key("bpe", tables)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _worker(ByteBpe, tables, key)
+        bpe, decoder = _worker(tables)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 coded = [bpe.encode(text) for text in batch.column("text").to_pylist()]
-                ends = np.cumsum([0, *(len(x) // 4 for x in coded)]).astype("<i4")
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+                ends = np.cumsum([0, *(len(x) // 4 for x in coded)])
+                flat = np.frombuffer(b"".join(coded), "<i4")
+                arrays = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype("<i4")), pa.array(flat))]
+                if decode:
+                    arrays.append(decoder.decode(flat, ends))
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "decoded"][: len(arrays)])
 
     rows = doc_texts(docs)
-    return map_batches(rows, encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return map_batches(rows, encode, f"doc_id {kind}, ids array<int>" + ", decoded binary" * decode)
 
 
 def bpe_decode(coded: DataFrame, tables: Broadcast) -> DataFrame:
     """The columns of ``coded`` and ``decoded``, the bytes of ``ids``; null ids have null bytes."""
-    key = broadcast_key("bpe", tables)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _worker(Decoder, tables, key)
+        _, decoder = _worker(tables)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)

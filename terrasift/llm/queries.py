@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasift.llm.byte_bpe import bpe_decode, bpe_encode, broadcast_tables
+from terrasift.llm.byte_bpe import bpe_encode, broadcast_tables
 from terrasift.llm.common import fold, read_table, shared_dir
 from terrasift.llm.content_store import read_digests, write_store
 from terrasift.llm.decontamination import find_leaks
@@ -69,7 +69,7 @@ def op5_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = broadcast_tables(spark, f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN)
-    coded = bpe_decode(bpe_encode(read_table(spark, sf_dir, "documents"), tables), tables)
+    coded = bpe_encode(read_table(spark, sf_dir, "documents"), tables, decode=True)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select(
         "doc_id",
