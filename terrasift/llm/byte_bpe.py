@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from terrasift.llm.common import broadcast_key, doc_texts, map_batches, once
+from terrasift.llm.common import BATCH_BYTES, broadcast_key, doc_texts, map_batches, once
 
 #: Entries of a worker's memories; they start anew when full.
 REMEMBERED = 300_000
@@ -215,7 +215,7 @@ def bpe_encode(docs: DataFrame, tables: Broadcast, decode: bool = False) -> Data
 
     rows = doc_texts(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_batches(rows, encode, f"doc_id {kind}, ids array<int>" + ", decoded binary" * decode)
+    return map_batches(rows, encode, f"doc_id {kind}, ids array<int>" + ", decoded binary" * decode, BATCH_BYTES)
 
 
 def bpe_decode(coded: DataFrame, tables: Broadcast) -> DataFrame:
@@ -233,4 +233,4 @@ def bpe_decode(coded: DataFrame, tables: Broadcast) -> DataFrame:
                     texts = pc.if_else(column.is_valid(), texts, None)
                 yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
-    return map_batches(coded, decode, T.StructType([*coded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return map_batches(coded, decode, T.StructType([*coded.schema.fields, T.StructField("decoded", T.BinaryType())]), BATCH_BYTES)

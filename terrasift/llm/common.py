@@ -23,6 +23,8 @@ _SPACES = bytes(32 if 9 <= b <= 13 else b for b in LOWER)
 
 #: Rows of an Arrow batch where it would be Spark's default of 10,000: texts are long.
 BATCH_ROWS = 4000
+#: Bytes of an Arrow batch of operators that need no large ones.
+BATCH_BYTES = 4 << 20
 
 _held: dict[str, object] = {}
 
@@ -54,11 +56,13 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
-def map_batches(rows: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
-    """``mapInArrow`` with small batches and workers that stay small."""
+def map_batches(rows: DataFrame, run: Callable[[Iterator], Iterator], schema, batch_bytes: int | None = None) -> DataFrame:
+    """``mapInArrow`` with small batches, from now on of ``batch_bytes`` at most if given, and workers that stay small."""
     conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if conf.get(name, "10000") == "10000":
         conf.set(name, str(BATCH_ROWS))
+    if batch_bytes:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     return rows.mapInArrow(lean(run), schema)
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import broadcast_key, doc_texts, map_batches, once
+from terrasift.llm.common import BATCH_BYTES, broadcast_key, doc_texts, map_batches, once
 
 #: Most labelled documents of a language that the model is fitted on.
 PER_LANGUAGE = 300
@@ -263,4 +263,4 @@ def language_id(docs: DataFrame, training: Column) -> DataFrame:
 
     rows = doc_texts(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_batches(rows, labelled, f"doc_id {kind}, lang_pred string, score double, runs array<struct<lang: string, start: int, end: int>>")
+    return map_batches(rows, labelled, f"doc_id {kind}, lang_pred string, score double, runs array<struct<lang: string, start: int, end: int>>", BATCH_BYTES)
