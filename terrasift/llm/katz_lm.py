@@ -5,13 +5,14 @@ share of the pair if training has it, else the backoff weight of the word before
 discounted by Good-Turing; backoff weights make each context's probabilities sum to 1 exactly. P(word) is the add-one
 share (count + 1) / (N + V + 1).
 
-Pairs are taken over classes: the VOCABULARY most frequent words have one each, and the end has; all others share one.
-A word of the shared class has its share of that class's add-one mass, from its exact count, so every word of the
-corpus is counted and the model stays a distribution over words. What must be broadcast is bounded by VOCABULARY.
-
-Counts live in partitioned tables: words by word, pairs by bucket. A pass over the texts sends each task's (pair,
-document) and (word, document) counts, packed by bucket, to the tables; these send each slice of documents its sums.
-Neither a word nor a pair that is everywhere makes a bucket large: a document holds it once.
+Every word and every pair of words counts; nothing that grows with the vocabulary is broadcast or collected. If
+VOCABULARY is set, only so many of the most frequent words count as themselves, and all others as one shared word,
+whose add-one mass they divide by their exact counts.
+
+Words are known by 64-bit hashes. A pass over the texts sends each slice's distinct pairs, packed by bucket, to tables
+of pair types; the places of a slice's pairs stay packed. Pairs are dealt over a square of buckets, by the second word
+one way and by the first the other, so that a frequent word is in many buckets, yet none in all. Buckets ask the partitioned tables of words for counts, then those of
+contexts for backoff weights, and send each slice of documents its sums.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,40 +32,59 @@ from pyspark.sql import functions as F
 
 from terrasift.llm.common import lower_words, map_batches, written
 
-#: Words with a class of their own at most; with two more classes they fit 16 bits.
-VOCABULARY = 65_000
-UNKNOWN, END, FIRST = 0, 1, 2
+#: Words that count as themselves at most; None: all.
+VOCABULARY: int | None = None
+#: Hashes of the word that stands for all others, of the end, and of what shared words are counted behind.
+UNKNOWN, END, SHARED = np.uint64(0), np.uint64(1), np.uint64(2)
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
-#: Buckets of a table at least, and training tokens for each.
-BUCKETS, BUCKET_TOKENS = 64, 4_000_000
-#: Documents of a slice; words that a task counts before it sends them on.
+#: Buckets of a table at least, and bytes of text for each.
+BUCKETS, BUCKET_BYTES = 64, 20_000_000
+#: Documents of a slice; words that a task counts before it sends them on, and whose hashes it remembers.
 SLICE, COUNTED = 2048, 400_000
-PACKED = "kind string, bucket int, slice long, a binary, b binary, c binary, d binary, ids array<{0}>"
-
-
-def pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+PACKED = "kind string, bucket int, part int, slice long, a binary, b binary, ids array<{0}>"
+NAMES = ["kind", "bucket", "part", "slice", "a", "b", "ids"]
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays by planes of their bytes, integers as narrow as they can be."""
+    out = []
+    for x in arrays:
+        if x.dtype.kind in "iu":
+            x = x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
+        kind = x.dtype.newbyteorder("<").str.encode()
+        planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T)
+        out += [kind, len(x).to_bytes(8, "little"), planes.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    data, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(data):
+        kind = np.dtype(data[at : at + 3].decode())
+        n = int.from_bytes(data[at + 3 : at + 11], "little")
+        size = n * kind.itemsize
+        planes = np.frombuffer(data, np.uint8, size, at + 11).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += 11 + size
+    return out
 
 
-def unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences of ascending numbers."""
+    return np.diff(x, prepend=x.dtype.type(0))
 
 
-def scrambled(pairs: np.ndarray) -> np.ndarray:
-    """A bijection of 32-bit integers that spreads pairs over the buckets' ranges."""
-    x = pairs.astype(np.uint32)
-    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
-    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
-    return x ^ (x >> np.uint32(16))
+def parts(keys: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` equal ranges each hash lies in."""
+    return ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
-def unscrambled(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint32(16))
-    x = x * np.uint32(pow(0x846CA68B, -1, 1 << 32))
-    x = x ^ (x >> np.uint32(15)) ^ (x >> np.uint32(30))
-    x = x * np.uint32(pow(0x7FEB352D, -1, 1 << 32))
-    return x ^ (x >> np.uint32(16))
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    return np.flatnonzero(new)
 
 
 def discounts(n: dict[int, int]) -> np.ndarray:
@@ -83,43 +103,31 @@ def discounts(n: dict[int, int]) -> np.ndarray:
     return out
 
 
-@dataclass
-class Vocabulary:
-    ids: dict[bytes, int]
-    count: np.ndarray  # by class
-    tokens: int  # N
-    words: int  # V
-    shared_words: int  # of the shared class
-    hashes: dict[bytes, int] = field(default_factory=dict, repr=False)
-
-    @property
-    def shared_mass(self) -> int:
-        """Add-one mass of the shared class: its words', and one place for words that training lacks."""
-        return int(self.count[UNKNOWN]) + self.shared_words + 1
-
-    def unigram(self) -> np.ndarray:
-        """P(class)."""
-        mass = (self.count + 1).astype(float)
-        mass[UNKNOWN] = self.shared_mass
-        return mass / (self.tokens + self.words + 1)
-
-
 @dataclass
 class Backoff:
     """Per context: what seen pairs are multiplied by (with their discounted counts), and the weight of the rest."""
 
     scale: np.ndarray
     weight: np.ndarray
+
+
+@dataclass
+class Model:
+    """What all tasks know."""
+
+    tokens: int  # N
+    words: int  # V
+    shared_mass: int  # add-one mass of the shared word
     discount: np.ndarray
 
-    def log10(self, pairs: np.ndarray, counts: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-        context, word = pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)
-        kept = counts * self.discount[np.minimum(counts, DISCOUNTED + 1)]
-        with np.errstate(divide="ignore"):
-            return np.where(counts > 0, np.log10(kept * self.scale[context]), np.log10(self.weight[context] * unigram[word]))
+    def kept(self, n: np.ndarray) -> np.ndarray:
+        return n * self.discount[np.minimum(n, DISCOUNTED + 1)]
+
+    def unigram(self, word: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.where(word == UNKNOWN, self.shared_mass, n + 1.0) / (self.tokens + self.words + 1)
 
 
-def backoff(kept: np.ndarray, seen: np.ndarray, total: np.ndarray, discount: np.ndarray) -> Backoff:
+def backoff(kept: np.ndarray, seen: np.ndarray, total: np.ndarray) -> Backoff:
     """Weights that normalise each context exactly.
 
     ``kept``: sum of discounted counts; ``seen``: P of the words seen behind it; ``total``: its count. A context all of
@@ -131,7 +139,7 @@ def backoff(kept: np.ndarray, seen: np.ndarray, total: np.ndarray, discount: np.
     full = known & (rest < 1e-12)
     scale = np.where(full, 1 / np.maximum(kept, 1e-300), 1 / base)
     weight = np.where(known, (1 - kept / base) / np.where(full, 1, rest), 1.0)
-    return Backoff(scale, np.where(full, 0, weight), discount)
+    return Backoff(scale, np.where(full, 0, weight))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -155,188 +163,136 @@ def count_words(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("text"), counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def learn_vocabulary(words: DataFrame, documents: int) -> Vocabulary:
-    """Classes for the most frequent words: all above the least count that leaves VOCABULARY of them at most."""
+def learn_vocabulary(words: DataFrame) -> tuple[np.ndarray, int]:
+    """Hashes of the most frequent words, all above the least count that leaves VOCABULARY at most, and how many others there are."""
     by_count = words.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
     running = F.sum("words").over(Window.orderBy(F.desc("n")))
-    total = words.agg(F.count(F.lit(1)), F.sum("n")).first()
     least = by_count.withColumn("so_far", running).filter(F.col("so_far") <= VOCABULARY).agg(F.min("n")).first()[0]
-    own = words.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").toPandas() if least else words.limit(0).toPandas()
-    n_words, n = total[0], total[1] or 0
-    count = np.array([n - int(own["n"].sum()), documents, *own["n"].tolist()], np.int64)
-    ids = {bytes(word): at for at, word in enumerate(own["word"], FIRST)}
-    return Vocabulary(ids, count, n + documents, n_words + (documents > 0), n_words - len(ids))
+    own = words.filter(F.col("n") >= least).select("word").toPandas()["word"] if least else []
+    return np.array(sorted(map(xxhash.xxh3_64_intdigest, own)), np.uint64), words.count() - len(own)
 
 
-class Slicer:
-    """Counts of a slice of documents, packed for the tables."""
+def pack_types(w: np.ndarray, a: np.ndarray, n: np.ndarray) -> bytes:
+    """Words, contexts and counts of pairs in the order of words."""
+    runs, (contexts, which) = starts(w), np.unique(a, return_inverse=True)
+    return pack(steps(w[runs]), np.diff(np.append(runs, len(w))), steps(contexts), which, n)
 
-    def __init__(self, vocabulary: Vocabulary, buckets: int):
-        self.vocabulary, self.buckets = vocabulary, buckets
-        self.log = np.log10(vocabulary.count + 1.0)
-        self.log[UNKNOWN] = 0
-
-    def hash_of(self, word: bytes) -> int:
-        return xxhash.xxh3_64_intdigest(word)
-
-    def packed(self, kind: str, keys: np.ndarray, rows: np.ndarray, width: int) -> Iterator[tuple]:
-        """(kind, bucket, keys, rows, counts) of distinct (key, row) in the order of keys."""
-        order = np.lexsort((rows, keys))
-        keys, rows = keys[order], rows[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
-        at = np.flatnonzero(new)
-        counts = np.diff(np.append(at, len(keys)))
-        keys, rows = keys[at], rows[at]
-        bucket = ((keys >> keys.dtype.type(width - 32)).astype(np.uint64) * np.uint64(self.buckets)) >> np.uint64(32)
-        ends = np.searchsorted(bucket, np.arange(self.buckets + 1, dtype=np.uint64))
-        for b in range(self.buckets):
-            part = slice(ends[b], ends[b + 1])
-            if ends[b] < ends[b + 1]:
-                delta = np.diff(keys[part], prepend=keys.dtype.type(0))
-                yield kind, b, pack(delta), pack(rows[part].astype("<u2")), pack(counts[part].astype("<u4"))
 
-    def slice(self, texts: list[str], training: list[bool]) -> Iterator[tuple]:
-        """(kind, bucket, a, b, c, d): rows of the slice's pairs, shared words, and documents."""
-        get = self.vocabulary.ids.get
-        ids, sizes, shared_hash, shared_row = [], [], [], []
-        known: dict[bytes, int] = {}
-        for row, text in enumerate(texts):
-            words = lower_words(text)
-            own = [get(word, UNKNOWN) for word in words]
-            if UNKNOWN in own:
-                others = [word for word, at in zip(words, own, strict=True) if not at]
-                for word in others:
-                    if word not in known:
-                        known[word] = self.hash_of(word)
-                shared_hash += [known[word] for word in others]
-                shared_row += [row] * len(others)
-            ids.append(END)  # context of the first token
-            ids += own
-            sizes.append(len(own) + 1)
-        flat = np.array([*ids, END], np.uint32)
-        after = flat[1:].copy()
-        ends = np.cumsum(sizes) - 1
-        after[ends] = END  # each document's last token
-        rows = np.repeat(np.arange(len(sizes)), sizes)
-        pairs = scrambled((flat[:-1] << np.uint32(16)) | after)
-        train = pack(np.array(training, np.uint8))
-        for kind, keys, at, width in (("pair", pairs, rows, 32), ("word", np.array(shared_hash, np.uint64), np.array(shared_row, np.int64), 64)):
-            for name, bucket, a, b, c in self.packed(kind, keys, at, width):
-                yield name, bucket, a, b, c, train
-        base = np.bincount(rows, self.log[after], len(sizes))
-        known_tokens = np.bincount(rows, (after != UNKNOWN) & (self.vocabulary.count[after] > 0), len(sizes)).astype(np.int64)
-        shared = np.bincount(rows, after == UNKNOWN, len(sizes)).astype(np.int64)
-        yield "text", 0, pack(np.array(sizes, np.int64)), pack(known_tokens), pack(base), pack(shared)
-
-
-def merged(table: pa.Table, kind: str, width: str) -> tuple[np.ndarray, ...]:
-    """All of a bucket in the order of keys: distinct keys, their training counts, places, and slice, row, count of each."""
-    keys, rows, counts, train, slices = [], [], [], [], []
-    for s, a, b, c, d in zip(*(table.column(x).to_pylist() for x in ("slice", "a", "b", "c", "d")), strict=True):
-        key, row = np.cumsum(unpack(a, width), dtype=width), unpack(b, "<u2").astype(np.int64)
-        keys.append(key)
-        rows.append(row)
-        counts.append(unpack(c, "<u4").astype(np.int64))
-        train.append(unpack(d, np.uint8)[row])
-        slices.append(np.full(len(key), s, np.int64))
-    key, row, n, on, of = (np.concatenate(x) for x in (keys, rows, counts, train, slices))
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    total = np.add.reduceat((n * on)[order], first) if len(key) else n
-    sizes = np.diff(np.append(first, len(key)))
-    return key[first], total, sizes, of[order], row[order], n[order]
-
-
-def by_slice(of: np.ndarray, row: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
-    """(slice, rows, sums of each of the values) for every slice."""
-    place = of * SLICE + row
-    at, where = np.unique(place, return_inverse=True)
-    sums = [np.bincount(where, v, len(at)) for v in values]
-    ends = np.flatnonzero(np.r_[True, at[1:] // SLICE != at[:-1] // SLICE]) if len(at) else []
-    for start, end in zip(ends, [*ends[1:], len(at)], strict=True):
-        yield int(at[start] // SLICE), (at[start:end] % SLICE).astype("<u2"), *(s[start:end] for s in sums)
-
-
-def tables(texts: DataFrame, vocabulary: Vocabulary, buckets: int, kind_of_id: str) -> DataFrame:
-    """One row for each bucket of pairs, the sums of shared words by bucket and slice, and one for each slice's texts."""
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = PACKED.format(kind_of_id)
-    arrow_id = pa.list_({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind_of_id])
-    names = ["kind", "bucket", "slice", "a", "b", "c", "d", "ids"]
-    kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 4, arrow_id]
-
-    def rows_of(rows: list[tuple]) -> list[pa.Array]:
-        columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-        return [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)]
+def types_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    words, runs, contexts, which, n = unpack(data)
+    words, contexts = (np.cumsum(x, dtype=np.uint64) for x in (words, contexts))
+    return np.repeat(words, runs), contexts[which], n.astype(np.int64)
 
-    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slicer, n = Slicer(shared.value, buckets), TaskContext.get().partitionId() << 24
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                ids = part.column("doc_id").to_pylist()
-                rows = slicer.slice(part.column("text").to_pylist(), part.column("training").to_pylist())
-                out = [(kind, n % buckets if kind == "text" else b, n, *data, ids if kind == "text" else None) for kind, b, *data in rows]
-                yield pa.RecordBatch.from_arrays(rows_of(out), names)
-                n += 1
 
-    def gathered(table: pa.Table) -> pa.Table:
-        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-        if kind == "text":
-            return table.select(names)
-        key, total, sizes, of, row, n = merged(table, kind, "<u4" if kind == "pair" else "<u8")
-        if kind == "pair":
-            place = pack(np.stack([of, row, n]))
-            out = [(kind, bucket, None, pack(key), pack(total), pack(sizes), place, None)]
-        else:
-            log, known = (np.repeat(x, sizes) for x in (np.log10(total + 1.0), total > 0))
-            out = [(kind, bucket, s, pack(rows), pack(logs), pack(k), None, None) for s, rows, logs, k in by_slice(of, row, log * n, known * n)]
-        return pa.Table.from_arrays(rows_of(out), names)
+class Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
 
-    return written(map_batches(texts, sliced, schema).groupBy("kind", "bucket").applyInArrow(gathered, schema))
+class Slicer:
+    """Counts of a slice of documents, packed for the tables."""
 
+    def __init__(self, own: np.ndarray | None, buckets: int):
+        self.own, self.buckets, self.hashes = own, buckets, Hashes()
 
-def pair_counts(pairs: DataFrame) -> dict[int, int]:
-    """How many pairs have each count up to DISCOUNTED + 1."""
+    def slice(self, texts: list[str], training: list[bool]) -> Iterator[tuple]:
+        """(kind, bucket, a, b): pairs of each bucket with their places, and the documents."""
+        if len(self.hashes) > COUNTED:
+            self.hashes.clear()
+        found, sizes = [], []
+        for text in texts:
+            words = lower_words(text)
+            found += [np.array([END]), np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))]
+            sizes.append(len(words) + 1)
+        flat = np.concatenate([*found, np.array([END])])  # an end is the context of the first token
+        rows, shared = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(flat), bool)
+        context, word = flat[:-1], flat[1:]
+        if self.own is not None:
+            shared = ~np.isin(flat, self.own) & (flat != END)
+            exact = word[shared[1:]]
+            flat = np.where(shared, UNKNOWN, flat)
+            context = np.concatenate([flat[:-1], np.full(len(exact), SHARED)])
+            word = np.concatenate([flat[1:], exact])
+        at = np.concatenate([rows, rows[shared[1:]]]) if self.own is not None else rows
+        yield from self.packed(context, word, at, np.array(training, bool))
+        yield "text", 0, pack(np.array(sizes, np.int64), np.bincount(rows, shared[1:], len(sizes)).astype(np.int64)), None
+
+    def packed(self, context: np.ndarray, word: np.ndarray, rows: np.ndarray, training: np.ndarray) -> Iterator[tuple]:
+        names, number = np.unique(np.concatenate([context, word]), return_inverse=True)
+        a, w = number[: len(context)].astype(np.uint64), number[len(context) :].astype(np.uint64)
+        n_names, n_rows = np.uint64(len(names)), np.uint64(SLICE)
+        posts, n = np.unique((w * n_names + a) * n_rows + rows.astype(np.uint64), return_counts=True)
+        row, pair = (posts % n_rows).astype(np.int64), posts // n_rows
+        first = starts(pair)
+        trained = np.add.reduceat(n * training[row], first)
+        sizes = np.diff(np.append(first, len(pair)))
+        a, w = names[(pair[first] % n_names).astype(np.int64)], names[(pair[first] // n_names).astype(np.int64)]
+        side, mix = math.isqrt(self.buckets), np.uint64(0x9E3779B97F4A7C15)  # the low bits tell, the high ones are the tables' parts
+        bucket = (parts(w * mix, side) * np.uint64(side) + parts(a * mix, side)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")  # still by word and context within a bucket
+        ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        for b in range(self.buckets):
+            own = order[ends[b] : ends[b + 1]]
+            if len(own):
+                begin = np.repeat(first[own] - np.cumsum(sizes[own]) + sizes[own], sizes[own])
+                at = begin + np.arange(len(begin))
+                yield "pair", b, pack_types(w[own], a[own], trained[own]), pack(sizes[own], row[at], n[at])
+
+
+def merged(table: pa.Table) -> Iterator[tuple]:
+    """(kind, slice, a, b): a bucket's pair types in the order of words and contexts, and each slice's pairs among them."""
+    found = []
+    for keys in table.column("a"):
+        found.append(types_of(keys.as_py()))
+    w, a, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((a, w))
+    first = starts(w[order], a[order])
+    type_of = np.empty(len(order), np.int64)
+    type_of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    yield "types", None, pack_types(w[order][first], a[order][first], np.add.reduceat(n[order], first)), None
+    ends = np.cumsum([len(x) for x, *_ in found])
+    for which, s, places in zip(np.split(type_of, ends[:-1]), table.column("slice").to_pylist(), table.column("b").to_pylist(), strict=True):
+        yield "post", s, pack(steps(which)), places
+
+
+def asked(kind: str, bucket: int, buckets: int, keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
+    """Rows that ask the parts of a table for the sums of ascending keys."""
+    ends = np.searchsorted(parts(keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
+    for p in range(buckets):
+        if ends[p] < ends[p + 1]:
+            part = slice(ends[p], ends[p + 1])
+            yield kind, bucket, p, None, pack(steps(keys[part])), pack(*(x[part] for x in values)), None
+
+
+def summed(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Distinct keys of all that ask a part, the sums of each value, and where each asker's keys are."""
+    keys = [np.cumsum(unpack(x.as_py())[0], dtype=np.uint64) for x in table.column("a")]
+    values = zip(*(unpack(x.as_py()) for x in table.column("b")), strict=True)
+    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = [np.bincount(where, np.concatenate(x).astype(float), len(distinct)) for x in values]
+    return distinct, sums, np.split(where, np.cumsum([len(x) for x in keys])[:-1])
+
+
+def answers(table: pa.Table, kind: str) -> list[np.ndarray]:
+    """What a bucket's asking has brought, in the order of its keys."""
+    rows = sorted((r["part"], r["b"]) for r in table.select(["kind", "part", "b"]).to_pylist() if r["kind"] == kind)
+    return [np.concatenate(x) for x in zip(*(unpack(b) for _, b in rows), strict=True)]
+
+
+def learn_discounts(types: DataFrame) -> np.ndarray:
+    """From how many pairs have each count up to DISCOUNTED + 1."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(DISCOUNTED + 2, np.int64)
         for batch in batches:
-            for data in batch.column("b").to_pylist():
-                total = unpack(data, "<i8")
-                n += np.bincount(total[total <= DISCOUNTED + 1], minlength=len(n))
+            for data in batch.column("a"):
+                _, a, total = types_of(data.as_py())
+                n += np.bincount(total[(total <= DISCOUNTED + 1) & (a != SHARED)], minlength=len(n))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.array(n)], ["r", "n"])
 
-    found = map_batches(pairs.select("b"), counted, "r int, n long").groupBy("r").agg(F.sum("n").alias("n"))
-    return {row.r: row.n for row in found.collect() if row.r}
-
-
-def learn_backoff(pairs: DataFrame, vocabulary: Vocabulary) -> Backoff:
-    """Sums over each context's pairs, at most one number for each class and task, then its weight."""
-    spark = pairs.sparkSession
-    discount = discounts(pair_counts(pairs))
-    shared = spark.sparkContext.broadcast((vocabulary.unigram(), discount))
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unigram, discount = shared.value
-        kept, seen = np.zeros(len(unigram)), np.zeros(len(unigram))
-        for batch in batches:
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                pair, n = unscrambled(unpack(a, "<u4")), unpack(b, "<i8")
-                pair, n = pair[n > 0], n[n > 0]
-                context = (pair >> np.uint32(16)).astype(np.int64)
-                kept += np.bincount(context, n * discount[np.minimum(n, DISCOUNTED + 1)], len(kept))
-                seen += np.bincount(context, unigram[pair & np.uint32(0xFFFF)], len(seen))
-        at = np.flatnonzero(kept)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(kept[at]), pa.array(seen[at])], ["context", "kept", "seen"])
-
-    sums = map_batches(pairs.select("a", "b"), summed, "context long, kept double, seen double").groupBy("context")
-    found = sums.agg(F.sum("kept").alias("kept"), F.sum("seen").alias("seen")).toPandas()
-    kept, seen = np.zeros(len(vocabulary.count)), np.zeros(len(vocabulary.count))
-    kept[found["context"]], seen[found["context"]] = found["kept"], found["seen"]
-    return backoff(kept, seen, vocabulary.count.astype(float), discount)
+    found = map_batches(types.select("a"), counted, "r int, n long").groupBy("r").agg(F.sum("n").alias("n"))
+    return discounts({row.r: row.n for row in found.collect() if row.r})
 
 
 def katz_scores(docs: DataFrame, training: Column) -> DataFrame:
@@ -350,47 +306,121 @@ def katz_scores(docs: DataFrame, training: Column) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     kind_of_id = texts.schema["doc_id"].dataType.simpleString()
-    learned = texts.filter("training")
-    vocabulary = learn_vocabulary(written(count_words(learned)), learned.count())
-    buckets = max(BUCKETS, vocabulary.tokens // BUCKET_TOKENS)
-    held = tables(texts, vocabulary, buckets, kind_of_id)
-    pairs = held.filter("kind = 'pair'")
-    model = learn_backoff(pairs, vocabulary)
-    shared = spark.sparkContext.broadcast((vocabulary.unigram(), model))
-    sums = "kind string, slice long, a binary, b binary, c binary"
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unigram, model = shared.value
+    schema, arrow_id = PACKED.format(kind_of_id), {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind_of_id]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(arrow_id)]
+    own, shared_words = learn_vocabulary(written(count_words(texts.filter("training")))) if VOCABULARY is not None else (None, 0)
+    head = spark.sparkContext.broadcast(own)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = math.isqrt(max(BUCKETS, size // BUCKET_BYTES)) ** 2
+
+    def arrays(rows: list[tuple]) -> list[pa.Array]:
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(NAMES)
+        return [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)]
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slicer, n = Slicer(head.value, buckets), TaskContext.get().partitionId() << 24
         for batch in batches:
-            for a, b, c, d in zip(*(batch.column(x).to_pylist() for x in "abcd"), strict=True):
-                log = model.log10(unscrambled(unpack(a, "<u4")), unpack(b, "<i8"), unigram)
-                of, row, n = unpack(d, "<i8").reshape(3, -1)
-                out = list(by_slice(of, row, np.repeat(log, unpack(c, "<i8")) * n))
-                arrays = [pa.array(["pair"] * len(out)), pa.array([s for s, _, _ in out], pa.int64()), *(pa.array([pack(x[i]) for x in out], pa.binary()) for i in (1, 2)), pa.nulls(len(out), pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["kind", "slice", "a", "b", "c"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = part.column("doc_id").to_pylist()
+                rows = slicer.slice(part.column("text").to_pylist(), part.column("training").to_pylist())
+                out = [(kind, n % buckets if kind == "text" else b, None, n, x, y, ids if kind == "text" else None) for kind, b, x, y in rows]
+                yield pa.RecordBatch.from_arrays(arrays(out), NAMES)
+                n += 1
+
+    def gathered(table: pa.Table) -> pa.Table:
+        if table.column("kind")[0].as_py() == "text":
+            return table.select(NAMES)
+        bucket = table.column("bucket")[0].as_py()
+        return pa.Table.from_arrays(arrays([(kind, bucket, None, s, x, y, None) for kind, s, x, y in merged(table)]), NAMES)
+
+    held = written(map_batches(texts, sliced, schema).groupBy("kind", "bucket").applyInArrow(gathered, schema))
+    types = held.filter("kind = 'types'")
 
-    tokens, words, mass = vocabulary.tokens, vocabulary.words, vocabulary.shared_mass
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind_of_id]
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("a").to_pylist(), strict=True):
+                w, a, n = types_of(data)
+                w, n = w[a != SHARED], n[a != SHARED]
+                first = starts(w) if len(w) else []
+                rows = list(asked("word", bucket, buckets, w[first], np.add.reduceat(n, first))) if len(w) else []
+                yield pa.RecordBatch.from_arrays(arrays(rows), NAMES)
+
+    def tell_words(table: pa.Table) -> pa.Table:
+        words, (n,), places = summed(table)
+        rows = [("word", b, p, None, None, pack(n[at].astype(np.int64)), None) for b, p, at in zip(table.column("bucket").to_pylist(), table.column("part").to_pylist(), places, strict=True)]
+        facts = np.array([n.sum(), ((n > 0) & (words != UNKNOWN)).sum(), n[words == UNKNOWN].sum()], np.int64)
+        return pa.Table.from_arrays(arrays([*rows, ("facts", None, None, None, pack(facts), None, None)]), NAMES)
+
+    counts = written(map_batches(types.select("bucket", "a"), ask_words, schema).groupBy("part").applyInArrow(tell_words, schema))
+    facts = [unpack(r.a)[0].astype(np.int64) for r in counts.filter("kind = 'facts'").select("a").collect()]  # one for each part
+    tokens, words, unknown = (int(x) for x in np.sum(facts, axis=0)) if facts else (0, 0, 0)
+    words += shared_words
+    model = Model(tokens, words, unknown + shared_words + 1, learn_discounts(types))
+    counts = counts.filter("kind = 'word'")
+
+    def with_counts(table: pa.Table) -> tuple[np.ndarray, ...]:
+        """A bucket's pair types, their words' training counts, and which are pairs."""
+        w, a, n = types_of(next(r["a"] for r in table.select(["kind", "a"]).to_pylist() if r["kind"] == "types"))
+        pair, count = a != SHARED, n.copy()  # a shared word's is in one bucket
+        if pair.any():
+            distinct = w[pair][starts(w[pair])]
+            count[pair] = answers(table, "word")[0].astype(np.int64)[np.searchsorted(distinct, w[pair])]
+        return w, a, n, count, pair
+
+    def ask_contexts(table: pa.Table) -> pa.Table:
+        w, a, n, count, pair = with_counts(table)
+        w, a, n, count = (x[pair] for x in (w, a, n, count))
+        contexts, which = np.unique(a, return_inverse=True)
+        sums = [np.bincount(which, x, len(contexts)) for x in (n, model.kept(n), model.unigram(w, count) * (n > 0))]
+        return pa.Table.from_arrays(arrays(list(asked("context", table.column("bucket")[0].as_py(), buckets, contexts, *sums))), NAMES)
+
+    def tell_contexts(table: pa.Table) -> pa.Table:
+        _, (total, kept, seen), places = summed(table)
+        found = backoff(kept, seen, total)
+        rows = [("context", b, p, None, None, pack(found.scale[at], found.weight[at]), None) for b, p, at in zip(table.column("bucket").to_pylist(), table.column("part").to_pylist(), places, strict=True)]
+        return pa.Table.from_arrays(arrays(rows), NAMES)
+
+    weights = types.unionByName(counts).groupBy("bucket").applyInArrow(ask_contexts, schema).groupBy("part").applyInArrow(tell_contexts, schema)
+
+    def scored(table: pa.Table) -> pa.Table:
+        w, a, n, count, pair = with_counts(table)
+        base = np.where(w == UNKNOWN, 0, np.log10(count + 1.0))
+        known, log = (count > 0) & (w != UNKNOWN), base.copy()
+        if pair.any():
+            _, which = np.unique(a[pair], return_inverse=True)
+            scale, weight = (x[which] for x in answers(table, "context"))
+            with np.errstate(divide="ignore"):
+                log[pair] = np.where(n[pair] > 0, np.log10(model.kept(n[pair]) * scale), np.log10(weight * model.unigram(w[pair], count[pair])))
+        out = []
+        behind_shared = (a == SHARED) | (w != UNKNOWN)
+        base, known = base * behind_shared, known & behind_shared
+        at = [i for i, kind in enumerate(table.column("kind").to_pylist()) if kind == "post"]
+        slices, which, places = (table.column(x) for x in ("slice", "a", "b"))
+        for i in at:
+            types = np.cumsum(unpack(which[i].as_py())[0], dtype=np.int64)
+            sizes, row, times = unpack(places[i].as_py())
+            rows, where = np.unique(row, return_inverse=True)
+            types, times = np.repeat(types, sizes), times.astype(float)
+            sums = [np.bincount(where, x[types] * times, len(rows)) for x in (log, base, known)]
+            out.append(("sum", None, None, slices[i].as_py(), pack(rows), pack(*sums[:2], sums[2].astype(np.int64)), None))
+        return pa.Table.from_arrays(arrays(out), NAMES)
 
     def finished(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         text = next(row for row in rows if row["kind"] == "text")
-        n, known = unpack(text["a"], "<i8"), unpack(text["b"], "<i8").copy()
-        base, shared_tokens = unpack(text["c"], "<f8").copy(), unpack(text["d"], "<i8")
-        score = -shared_tokens * math.log10(mass)
+        n, shared = (x.astype(np.int64) for x in unpack(text["a"]))
+        score, base, known = -shared * math.log10(model.shared_mass), np.zeros(len(n)), np.zeros(len(n), np.int64)
         for row in rows:
-            if row["kind"] == "pair":
-                score[unpack(row["a"], "<u2")] += unpack(row["b"], "<f8")
-            elif row["kind"] == "word":
-                at, log = unpack(row["a"], "<u2"), unpack(row["b"], "<f8")
-                base[at] += log
-                score[at] += log
-                known[at] += unpack(row["c"], "<f8").astype(np.int64)
+            if row["kind"] == "sum":
+                (at,), (s, b, k) = unpack(row["a"]), unpack(row["b"])
+                score[at] += s
+                base[at] += b
+                known[at] += k
         base = base - n * math.log10(tokens + words + 1)
-        arrays = [pa.array(text["ids"], arrow_id), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens, np.int64)), pa.array(base), pa.array(score if tokens else base)]
-        return pa.Table.from_arrays(arrays, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        columns = [pa.array(text["ids"], arrow_id), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens, np.int64)), pa.array(base), pa.array(score if tokens else base)]
+        return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    own = held.filter("kind != 'pair'").select("kind", "slice", "a", "b", "c", "d", "ids")
-    all_sums = own.unionByName(map_batches(pairs.select("a", "b", "c", "d"), scored, sums), allowMissingColumns=True)
+    sums = held.filter("kind != 'text'").unionByName(counts).unionByName(weights).groupBy("bucket").applyInArrow(scored, schema)
     result = f"doc_id {kind_of_id}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return all_sums.groupBy("slice").applyInArrow(finished, result)
+    return held.filter("kind = 'text'").unionByName(sums).groupBy("slice").applyInArrow(finished, result)

@@ -404,6 +404,18 @@ def test_katz(spark, docs, none, monkeypatch, vocabulary):
     assert katz_lm.katz_scores(none, F.lit(True)).count() == 0
 
 
+def test_katz_counts_every_word(spark):
+    """Over 65,000 words that occur once: each is a context, and predicted, by itself."""
+    texts = [*(" ".join(f"w{i}x{j}" for j in range(1000)) for i in range(70)), "w1x1 w1x2", "w1x2 w1x1"]
+    docs = spark.createDataFrame([(i, t, i < 70) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean")
+    got = {r.doc_id: r for r in katz_lm.katz_scores(docs, F.col("learn")).collect()}
+    mass = 70_070 + 70_001 + 1  # N + V + 1
+    half = lambda seen: 0.5 / (1 - seen / mass)  # noqa: E731  all pairs occur once, so half of each context is left
+    wanted = [half(140) * 2 / mass * 0.5 * half(2) * 71 / mass, half(140) * 2 / mass * half(2) * 2 / mass * half(2) * 71 / mass]
+    assert np.allclose([got[70].score, got[71].score], np.log10(wanted), rtol=1e-9)
+    assert (got[70].n_tokens, got[70].n_known, got[70].train_tokens) == (3, 3, 70_070)
+
+
 def test_katz_without_training(docs):
     rows = katz_lm.katz_scores(docs, F.lit(False)).collect()
     assert len(rows) == len(AWKWARD) and all(r.train_tokens == 0 and r.n_known == 0 and r.score == r.base_score == 0 for r in rows)
