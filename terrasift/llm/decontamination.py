@@ -1,10 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Test items are taken in blocks of bounded size; a block's words, seeds and items are broadcast. A first pass counts in
-how many documents each seed of SEED words stands. Seeds that few documents have join passages to items; so that no
-item is lost, the rarest seed of each stretch of an item joins too, however frequent. A second pass aligns the
-passage around the seeds with the item, word by word, which also scores paraphrased or edited copies. Both passes read
-the documents where they are: nothing but counts of seeds and the hits leaves a task.
+Test items are taken in blocks of bounded size; a block's words, seeds and items are broadcast. Every run of SEED words
+of an item is a seed, however many documents hold it, so that whether an item is found doesn't depend on other rows.
+Seeds join passages to items; the passage around them is aligned with the item, word by word, which also scores
+paraphrased or edited copies, unless its words alone show that it can't score enough. The documents are read where
+they are: nothing but the hits leaves a task.
 """
 
 from __future__ import annotations
@@ -20,10 +20,8 @@ from pyspark.sql import functions as F
 
 from terrasift.llm.common import doc_texts, map_batches
 
-#: Words of a seed; n-grams of an item of which the rarest is always a seed.
-SEED, STRETCH = 3, 6
-#: A seed is rare if at most this share of documents has it, or this many.
-RARE_SHARE, RARE_COUNT = 1e-4, 20
+#: Words of a seed.
+SEED = 3
 #: Words of items in a block.
 BLOCK_WORDS = 1_000_000
 #: Scores of the alignment, and the share of the best possible score from which on a passage is a leak.
@@ -76,10 +74,6 @@ class Block:
         hit = self.code[found] == codes[at]
         return at[hit], found[hit]
 
-    def only(self, keep: np.ndarray) -> Block:
-        """The block with the seeds of the given places alone."""
-        return make_block(self.vocabulary, self.item_ids, self.items, self.item[keep], self.place[keep], self.width)
-
 
 def make_block(vocabulary: dict, item_ids: list, items: list[np.ndarray], item: np.ndarray, place: np.ndarray, width: int) -> Block:
     every = [codes_of(ids, width) for ids in items]
@@ -99,17 +93,10 @@ def block_of(rows: list[tuple]) -> Block:
     return make_block(vocabulary, [item_id for item_id, _ in rows], items, item, place.astype(np.int64), SEED)
 
 
-def rare(block: Block, documents: dict[int, int], total: int) -> Block:
-    """Keeps rare seeds, and the rarest of each stretch of an item."""
-    n = np.array([documents.get(i, 0) for i in range(len(block.code))], np.int64)
-    each = np.repeat(n, np.diff(block.first))
-    keep = each <= max(RARE_COUNT, RARE_SHARE * total)
-    order = np.lexsort((block.place, each, block.place // STRETCH, block.item))
-    stretch = np.stack([block.item[order], block.place[order] // STRETCH])
-    first = np.ones(len(order), bool)
-    first[1:] = (stretch[:, 1:] != stretch[:, :-1]).any(axis=0)
-    keep[order[first]] = True
-    return block.only(keep)
+def most(item: np.ndarray, passage: np.ndarray) -> int:
+    """What no alignment's score exceeds: that of the best stretch of the passage if all words of the item match."""
+    total = np.cumsum(np.where(np.isin(passage, item), MATCH, OTHER))
+    return int((total - np.minimum(np.minimum.accumulate(total), 0)).max(initial=0)) + MATCH
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -143,18 +130,21 @@ def leaks_of(block: Block, text: str) -> list[tuple]:
     row = np.repeat(np.arange(len(at)), sizes)
     entry = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + block.first[seed][row]
     item, begin = block.item[entry], at[row] - block.place[entry]
+    order = np.lexsort((begin, item))
+    item, begin = item[order], begin[order]
     out = []
-    for i in np.unique(item):
+    for begins, i in zip(np.split(begin, (first := np.flatnonzero(np.diff(item, prepend=-1)))[1:]), item[first], strict=True):
         words = block.items[i]
         slack = max(8, len(words) // 2)
-        begins = np.sort(begin[item == i])
         best = (0, 0, 0)
         groups = np.split(begins, np.flatnonzero(np.diff(begins) > len(words) + 2 * slack) + 1)
         for group in groups:
             low, high = max(0, group[0] - slack), min(len(ids), group[-1] + len(words) + slack)
-            score, first, last = align(words, ids[low:high])
+            if most(words, ids[low:high]) < LEAK * MATCH * len(words):
+                continue
+            score, start, end = align(words, ids[low:high])
             if score > best[0]:
-                best = (score, low + first, low + last)
+                best = (score, low + start, low + end)
         share = best[0] / (MATCH * len(words))
         if share >= LEAK:
             out.append((block.item_ids[i], share, int(best[1]), int(best[2])))
@@ -189,21 +179,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_type = pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string()
     for rows in blocks(benchmark):
         block = block_of(rows)
-        every = spark.sparkContext.broadcast(block)
-
-        def counted(batches: Iterator[pa.RecordBatch], every=every) -> Iterator[pa.RecordBatch]:
-            block = every.value
-            n, total = np.zeros(len(block.code), np.int64), 0
-            for batch in batches:
-                total += batch.num_rows
-                for text in batch.column("text"):
-                    n[np.unique(block.seeds(block.numbers(text.as_py()))[1])] += 1
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int64()), pa.array([total, *n[at]], pa.int64())], ["seed", "n"])
-
-        found = map_batches(texts.select("text"), counted, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        documents = {row.seed: row.n for row in found.collect()}  # as many as the block has seeds at most
-        chosen = spark.sparkContext.broadcast(rare(block, documents, documents.get(-1, 0)))
+        chosen = spark.sparkContext.broadcast(block)
 
         def aligned(batches: Iterator[pa.RecordBatch], chosen=chosen) -> Iterator[pa.RecordBatch]:
             block = chosen.value

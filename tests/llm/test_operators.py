@@ -342,6 +342,17 @@ def test_leaks(spark, none, monkeypatch):
     assert decontamination.find_leaks(many, bench).count() == 300  # a frequent item has no rare seeds
 
 
+def test_edited_copies_of_a_frequent_item(spark):
+    rng = random.Random(11)
+    item = [f"q{i}" for i in range(15)]
+    copies = [[w if rng.random() > 0.25 else "other" for w in item] for _ in range(2000)]
+    runs = lambda c: any("other" not in c[i : i + decontamination.SEED] for i in range(len(c) - decontamination.SEED + 1))
+    wanted = {i for i, c in enumerate(copies) if runs(c) and smith_waterman(item, c) >= decontamination.LEAK * decontamination.MATCH * len(item)}
+    docs = spark.createDataFrame([(i, prose("en", 20, rng) + " " + " ".join(c)) for i, c in enumerate(copies)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.find_leaks(docs, bench).collect()} == wanted and len(wanted) > 1000
+
+
 def plain_katz(texts, training, vocabulary):
     """Every definition written out."""
     tokens = [[*lower_words(t), None] for t in texts]
