@@ -18,36 +18,56 @@ from terrasift.llm.queries import TOKENIZERS
 
 #: Documents whose language is less certain go.
 CERTAIN = 0.3
-#: Ids that are broadcast at most.
+#: Row keys that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't among ``ids``; few ids are broadcast, more take a shuffle join."""
-    ids = written(ids.select(F.col("doc_id").alias("_gone")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def _keyed(docs: DataFrame, ordered: bool = False) -> DataFrame:
+    """``docs`` with ``_row``, a key of each row, written; ``ordered``: in the order of ids, null ones last."""
+    if ordered:
+        order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+        docs = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _rows(keyed: DataFrame) -> DataFrame:
+    """The documents under their row keys, for an operator."""
+    return keyed.withColumn("doc_id", F.col("_row")).drop("_row")
+
+
+def _without(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents but for the rows whose keys an operator has found; few keys are broadcast, more take a shuffle join."""
+    gone = written(found.select(F.col("doc_id").alias("_gone")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return keyed.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language."""
-    found = language_id(docs, training=fold(docs["doc_id"], 4) != 2)
-    return _without(docs, found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < CERTAIN)))
+    """Documents in some language; all of them if there is nothing to learn languages from."""
+    training = fold(F.col("doc_id"), 4) != 2
+    if docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).isEmpty():
+        return docs
+    keyed = _keyed(docs)
+    found = language_id(_rows(keyed), training, learn=docs)
+    return _without(keyed, found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < CERTAIN)))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text: the one with the smallest id."""
-    return _without(docs, exact_dedup(docs).filter("NOT kept"))
+    keyed = _keyed(docs, ordered=True)
+    return _without(keyed, exact_dedup(_rows(keyed)).filter("NOT kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
-    return _without(docs, near_duplicates(docs).filter("NOT kept"))
+    keyed = _keyed(docs, ordered=True)
+    return _without(keyed, near_duplicates(_rows(keyed)).filter("NOT kept"))
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item leaks."""
-    return _without(docs, find_leaks(docs, read_table(spark, sf_dir, "benchmark")))
+    keyed = _keyed(docs)
+    return _without(keyed, find_leaks(_rows(keyed), read_table(spark, sf_dir, "benchmark")))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -235,14 +235,14 @@ def runs(likely: np.ndarray, languages: list[str]) -> list[dict]:
     return [{"lang": languages[best[end - 1]], "start": start, "end": end} for start, end in zip([0, *ends], ends, strict=False)]
 
 
-def language_id(docs: DataFrame, training: Column) -> DataFrame:
+def language_id(docs: DataFrame, training: Column, learn: DataFrame | None = None) -> DataFrame:
     """doc_id, lang_pred, score, runs array<struct<lang, start, end>> (by word) for each row of ``docs``.
 
-    Only text and non-null lang of rows for which ``training`` holds are learned from. ``lang_pred`` is ``und`` with
+    Only text and non-null lang of rows of ``learn`` (or else ``docs``) for which ``training`` holds are learned from. ``lang_pred`` is ``und`` with
     score 0 if the text is null or has no letter, or if there is nothing to learn from; ``score`` is the predicted
     language's mean probability over words. Ids may be null or repeat; other columns are not looked at.
     """
-    model = fit(sample(docs, training))
+    model = fit(sample(docs if learn is None else learn, training))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = broadcast_key("language", shared)
 

@@ -39,6 +39,23 @@ def test_stages(spark):
     assert "ids" in now.columns and now.count() == corpus_pipeline.run(spark, str(DATA)).count()
 
 
+def test_stages_decide_by_row(spark, tmp_path):
+    """Rows with null or repeated ids go one by one, and nothing goes for want of languages."""
+    item = " ".join(f"item{i}" for i in range(20))
+    texts = {t: " ".join(f"{t}{i}" for i in range(40)) for t in "abcdef"}
+    near = texts["a"] + " end"
+    rows = [(1, texts["a"]), (None, texts["a"]), (None, texts["b"]), (None, near), (7, texts["c"]), (7, texts["d"]), (6, texts["d"]), (None, item), (None, texts["e"]), (7, item + " x"), (7, texts["f"])]
+    docs = spark.createDataFrame([(i, t, None) for i, t in rows], "doc_id long, text string, lang string")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = lambda stage: sorted(((r.doc_id or 0, r.text) for r in stage(spark, docs, str(tmp_path)).collect()))
+    but = lambda *gone: sorted((i or 0, t) for at, (i, t) in enumerate(rows) if at not in gone)
+    assert found(corpus_pipeline.language_stage) == but()
+    assert found(corpus_pipeline.exact_stage) == but(1, 5)
+    assert {(0, texts["b"]), (0, texts["e"]), (7, texts["c"]), (7, texts["f"])} <= set(found(corpus_pipeline.near_stage))
+    assert (0, near) not in found(corpus_pipeline.near_stage)
+    assert found(corpus_pipeline.leak_stage) == but(7, 9)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
