@@ -26,6 +26,8 @@ SEED = 3
 BLOCK_WORDS = 1_000_000
 #: Scores of the alignment, and the share of the best possible score from which on a passage is a leak.
 MATCH, OTHER, GAP, LEAK = 2, -1, -1, 0.5
+#: So many words of an item in a row are a leak, however long the item is.
+RUN = 13
 
 _WORDS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -130,8 +132,13 @@ def leaks_of(block: Block, text: str) -> list[tuple]:
     row = np.repeat(np.arange(len(at)), sizes)
     entry = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + block.first[seed][row]
     item, begin = block.item[entry], at[row] - block.place[entry]
-    order = np.lexsort((begin, item))
-    item, begin = item[order], begin[order]
+    order = np.lexsort((at[row], begin, item))
+    item, begin, place = item[order], begin[order], at[row][order]
+    new = (np.diff(item, prepend=-1) != 0) | (np.diff(begin, prepend=0) != 0) | (np.diff(place, prepend=0) != 1)
+    new[0] = True
+    heads = np.flatnonzero(new)
+    lengths = np.diff(np.append(heads, len(new))) + block.width - 1
+    runs = {int(item[h]): (int(n), int(place[h])) for n, h in sorted(zip(lengths, heads, strict=True)) if n >= RUN}  # the longest of each item
     out = []
     for begins, i in zip(np.split(begin, (first := np.flatnonzero(np.diff(item, prepend=-1)))[1:]), item[first], strict=True):
         words = block.items[i]
@@ -148,6 +155,9 @@ def leaks_of(block: Block, text: str) -> list[tuple]:
         share = best[0] / (MATCH * len(words))
         if share >= LEAK:
             out.append((block.item_ids[i], share, int(best[1]), int(best[2])))
+        elif i in runs:
+            n, start = runs[i]
+            out.append((block.item_ids[i], max(share, n / len(words)), start, start + n - 1))
     return out
 
 
@@ -167,7 +177,8 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word: one row for each row of ``docs`` and item that leaks into it.
 
-    ``score`` is the alignment's share of the best possible one, 1 for a verbatim copy. Null and empty texts have no
+    ``score`` is the alignment's share of the best possible one, 1 for a verbatim copy; under LEAK only where RUN words of
+    the item or more stand in a row, whose places are given. Null and empty texts have no
     leaks, null items and those under SEED words leak nowhere; repeated rows are reported as often as they stand;
     without documents or items the result is empty. Columns other than ids and texts are not looked at.
     """

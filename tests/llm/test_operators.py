@@ -353,6 +353,15 @@ def test_edited_copies_of_a_frequent_item(spark):
     assert {r.doc_id for r in decontamination.find_leaks(docs, bench).collect()} == wanted and len(wanted) > 1000
 
 
+def test_excerpts_leak(spark):
+    item = [f"q{i}" for i in range(400)]
+    texts = ["x " + " ".join(item[100:125]) + " y", " ".join(item[7:20]), " ".join(item[7:19]), " ".join(item[:180]), " ".join([*item[:9], "z", *item[9:18]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    found = {r.doc_id: (r.first_word, r.last_word) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert found == {0: (1, 25), 1: (0, 12), 3: (0, 179)}
+
+
 def plain_katz(texts, training, vocabulary):
     """Every definition written out."""
     tokens = [[*lower_words(t), None] for t in texts]
