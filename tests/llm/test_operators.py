@@ -305,6 +305,44 @@ def test_toxicity(spark, none):
     assert {r.score for r in toxicity.toxicity(docs, marks.limit(0), lambda c: F.lit(True)).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("size", [10_000, 60_000])
+def test_toxicity_of_many_documents(spark, size):
+    """Documents of uneven length, toxic if they hold one of ten words: long ones are so more often, with all that they hold."""
+    rng = np.random.default_rng(size)
+    vocabulary = np.array([f"w{i}" for i in range(4000)] + [f"vile{c}" for c in "abcdefghij"])
+    chance = np.append(1 / np.arange(5, 4005), np.full(10, 1e-3))
+    drawn = rng.choice(len(vocabulary), int(size * 60), p=chance / chance.sum())
+    ends = np.cumsum(np.clip(rng.lognormal(3, 1.2, size), 2, 600).astype(int))
+    parts = np.split(drawn[: ends[-1]], ends[:-1])
+    docs = spark.createDataFrame([(i, " ".join(vocabulary[p])) for i, p in enumerate(parts)], "doc_id long, text string")
+    labels = [(i, int((p >= 4000).any())) for i, p in enumerate(parts)]
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    training = lambda c: fold(c, 4) != 2
+    model = toxicity.fit(docs, marks, training)
+    held = [(i, t) for i, t in labels if zlib.crc32(str(i).encode()) % 4 == 2]
+    text = [model.of(toxicity.words_of(" ".join(vocabulary[parts[i]]))) for i, t in held if not t]
+    assert np.concatenate(text).mean() <= -0.9 * toxicity.MARGIN and model.rate > 0.1
+    found = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, marks, training).select("doc_id", "predicted").collect()}
+    toxic = [found[i] for i, t in held if t]
+    assert sum(toxic) >= 0.9 * len(toxic) > 50
+    assert sum(found[i] for i, t in held if not t) <= 0.005 * len(held)
+
+
+def test_inflected_toxic_words(spark):
+    """A stem with many endings stands for endings that training has not met, a single word for itself alone."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(900):
+        words = prose("en", 40, rng).split()
+        if i % 5 == 0:
+            words[3:3] = [f"vequ{i % 60}x", "grimtrash", f"vequ{i % 70}y"]
+        rows.append((i, " ".join(words), int(i % 5 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, docs, lambda c: F.lit(True))
+    assert model.of([b"vequnew", b"grimtrashy", b"grimtrash", b"the"])[[0, 2]].min() > 1
+    assert model.of([b"grimtrashy", b"the"]).max() < 0
+
+
 def smith_waterman(a, b):
     best, h = 0, [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
