@@ -9,6 +9,10 @@ is counted in the first post that both have, and not at all once confirmed links
 Within a post documents are compared in blocks of bounded size. What has a match there meets again with its full sets,
 which confirm the links. A block gives as many links as join its members, not all pairs of them. Equal sets are one node
 throughout, so copies cost nothing.
+
+A post of more than BLOCK documents is dealt out over blocks, some members of each being in the next one too. A family
+of near copies, however large, becomes one component that way, in linear time. Only the members outside the post's
+largest component then meet all those that they haven't met, block by block; no pair is left out.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from terrasift.llm.shingles import Shingler, mixed, name_of
 COORDINATES, MATCHES = 64, 34
 #: Similarity as a share of 100.
 SIMILAR = 75
-#: Documents that are compared with each other in one task at most.
-BLOCK = 2048
+#: Documents of a block: those of larger posts are dealt over several. One in BRIDGE of a block's is in the next one too.
+BLOCK, BRIDGE = 512, 32
 #: Values of coordinates that are known as frequent: counted from this many in one batch on, and this many at most.
 #: They only decide which posts come first; any order gives the same links.
 OFTEN, FREQUENT = 8, 50_000
@@ -223,17 +227,34 @@ def confirmed(members: DataFrame) -> DataFrame:
     return map_batches(by_block(members), found, "u binary, v binary")
 
 
-def blocked(posts: DataFrame) -> DataFrame:
-    """Adds ``block`` and ``side``. A post of more than BLOCK documents is cut into parts, any two of which meet.
+def dealt(posts: DataFrame) -> DataFrame:
+    """Adds ``block`` and ``side`` to posts with ``posted``, their sizes: one block, or several with bridges."""
+    parts = F.ceil(F.col("posted") / BLOCK).cast("int")
+    rows = posts.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+    bridge = (F.col("parts") > 1) & (F.pmod(F.xxhash64(F.lit("bridge"), "node"), F.lit(BRIDGE)) == 0)
+    both = F.when(bridge, F.array(F.col("own"), F.pmod(F.col("own") + 1, F.col("parts")))).otherwise(F.array("own"))
+    return rows.withColumn("block", F.explode(both)).withColumn("side", F.lit(0)).drop("parts", "own")
+
 
-    A block of two parts compares the members of one side with those of the other.
+def left_over(hot: DataFrame, roots: DataFrame) -> DataFrame:
+    """Blocks in which the members of large posts meet that no component joins yet.
+
+    ``hot`` has the posts' members, ``roots`` components found so far. Of a post's parts those outside its largest
+    component meet each other and the ones inside; a block of two parts compares one side with the other.
     """
-    count = F.when(F.col("posted") <= BLOCK, 1).otherwise(F.ceil(F.col("posted") / (BLOCK // 2))).cast("int")
-    rows = posts.withColumn("parts", count).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    low, high = F.least("own", "other").cast("long"), F.greatest("own", "other").cast("long")
+    rows = hot.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("posted")).filter("most.n < posted")
+    in_parts = lambda n: F.greatest(F.lit(1), F.ceil(n / (BLOCK // 2))).cast("int")
+    sizes = sizes.select("key", F.col("most.root").alias("largest"), in_parts(F.col("posted") - F.col("most.n")).alias("outside"), in_parts(F.col("most.n")).alias("inside"))
+    rows = rows.drop("posted").join(sizes, "key").withColumn("in", F.col("root") == F.col("largest"))
+    own = F.when(F.col("in"), F.col("outside") + F.pmod(F.xxhash64("node"), F.col("inside"))).otherwise(F.pmod(F.xxhash64("node"), F.col("outside")))
+    last = F.when(F.col("in"), F.col("outside")).otherwise(F.col("outside") + F.col("inside")) - 1
+    rows = rows.withColumn("own", own.cast("long")).select("*", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    low, high = F.least("own", F.col("other").cast("long")), F.greatest("own", F.col("other").cast("long"))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    return rows.withColumn("block", low * F.col("parts") + high).withColumn("side", side).drop("own", "parts", "other")
+    block = low * (F.col("outside") + F.col("inside")) + high
+    return rows.withColumn("block", block).withColumn("side", side).select("key", "coord", "node", "mask", "block", "side")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -268,10 +289,20 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     posts = prefix_posts(nodes, frequent_keys(nodes))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("posted")).filter("posted > 1")
     known = nodes.select("node", "n", "sig")
-    members = written(matched(blocked(posts.join(shared, "key")).join(known, "node")))
-    met = written(members.select("node").distinct().join(nodes.select("node", "doc_id"), "node"))
-    sets = full_sets(docs, met, width).join(known, "node")
-    links = written(confirmed(members.join(sets, "node")))
+
+    def links_of(blocks: DataFrame) -> DataFrame:
+        members = written(matched(blocks.join(known, "node")))
+        met = written(members.select("node").distinct().join(nodes.select("node", "doc_id"), "node"))
+        sets = full_sets(docs, met, width).join(known, "node")
+        return written(confirmed(members.join(sets, "node")))
+
+    links = links_of(dealt(posts.join(shared, "key")))
+    large = shared.filter(F.col("posted") > BLOCK)
+    if not large.isEmpty():
+        large = written(posts.join(large, "key"))
+        more = written(left_over(large, connected_components(links)))
+        if not more.isEmpty():
+            links = links.unionByName(links_of(more))
     roots = connected_components(links)
     parts = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = parts.groupBy("root").agg(F.min("doc_id").alias("component_id"))

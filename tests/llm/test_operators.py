@@ -495,10 +495,11 @@ def plain_components(sets):
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("block", [2048, 8])
-def test_near_duplicates(spark, none, monkeypatch, block):
-    """Families of edited copies; with small blocks the posts are cut and any two parts meet."""
+@pytest.mark.parametrize(("block", "bridge"), [(512, 32), (8, 2), (4, 10_000)])
+def test_near_duplicates(spark, none, monkeypatch, block, bridge):
+    """Families of edited copies; with small blocks the posts are dealt out, with bridges and nearly without."""
     monkeypatch.setattr(minhash_join, "BLOCK", block)
+    monkeypatch.setattr(minhash_join, "BRIDGE", bridge)
     rng = random.Random(9)
     texts = [t for t in AWKWARD if t != LONG]
     for _ in range(6):
@@ -521,6 +522,39 @@ def test_near_duplicates(spark, none, monkeypatch, block):
     assert minhash_join.near_duplicates(none).count() == 0
 
 
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.75 to 0.8, each a component of its own: all but very few are found."""
+    rng, texts, linked = random.Random(14), [], 0
+    for i in range(400):
+        words = [f"p{i}w{k}" for k in range(120)]
+        edited = list(words)
+        for k in range(15, 15 + 25 * (3 if i % 2 else 2), 25):  # each edit takes five shingles of 116 away
+            edited[k] = f"e{i}x{k}"
+        a, b = ({tuple(x[j : j + 5]) for j in range(116)} for x in (words, edited))
+        linked += 100 * len(a & b) >= 75 * len(a | b)
+        texts += [" ".join(words), " ".join(edited)]
+        rng.shuffle(words)
+    found = minhash_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert linked == 400 and found.filter("NOT kept").count() >= 0.99 * linked
+
+
+def test_left_over_pairs_meet_once(spark, monkeypatch):
+    """Every two members of a large post in different components share one block, on different sides or on one."""
+    monkeypatch.setattr(minhash_join, "BLOCK", 8)
+    nodes = {bytes([i]): bytes([0 if i < 30 else 30 if i < 33 else i]) for i in range(60)}
+    hot = spark.createDataFrame([(5, 1, n, 1, len(nodes)) for n in nodes], "key long, coord int, node binary, mask long, posted long")
+    alone = spark.createDataFrame([(6, 1, n, 1, 3) for n in list(nodes)[:3]], hot.schema)  # one component already
+    rows = minhash_join.left_over(hot.unionByName(alone), spark.createDataFrame(list(nodes.items()), "node binary, root binary")).collect()
+    assert {r.key for r in rows} == {5}
+    blocks = {}
+    for r in rows:
+        blocks.setdefault(r.block, []).append((bytes(r.node), r.side))
+    assert max(map(len, blocks.values())) <= 3 * minhash_join.BLOCK
+    met = Counter(frozenset((a, b)) for members in blocks.values() for i, (a, x) in enumerate(members) for b, y in members[:i] if x != y or x == 0)
+    assert set(met.values()) == {1}
+    assert {frozenset((a, b)) for a in nodes for b in nodes if nodes[a] != nodes[b]} <= set(met)
+
+
 def test_null_and_repeated_ids(docs):
     rows = minhash_join.near_duplicates(docs).collect()
     assert len(rows) == len(AWKWARD)
