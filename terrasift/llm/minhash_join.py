@@ -287,7 +287,7 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     nodes = signed.filter("node IS NOT NULL").groupBy("node")
     nodes = written(nodes.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
     posts = prefix_posts(nodes, frequent_keys(nodes))
-    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("posted")).filter("posted > 1")
+    shared = written(posts.groupBy("key").agg(F.count(F.lit(1)).alias("posted")).filter("posted > 1"))
     known = nodes.select("node", "n", "sig")
 
     def links_of(blocks: DataFrame) -> DataFrame:
@@ -298,8 +298,8 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 
     links = links_of(dealt(posts.join(shared, "key")))
     large = shared.filter(F.col("posted") > BLOCK)
-    if not large.isEmpty():
-        large = written(posts.join(large, "key"))
+    if keys := large.count():
+        large = written(posts.join(F.broadcast(large) if keys <= BROADCAST_IDS else large, "key"))
         more = written(left_over(large, connected_components(links)))
         if not more.isEmpty():
             links = links.unionByName(links_of(more))
