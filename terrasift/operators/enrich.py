@@ -27,11 +27,16 @@ def enrich(listings: DataFrame, details: DataFrame, errors: DataFrame | None = N
     """
     fields = [c for c in details.columns if c not in ("link", "kind", "ord")]
     found = details.select("link", "kind", F.col("ord").alias("detail_ord"), F.struct(*fields).alias("d"))
-    rows = listings.withColumn("link", null_if_empty(trim_ws(F.col("url")))).join(found, "link", "left")
+    found = found.withColumn("_error", F.lit(None).cast("string"))
     if errors is not None:
-        rows = rows.join(errors.select("link", F.col("error").alias("_error")), "link", "left")
-    else:
-        rows = rows.withColumn("_error", F.lit(None).cast("string"))
+        # one table of what is known by link, so that listings are shuffled once; an error outweighs details
+        told = errors.filter("link IS NOT NULL").groupBy("link").agg(F.min("error").alias("_error"))
+        rest = found.drop("_error").join(told.select("link"), "link", "left_anti").withColumn("_error", F.lit(None).cast("string"))
+        found = rest.unionByName(told, allowMissingColumns=True)
+    every = listings.withColumn("link", null_if_empty(trim_ws(F.col("url"))))
+    # listings without a link stay where they are: as one key of the join they would meet in one task
+    linked = every.filter("link IS NOT NULL").join(found, "link", "left")
+    rows = linked.unionByName(every.filter("link IS NULL"), allowMissingColumns=True)
     there = F.col("d").isNotNull() & F.col("_error").isNull()
     child = there & ((F.col("kind") == "community") | (F.col("detail_ord") > 0))
     d = lambda name: F.col(f"d.{name}")

@@ -381,7 +381,16 @@ def money_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(key.alias("id"), F.coalesce(money_change("price", before, amount), F.lit("")).alias("change"), money(amount).alias("price"), comma(key * 1000).alias("big"), number(beds).alias("beds"))
 
 
-@query()
+@query("""
+WITH e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS request_id, CAST(floor(value) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events),
+h AS (SELECT request_id, n // 5 AS hop, min(event_id) AS seq, count(*) AS k FROM e GROUP BY ALL),
+l AS (SELECT *, lead(hop) OVER (PARTITION BY request_id ORDER BY hop) IS NULL AS open FROM h)
+SELECT seq, request_id, CAST(hop AS INT) AS hop, 'GET' AS method, 'https://host/' || seq AS url, CASE WHEN k >= 3 AND (k >= 4 OR NOT open) THEN 200 WHEN NOT open THEN 302 END AS status,
+  CASE WHEN k >= 4 THEN 'HTTP/2' ELSE '' END AS "httpVersion", 'Fetch' AS "resourceType", CAST(CASE WHEN k >= 5 THEN 10 ELSE -1 END AS BIGINT) AS "bodySize", CAST(CASE WHEN k >= 5 THEN 10 ELSE 0 END AS BIGINT) AS "contentSize",
+  '' AS "mimeType", '' AS "redirectURL", k < 4 AND open AS incomplete,
+  concat_ws(' ', CASE WHEN k < 5 THEN 'Request was still in flight at the capture cutoff; timing and sizes are incomplete.' END,
+    CASE WHEN k < 4 THEN 'Supplemental request/response metadata did not arrive before the capture cutoff.' END) AS comment FROM l
+""")
 def stream_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events replayed as a browser's: each user's requests in a chain of redirects, with late supplements."""
     e = table(spark, sf_dir, "events")

@@ -31,9 +31,13 @@ def entries(archives: DataFrame) -> DataFrame:
 
 
 def query_items(url: Column, most: int = 4096) -> Column:
-    """name, value of a link's query: split at ``&``, cut at the first ``=``, decoded where that works."""
+    """name, value of a link's query: split at ``&``, cut at the first ``=``, decoded where that works.
+
+    A query of more than ``most`` items fails.
+    """
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    parts = F.slice(F.filter(F.split(query, "&"), lambda p: p != ""), 1, most)
+    found = F.filter(F.split(query, "&"), lambda p: p != "")
+    parts = F.when(F.size(found) > most, F.raise_error(F.lit(f"a query has more than {most} items")).cast("array<string>")).otherwise(found)
     decode = lambda c: F.coalesce(F.try_url_decode(c), c)
     item = lambda p: F.struct(decode(F.substring_index(p, "=", 1)).alias("name"), decode(F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("value"))
     return F.transform(parts, item)

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from terrasift.operators.filters import has_identity
 from terrasift.schemas import LISTING_FIELDS
 
+#: Bytes of a file at most.
 LIMIT = 64 << 20
 _LISTING = "struct<" + ", ".join(f"{name}: {kind}" for name, kind in LISTING_FIELDS.items()) + ">"
 _MANY = f"array<{_LISTING}>"
 
 
 def read_previous(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= LIMIT)
+    """``parse_previous`` of files; one of more than LIMIT bytes fails, its contents unread."""
+    files = spark.read.format("binaryFile").load(path)
+    large = [row.path for row in files.filter(F.col("length") > LIMIT).select("path").limit(1).collect()]
+    if large:
+        raise ValueError(f"previous results exceed {LIMIT} bytes: {large[0]}")
     return parse_previous(files.select(F.col("path").alias("source_id"), F.decode("content", "UTF-8").alias("document")))
 
 

@@ -1,13 +1,15 @@
-"""Browser events to requests: a keyed state machine, over a stream or a recorded log.
+"""Browser events to requests: a recorded log by windows, a stream by a keyed state machine.
 
 A request id has a chain of hops, one for each redirect. Supplements (headers as sent) arrive apart from the events they
 belong to and in any order; the nth one goes to the nth hop that expects one, and waits while an earlier hop's
-expectation isn't known. State is bounded by key: ``MAX_HOPS`` hops and ``MAX_PENDING`` waiting supplements; more fail.
+expectation isn't known. A stream's state is bounded by key: ``MAX_HOPS`` hops and ``MAX_PENDING`` waiting supplements;
+more fail.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -199,15 +201,80 @@ def frame(rows: Iterable[dict]) -> pd.DataFrame:
 
 
 def hops(events: DataFrame, cutoff: float | None = None) -> DataFrame:
-    """Hops of a recorded log, each request id by itself in the order of ``seq``."""
+    """Hops of a recorded log, each request id by itself in the order of ``seq``.
 
-    def run(key: tuple, events: pd.DataFrame) -> pd.DataFrame:
-        chain = Chain(cutoff=cutoff)
-        for event in events.sort_values("seq").to_dict("records"):
-            chain.apply(event)
-        return frame(chain.rows(key[0]))
-
-    return events.groupBy("request_id").applyInPandas(run, HOP)
+    One shuffle by request id: running counts give each event its hop and each supplement its number, an aggregation
+    makes rows of both, and a second one puts the nth supplement to the nth hop that expects one. What a hop expects is
+    what was last said of it; all hops but a request's last are known, as a redirect has closed them. Supplements of
+    requests without a hop are counted as orphans. More than MAX_HOPS hops of a request fail.
+    """
+    kind, seq, at = F.col("event_type"), F.col("seq"), F.col("ts_mono")
+    is_ = lambda *names: kind.isin(*names)
+    asked, answered = is_("requestWillBeSentExtraInfo"), is_("responseReceivedExtraInfo")
+    supplement = asked | answered
+    live = ~kind.endswith("ExtraInfo") & (F.lit(True) if cutoff is None else F.coalesce(at <= cutoff, F.lit(False)))
+    order = Window.partitionBy("request_id").orderBy("seq")
+    count = lambda test: F.sum(F.when(test, 1).otherwise(0)).over(order)
+    base = live & is_("requestWillBeSent") & F.coalesce(F.lower("url").rlike("^https?://"), F.lit(False))
+    rows = events.withColumn("opens", base & (F.col("redirect_status").isNotNull() | (count(base) == 1)))
+    rows = rows.withColumns({"hop": count(F.col("opens")) - 1, "n_asked": count(asked), "n_answered": count(answered)})
+    rows = rows.withColumn("n", F.when(asked, F.col("n_asked")).when(answered, F.col("n_answered")).otherwise(F.col("hop")))
+
+    headers = F.coalesce("headers", F.create_map().cast("map<string, string>"))
+    only = lambda test, *columns: F.first(F.when(test, F.struct(*columns)), ignorenulls=True)
+    final = lambda test, value: F.max_by(value, F.when(test, seq))
+    got, failed, opens = is_("responseReceived"), is_("loadingFailed"), F.col("opens")
+    moves = opens | is_("responseReceived", "dataReceived", "loadingFinished", "loadingFailed")
+    data = is_("dataReceived") & (F.col("encoded_length") > 0)
+    rows = rows.filter(supplement | (live & (F.col("hop") >= 0))).groupBy("request_id", supplement.alias("extra"), "n").agg(
+        only(opens, "seq", "url", "method", "type", "ts_mono", "ts_wall", "redirect_status", "redirect_has_extra_info").alias("opened"),
+        final(got, F.struct("status", "ts_mono", "protocol", "mime_type", "has_extra_info")).alias("response"),
+        F.min_by("type", F.when(got & (F.col("type") != ""), seq)).alias("told_type"),
+        final(is_("loadingFinished", "loadingFailed"), at).alias("done"), F.bool_or(is_("loadingFinished")).alias("finished_loading"),
+        final(is_("loadingFinished"), F.col("encoded_length")).alias("encoded_length"),
+        final(failed, F.trim(F.coalesce("error", F.lit("")))).alias("error"), F.min(F.when(failed, F.struct("seq", "n_asked", "n_answered"))).alias("failed"),
+        F.max(F.when(moves, at)).alias("last"), F.sum(F.when(data, F.col("encoded_length")).otherwise(0)).alias("body_length"),
+        F.bool_or(is_("requestServedFromCache")).alias("from_cache"),
+        only(asked, headers.alias("headers")).alias("sent"), only(answered, headers.alias("headers"), "status").alias("received"),
+    )
+
+    every, chain = Window.partitionBy("request_id"), Window.partitionBy("request_id").orderBy("extra", "n")
+    rows = rows.withColumn("next", F.when(~F.col("extra"), F.lead("opened").over(chain)))
+    closed, said = F.col("next").isNotNull(), F.col("response").isNotNull()
+    told = F.coalesce(F.col("next.redirect_has_extra_info"), F.lit(False))
+    rows = rows.withColumns({
+        "before": F.coalesce(F.sum(F.when(closed & told, 1).otherwise(0)).over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "asked": F.count("sent").over(every), "answered": F.count("received").over(every), "hops": F.coalesce(F.max(F.when(~F.col("extra"), F.col("n"))).over(every), F.lit(-1)) + 1,
+    })
+    # a failed request without a response expects supplements if one waits for it then, or comes later
+    waits = (F.col("failed.n_asked") > F.col("before")) | (F.col("failed.n_answered") > F.col("before"))
+    waits = F.coalesce(waits | (F.col("asked") > F.col("failed.n_asked")) | (F.col("answered") > F.col("failed.n_answered")), F.lit(False))
+    expects = F.when(closed, told).when(said, F.coalesce(F.col("response.has_extra_info"), F.lit(False))).otherwise(waits)
+    rows = rows.withColumn("expected", ~F.col("extra") & expects).withColumn("known", closed | said | waits)
+    place = F.sum(F.col("expected").cast("int")).over(chain)
+    rows = rows.withColumn("place", F.when(F.col("extra"), F.col("n")).when(F.col("expected"), place).otherwise(-1 - F.col("n")))
+
+    full = F.when(~F.col("extra"), F.struct("n", "opened", "response", "told_type", "done", "finished_loading", "encoded_length", "error", "last", "body_length", "from_cache", "next", "expected", "known"))
+    rows = rows.groupBy("request_id", "place").agg(
+        F.first(full, ignorenulls=True).alias("h"), F.first("sent", ignorenulls=True).alias("sent"), F.first("received", ignorenulls=True).alias("received"),
+        F.first("hops").alias("hops"), (F.first("asked") + F.first("answered")).alias("orphans"),
+    )
+    rows = rows.filter(F.col("h").isNotNull() | ((F.col("hops") == 0) & (F.col("place") == 1)))
+    there, opened = F.col("h").isNotNull(), lambda name: F.col(f"h.opened.{name}")
+    number = F.when(F.col("h.n") >= MAX_HOPS, F.raise_error(F.lit(f"more than {MAX_HOPS} hops of a request")).cast("int")).when(there, F.col("h.n")).otherwise(-1)
+    own = lambda c: F.when(F.col("h.expected"), c)
+    missing = ~F.col("h.known") | (F.col("h.expected") & (F.col("sent").isNull() | F.col("received").isNull()))
+    status = F.coalesce(own(F.when(F.col("received.status") != 0, F.col("received.status"))), "h.response.status", "h.next.redirect_status")
+    values = {
+        "hop": number, "seq": opened("seq"), "url": opened("url"), "method": opened("method"), "type": F.when(opened("type") != "", opened("type")).otherwise(F.coalesce("h.told_type", opened("type"))),
+        "started": opened("ts_mono"), "started_wall": opened("ts_wall"), "status": status, "response_at": F.col("h.response.ts_mono"),
+        "finished": F.coalesce("h.done", "h.next.ts_mono"), "last": F.col("h.last"), "encoded_length": F.when(there, F.coalesce("h.encoded_length", F.lit(0))),
+        "body_length": F.col("h.body_length"), "decoded_length": F.when(there, F.lit(0)), "protocol": F.col("h.response.protocol"), "mime_type": F.col("h.response.mime_type"), "error": F.col("h.error"),
+        "from_cache": F.col("h.from_cache"), "finished_loading": F.col("h.finished_loading") | F.col("h.next").isNotNull(),
+        "request_headers": own(F.col("sent.headers")), "response_headers": own(F.col("received.headers")), "incomplete": F.when(there, missing).otherwise(True), "orphans": F.when(there, 0).otherwise(F.col("orphans")),
+    }
+    kinds = dict(part.split(" ", 1) for part in re.split(r", (?=[a-z_]+ )", HOP))
+    return rows.select("request_id", *(values[name].cast(kinds[name]).alias(name) for name in HOP_COLUMNS[1:]))
 
 
 def stream_hops(events: DataFrame, cutoff: float | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Requests put together from events, in batch and as a stream."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,58 @@ def test_cutoff(spark):
     assert hops[1].request_headers == {"A": "2"}
 
 
+KINDS = ["requestWillBeSent"] * 3 + ["requestWillBeSentExtraInfo", "responseReceivedExtraInfo"] * 3 + ["responseReceived", "dataReceived", "requestServedFromCache", "loadingFinished", "loadingFailed", "other"]
+
+
+def logs(n):
+    """Random logs; a hop's expectation is said once, by its response or the redirect behind it."""
+    rng = random.Random(3)
+    for request in range(n):
+        answered, rows = True, []
+        for seq in range(rng.randint(1, 14)):
+            kind = rng.choice(KINDS)
+            more = {"headers": rng.choice([None, {"n": str(seq)}])} if kind.endswith("ExtraInfo") else {}
+            if kind == "requestWillBeSent":
+                more = {"url": rng.choice(["https://h/a", "http://h/b", "data:x"]), "type": rng.choice([None, "", "Fetch"])}
+                if rng.random() < 0.7:
+                    more |= {"redirect_status": 302, "redirect_has_extra_info": rng.choice([True, False, None])}
+                answered = False
+            if kind == "responseReceived":
+                if answered:
+                    continue
+                answered, more = True, {"status": rng.choice([None, 200]), "has_extra_info": True, "type": "Document", "protocol": "h2"}
+            if kind == "responseReceivedExtraInfo":
+                more["status"] = rng.choice([None, 0, 204])
+            if kind in ("dataReceived", "loadingFinished"):
+                more = {"encoded_length": rng.choice([None, 0, 7])}
+            if kind == "loadingFailed":
+                more = {"error": rng.choice([None, " net "])}
+            rows.append(event(seq, kind, f"r{request}", float(seq) if kind not in ("requestServedFromCache", "other") else None, **more))
+        yield rows
+
+
+@pytest.mark.parametrize("cutoff", [None, 6.0])
+def test_windows_and_state_machine_agree(spark, cutoff):
+    rows, wanted = [], []
+    for log in logs(400):
+        events = [dict(zip(NAMES, e, strict=True)) for e in log]
+        last = None
+        for e in events:  # what a redirect says of a hop that has a response or failure must be what that has said
+            if e["event_type"] in ("responseReceived", "loadingFailed"):
+                last = True
+            elif e["event_type"] == "requestWillBeSent" and e["redirect_status"] and e["url"].startswith("http"):
+                e["redirect_has_extra_info"] = last or e["redirect_has_extra_info"]
+                last = None
+        chain = S.Chain(cutoff=cutoff)
+        for e in events:
+            chain.apply(e)
+        wanted += list(S.frame(chain.rows(events[0]["request_id"])).itertuples(index=False, name=None)) if events else []
+        rows += [tuple(e[n] for n in NAMES) for e in events]
+    got = [tuple(r) for r in S.hops(spark.createDataFrame(rows, EVENT_SCHEMA), cutoff).collect()]
+    plain = lambda rows: sorted(repr(tuple(float(x) if isinstance(x, int) and not isinstance(x, bool) else x for x in r)) for r in rows)
+    assert plain(got) == plain(wanted)
+
+
 def test_limit(monkeypatch):
     monkeypatch.setattr(S, "MAX_PENDING", 2)
     chain = S.Chain()
