@@ -23,29 +23,12 @@ from terrasift.operators.history import annotate_history, money_change
 from terrasift.operators.normalize import identifier_in_url
 from terrasift.operators.ranking import limit_per
 from terrasift.operators.render import comma, money, number
+from terrasift.registry import ORACLES, QUERIES, query, table
 from terrasift.sources.archive import query_items
-from terrasift.sources.records import embedded_script, script_text
+from terrasift.sources.records import embedded_script
 from terrasift.spec import Boundary, DetailFilters, Route, SearchFilters
 from terrasift.streaming.chains import archive_entries, hops
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(run):
-        QUERIES[run.__name__] = run
-        if sql:
-            ORACLES[run.__name__] = sql
-        return run
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def part_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as listings: unknown prices, bedrooms and types among them."""
     p = table(spark, sf_dir, "part")
@@ -239,9 +222,14 @@ def _any(text: str, *terms: str) -> str:
 
 
 _C = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_FLEX = ", ".join(
+    f"""CASE WHEN {_any("s", *C.FLEX_LISTED[name]) if name in C.FLEX_LISTED else f"(' ' || s || ' ') LIKE '% {name} %'"} OR regexp_matches(said, '\\b(?:{"|".join(C.FLEX_DESCRIBED[name])})\\b') THEN '{name}' END"""
+    for name in C.FLEX_SPACES
+)
+_GARAGE = f"NOT {_any('c', *C.NO_PARKING)} AND {_any('c', *C.PRIVATE_GARAGE)} AND NOT {_any('c', *C.SHARED_GARAGE)}"
 _CLASSIFIED = f"""
 WITH t AS (SELECT id, f, d, {_C.format("f")} AS s, {_C.format("f || ' | ' || d")} AS c, {_C.format("d")} AS said FROM (
-  SELECT doc_id AS id, ([@F])[CAST(doc_id % 12 + 1 AS INT)] AS f, ([@D])[CAST(doc_id % 7 + 1 AS INT)] || ' ' || substr(text, 1, 40) AS d FROM documents))
+  SELECT doc_id AS id, ([@F])[CAST(doc_id % 12 + 1 AS INT)] AS f, ([@D])[CAST(doc_id % 7 + 1 AS INT)] || ' ' || text AS d FROM documents))
 SELECT id, CASE WHEN {_any("s", *C.HOOKUPS_LISTED)} OR {_any("c", *C.HOOKUPS)} THEN 'hookups' WHEN {_any("c", *C.SHARED_LAUNDRY)} THEN 'shared'
   WHEN {_any("c", *C.NO_LAUNDRY)} THEN 'none' WHEN {_any("c", *C.IN_UNIT)} OR contains(s, 'in unit') THEN 'in-unit'
   WHEN contains(s, 'washer') AND contains(s, 'dryer') THEN 'in-unit' ELSE 'unknown' END AS laundry,
@@ -250,8 +238,8 @@ CASE WHEN {_any("c", *C.NO_PARKING)} THEN 'none' WHEN {_any("c", *C.PRIVATE_GARA
 CASE WHEN s = '' THEN 'unknown' WHEN {_any("s", *C.NO_PETS)} THEN 'not-allowed' WHEN {_any("s", *C.PET_LIMITS)} THEN 'restricted'
   WHEN {_any("s", *C.ALL_PETS, *C.SOME_PETS)} AND ({_any("s", *C.FEW_PETS)} OR ({_any("s", *C.SOME_PETS)} AND NOT {_any("s", *C.ALL_PETS)})) THEN 'restricted'
   WHEN {_any("s", *C.ALL_PETS)} THEN 'allowed' ELSE 'unknown' END AS pets,
-regexp_matches(said, '\\b(?:{"|".join(C.FLEX_DESCRIBED["office"])})\\b') AS office,
-regexp_matches(said, '\\b(?:{"|".join(C.SHARED_HOUSING)})\\b') AS shared_housing FROM t
+concat_ws(',', {_FLEX}, CASE WHEN {_GARAGE} THEN 'private-garage' END) AS flex,
+regexp_matches(said, '\\b(?:{"|".join(C.SHARED_HOUSING)})\\b') AS shared_housing, regexp_matches(said, '\\b(?:{"|".join(C.STUDENT_HOUSING)})\\b') AS student_housing FROM t
 """
 _FEATURES = ["Washer", "Washer | Dryer", "In Unit", "Washer dryer hookups", "Shared Laundry", "Garage - Attached", "Carport", "Cats, dogs OK", "No pets", "Pets allowed", "Cats only, pets allowed", ""]
 _SAID = ["Private office space upstairs", "used as an office", "No laundry. No parking", "coin-operated laundry, shared garage", "room for rent", "attached garage and loft", "quiet"]
@@ -259,13 +247,16 @@ _SAID = ["Private office space upstairs", "used as an office", "No laundry. No p
 
 @query(_CLASSIFIED.replace("@F", ", ".join(f"'{x}'" for x in _FEATURES)).replace("@D", ", ".join(f"'{x}'" for x in _SAID)))
 def keyword_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Laundry, parking, pets and housing of texts made of feature phrases and documents' beginnings."""
+    """Laundry, parking, pets, flexible spaces and housing of texts made of feature phrases and whole documents."""
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % n + 1).cast("int"))
-    said = F.concat(pick(_SAID, 7), F.lit(" "), F.substring("text", 1, 40))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array(pick(_FEATURES, 12)).alias("f"), said.alias("d"))
-    office = X.matches_words(X.canonical_text(F.col("d")), *C.FLEX_DESCRIBED["office"])
-    shared = X.matches_words(X.canonical_text(F.col("d")), *C.SHARED_HOUSING)
-    return d.select("id", C.classify_laundry(F.col("f"), F.col("d")).alias("laundry"), C.classify_parking(F.col("f"), F.col("d")).alias("parking"), C.classify_pets(F.col("f")).alias("pets"), office.alias("office"), shared.alias("shared_housing"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array(pick(_FEATURES, 12)).alias("f"), F.concat(pick(_SAID, 7), F.lit(" "), "text").alias("d"))
+    nothing = F.lit(None).cast(T.TAGGED)
+    shared, student = C.housing_kind(lambda path: nothing, F.array().cast(f"array<map<string, {T.TAGGED}>>"), F.col("d"), F.lit(""))
+    parking = C.classify_parking(F.col("f"), F.col("d"))
+    return d.select(
+        "id", C.classify_laundry(F.col("f"), F.col("d")).alias("laundry"), parking.alias("parking"), C.classify_pets(F.col("f")).alias("pets"),
+        F.array_join(C.classify_flex(F.col("d"), F.col("f"), parking), ",").alias("flex"), shared.alias("shared_housing"), student.alias("student_housing"),
+    )
 
 
 _KEYS = "(" + ", ".join(f"'{k}'" for k in R.SENSITIVE) + ")"
@@ -413,4 +404,6 @@ def stream_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_entries(hops(events)).drop("time", "blocked", "wait", "receive")
 
 
-__all__ = ["ORACLES", "QUERIES", "script_text"]
+from terrasift import document_queries  # noqa: E402  they register themselves
+
+__all__ = ["ORACLES", "QUERIES", "document_queries"]
