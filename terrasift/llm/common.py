@@ -87,7 +87,10 @@ def fold(doc_id: Column, n: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path in the folder that all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:  # a single machine, as in tests
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        # a single machine, as in tests
         root = tempfile.mkdtemp(prefix="terrasift-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/t{uuid.uuid4().hex}"

@@ -5,15 +5,18 @@ wherever they stand. Each distinct chunk is stored once, under its digest. A rec
 node over their digests, and one over each block of recipes, verify what is read back.
 
 One pass encodes the texts and cuts them. A task sends the bytes of a chunk once, towards the partition of its digest;
-the rows of recipes go by document, so no partition gathers the copies of a frequent chunk. The store is two Parquet
-tables in a folder: ``log`` (recipe rows; bytes with the first row of each chunk) and ``recipes`` in ascending doc_id
-order.
+the rows of recipes go by document, so no partition gathers the copies of a frequent chunk. The store is four Parquet
+tables in a folder: ``log`` (recipe rows; bytes with the first row of each chunk), ``recipes`` in ascending doc_id
+order, ``manifest`` (the Merkle nodes above the recipes: of blocks, of parts, and the root) and ``meta`` (the width of
+ids).
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -42,21 +45,32 @@ _UNUSUAL = r"^ | $| [^!-~\x{A1}-\x{167F}\x{3001}-\x{D7FF}]"
 LOG = "doc_id {0}, rid long, seq int, n int, after long, hash binary, data binary"
 
 
+def width_of(definition: str) -> np.dtype:
+    """16 bits for an id if all of the vocabulary fit, else 32."""
+    known = json.loads(definition)
+    ids = [*known["model"]["vocab"].values(), *(token["id"] for token in known["added_tokens"])]
+    return np.dtype("<u2" if max(ids) < 1 << 16 else "<u4")
+
+
 class Encoder:
     """A byte-level BPE of the tokenizers library that remembers the ids of recent words.
 
     Texts are cut at single spaces into words, of which only new ones are encoded: many at a time as one text, to be told
     apart by the lengths of the ids in bytes. The ids of all words met stand one after another in ``pool``.
+
+    A special token that a text spells out is one id, as the library has it, or plain text if ``special_as_text``.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         vocabulary = self.tokenizer.get_vocab()
-        self.width = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
+        self.width = width_of(definition)
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.unusual = "|".join([_UNUSUAL, *(re.sub(r"([^0-9A-Za-z_])", r"\\\1", token) for token in added)])
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, at in vocabulary.items():
             self.sizes[at] = len(token)  # a character stands for a byte
@@ -91,7 +105,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
-        usual = pc.invert(pc.match_substring_regex(texts, _UNUSUAL))
+        usual = pc.invert(pc.match_substring_regex(texts, self.unusual))
         out: list[np.ndarray] = [self.pool[:0]] * len(texts)
         rest = np.flatnonzero(~usual.to_numpy(zero_copy_only=False)).tolist()
         for i, ids in zip(rest, self.ids([texts[i].as_py() for i in rest]), strict=True):
@@ -228,9 +242,37 @@ def write_store(docs: DataFrame, definition: str, path: str, end_id: int = 0) ->
     recipes = recipes.withColumn("node", F.sha2(F.array_join(F.transform("chunks", lambda c: F.hex(c["hash"])), ","), 256))
     ordered = running_total(recipes, ["doc_id", "rid"], "n_tokens", "start")
     written(ordered.withColumn("block", F.floor(F.col("rank") / BLOCK)), f"{path}/recipes")
-    blocks = spark.read.parquet(f"{path}/recipes").groupBy("part", "block")
-    listed = F.sort_array(F.collect_list(F.struct("rank", "node")))
-    written(blocks.agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["node"]), ","), 256).alias("node")), f"{path}/manifest")
+    written(merkle_nodes(spark, path), f"{path}/manifest")
+    spark.createDataFrame([(width_of(definition).str,)], "width string").write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def merkle_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """part, block, node: of each block's recipes, of each part's blocks (block null), and of all parts, the root.
+
+    A part is a range of recipes that one task has written, so the root is over as many nodes as there are tasks.
+    """
+
+    def above(nodes: DataFrame, by: list[str], order: str) -> DataFrame:
+        listed = F.sort_array(F.collect_list(F.struct(order, "node")))
+        return nodes.groupBy(*by).agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["node"]), ","), 256).alias("node"))
+
+    blocks = above(spark.read.parquet(f"{path}/recipes"), ["part", "block"], "rank")
+    parts = above(blocks, ["part"], "block")
+    return blocks.unionByName(parts, allowMissingColumns=True).unionByName(above(parts, [], "part"), allowMissingColumns=True)
+
+
+def damaged(spark: SparkSession, path: str) -> DataFrame | None:
+    """rid of the recipes below nodes that differ from the manifest; None without any. All if the root differs."""
+    key = F.struct(F.coalesce("part", F.lit(-1)), F.coalesce("block", F.lit(-1)))
+    again = merkle_nodes(spark, path).select(key.alias("key"), "part", "block", F.col("node").alias("again"))
+    kept = spark.read.parquet(f"{path}/manifest").select(key.alias("key"), F.col("part").alias("p"), F.col("block").alias("b"), "node")
+    wrong = written(again.join(kept, "key", "full").filter(~F.col("again").eqNullSafe(F.col("node"))).select(F.coalesce("part", "p").alias("part"), F.coalesce("block", "b").alias("block")))
+    if wrong.isEmpty():
+        return None
+    recipes = spark.read.parquet(f"{path}/recipes").select("rid", "part", "block")
+    blocks = wrong.filter("block IS NOT NULL")
+    # nodes above changed blocks change too; if nothing below tells which, all is in doubt
+    return recipes.join(blocks, ["part", "block"], "left_semi").select("rid") if not blocks.isEmpty() else recipes.select("rid")
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -273,12 +315,15 @@ def shift_crc(crc: np.ndarray, behind: np.ndarray) -> np.ndarray:
 _TABLES = _shift_tables()
 
 
-def read_digests(spark: SparkSession, path: str, width: str = "<u2") -> DataFrame:
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, verified for each document, from the stored bytes.
 
     Each chunk is read once: its bytes must have its digest, and give the crc32 of its ids as 32-bit integers. The
-    crc32 of a document is the xor of its chunks' shares, so no document is put together in one place.
+    crc32 of a document is the xor of its chunks' shares, so no document is put together in one place. A document is
+    verified if all its chunks are there and sound, its recipe has its node, and the nodes above it agree with the
+    manifest up to the root. A lost chunk leaves its documents unverified, a lost recipe all of its block.
     """
+    width = spark.read.parquet(f"{path}/meta").first().width
 
     def inspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,19 +335,22 @@ def read_digests(spark: SparkSession, path: str, width: str = "<u2") -> DataFram
 
     @F.pandas_udf("long")
     def share(crc: pd.Series, behind: pd.Series) -> pd.Series:
-        return pd.Series(shift_crc(crc.to_numpy(), behind.to_numpy()).astype(np.int64))
+        return pd.Series(shift_crc(crc.fillna(0).to_numpy(), behind.to_numpy()).astype(np.int64))
 
     log = spark.read.parquet(f"{path}/log").filter("data IS NOT NULL").select("hash", "data")
     chunks = map_batches(log, inspected, "hash binary, crc long, held int, sound boolean")
-    read = read_recipes(spark, path).join(chunks, "hash").withColumn("share", share("crc", F.col("after") * 4))
+    read = read_recipes(spark, path).join(chunks, "hash", "left").withColumn("share", share("crc", F.col("after") * 4))
     named = F.sort_array(F.collect_list(F.struct("seq", "hash")))
     whole = read.groupBy("doc_id", "rid", "start", "n_tokens", "node").agg(
         F.bit_xor("share").alias("ids_crc32"),
-        F.sum("held").alias("held"),
-        F.min("sound").alias("sound"),
+        F.coalesce(F.sum("held"), F.lit(0)).alias("held"),
+        F.min(F.coalesce("sound", F.lit(False))).alias("sound"),
         F.sha2(F.array_join(F.transform(named, lambda c: F.hex(c["hash"])), ","), 256).alias("again"),
     )
     verified = F.col("sound") & (F.col("again") == F.col("node")) & (F.col("held") == F.col("n_tokens"))
+    if (doubtful := damaged(spark, path)) is not None:
+        whole = whole.join(doubtful.withColumn("doubtful", F.lit(True)), "rid", "left")
+        verified = verified & F.col("doubtful").isNull()
     return whole.select("doc_id", "start", F.col("held").alias("n_tokens"), "ids_crc32", verified.alias("verified"))
 
 

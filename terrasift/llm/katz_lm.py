@@ -29,6 +29,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from terrasift.llm.common import lower_words, map_batches, written
 
@@ -306,7 +307,7 @@ def katz_scores(docs: DataFrame, training: Column) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     kind_of_id = texts.schema["doc_id"].dataType.simpleString()
-    schema, arrow_id = PACKED.format(kind_of_id), {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind_of_id]
+    schema, arrow_id = PACKED.format(kind_of_id), to_arrow_type(texts.schema["doc_id"].dataType)
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(arrow_id)]
     own, shared_words = learn_vocabulary(written(count_words(texts.filter("training")))) if VOCABULARY is not None else (None, 0)
     head = spark.sparkContext.broadcast(own)

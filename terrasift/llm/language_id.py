@@ -4,7 +4,7 @@ Each word has affix, n-gram and lexicon features with learned weights; learned t
 code-switched texts come out as runs. Forward-backward gives each word's probabilities, vectorised over documents that
 advance by one word together. A document's language is the one with the largest sum of them.
 
-The model is fitted by the driver on a bounded sample (``PER_LANGUAGE`` whole documents a language), with segments of
+The model is fitted by the driver on a bounded sample (``PER_LANGUAGE`` documents a language, ``LEARNED`` characters of each), with segments of
 different languages joined so that transitions can be learned; it is broadcast (``BUCKETS`` x languages weights).
 """
 
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from terrasift.llm.common import BATCH_BYTES, broadcast_key, doc_texts, map_batches, once
 
-#: Most labelled documents of a language that the model is fitted on.
-PER_LANGUAGE = 300
+#: Most labelled documents of a language that the model is fitted on, and characters of each.
+PER_LANGUAGE, LEARNED = 300, 20_000
 #: Hashed features, and words of the lexicon with a feature of their own.
 BUCKETS, LEXICON = 1 << 16, 20_000
 #: Fitting: steps, step width, decay; words of a joined segment, segments of a sequence, chance of another language.
@@ -38,9 +38,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 def words_of(text: str) -> list[str]:
     """Runs of letters in lower case; none if the text has no letter."""
     words = _LETTERS.findall(text.lower())
-    if len(words) < 4 and not any(c.isalpha() for word in words for c in word):
-        return []
-    return words
+    return words if any(c.isalpha() for word in words for c in word) else []  # "²" is no letter
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
@@ -189,8 +187,11 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Model | None:
 
 
 def sample(docs: DataFrame, training: Column) -> list[tuple[str, str]]:
-    """(language, text) of at most about PER_LANGUAGE training rows a language, chosen by a hash of the id."""
-    labelled = docs.select("doc_id", "text", "lang").filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    """(language, text) of at most about PER_LANGUAGE training rows a language, chosen by a hash of the id.
+
+    Of a longer text LEARNED characters are learned from; predictions are of whole texts.
+    """
+    labelled = docs.select("doc_id", F.substring("text", 1, LEARNED).alias("text"), "lang").filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = dict(labelled.groupBy("lang").count().collect())
     if not counts:
         return []

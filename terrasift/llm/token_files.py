@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasift.llm.common import broadcast_key, doc_texts, map_batches, once, written
-from terrasift.llm.content_store import Encoder
+from terrasift.llm.content_store import Encoder, width_of
 
 #: Bytes of a block.
 BLOCK = 4 << 20
@@ -41,7 +41,7 @@ def write_token_files(docs: DataFrame, definition: str, end_id: int, folder: str
     key = broadcast_key("encoder", shared)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, store = once(key, lambda: Encoder(shared.value)), filesystem(folder)[0]
+        encoder, store = once(key, lambda: Encoder(shared.value, special_as_text=True)), filesystem(folder)[0]
         path, n, out = f"{root}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin", 0, None
         try:
             for whole in batches:
@@ -120,7 +120,7 @@ def token_counts(docs: DataFrame, definition: str, end_id: int, folder: str) ->
     gives an empty one. Other columns are not looked at.
     """
     names = write_token_files(docs, definition, end_id, folder)
-    width = Encoder(definition).width.str
+    width = width_of(definition).str
     found = scan_token_files(names, folder, end_id, width).filter("closed")
     ids = names.join(found, ["path", "ordinal"])
     return ids.select("doc_id", "n_tokens", "start")

@@ -86,6 +86,15 @@ def definition():
 def library(definition):
     from tokenizers import Tokenizer
 
+    found = Tokenizer.from_str(definition)
+    return lambda text: found.encode(text, add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def plain_library(definition):
+    """Special tokens that a text spells out are text."""
+    from tokenizers import Tokenizer
+
     found = Tokenizer.from_str(definition)
     found.encode_special_tokens = True
     return lambda text: found.encode(text, add_special_tokens=False).ids
@@ -133,11 +142,36 @@ def test_content_store(spark, docs, none, definition, library):
     again = Counter((r.doc_id, tuple(np.frombuffer(r.data, "<u2").tolist())) for r in content_store.reconstruct(spark, path).collect())
     assert again == Counter((i, tuple(x)) for i, x in wanted)
     log = spark.read.parquet(f"{path}/log").filter("data IS NOT NULL")
+    assert {r.node for r in spark.read.parquet(f"{path}/manifest").filter("part IS NULL").collect()} == {r.node for r in content_store.merkle_nodes(spark, path).filter("part IS NULL").collect()}
     assert log.count() == log.select("hash").distinct().count() == log.select("data").distinct().count()
     content_store.write_store(none, definition, empty := shared_dir(spark))
     assert content_store.read_digests(spark, empty).count() == 0
 
 
+def test_store_tells_changed_recipes(spark, docs, definition, monkeypatch):
+    """A recipe with a fitting node is still not the manifest's; a lost chunk or recipe shows as well."""
+    monkeypatch.setattr(content_store, "BLOCK", 4)
+    content_store.write_store(docs.filter("doc_id < 8").coalesce(1), definition, path := shared_dir(spark))
+    assert all(r.verified for r in content_store.read_digests(spark, path).collect())
+    recipes = written(spark.read.parquet(f"{path}/recipes"))
+    first = F.col("rank") == 0
+    chunks = F.when(first, F.slice("chunks", 1, 1)).otherwise(F.col("chunks"))
+    other = F.transform(chunks, lambda c: F.when(first, c.withField("hash", F.unhex(F.lit("00" * 16)))).otherwise(c))
+    node = F.sha2(F.array_join(F.transform(other, lambda c: F.hex(c["hash"])), ","), 256)
+    recipes.withColumn("chunks", other).withColumn("node", node).write.mode("overwrite").parquet(f"{path}/recipes")
+    rows = content_store.read_digests(spark, path).collect()
+    assert len(rows) == recipes.count() and 0 < sum(r.verified for r in rows) < len(rows)
+    recipes.filter(~first).write.mode("overwrite").parquet(f"{path}/recipes")
+    lost = content_store.read_digests(spark, path).collect()
+    assert len(lost) == len(rows) - recipes.filter(first).count() and not all(r.verified for r in lost)
+
+
+def test_large_vocabularies_take_wide_ids():
+    known = {"model": {"vocab": {str(i): i for i in range(1 << 16)}}, "added_tokens": []}
+    assert content_store.width_of(json.dumps(known)).str == "<u2"
+    assert content_store.width_of(json.dumps(known | {"added_tokens": [{"id": 1 << 16}]})).str == "<u4"
+
+
 def test_store_tells_damage(spark, docs, definition):
     content_store.write_store(docs.filter("doc_id < 6"), definition, path := shared_dir(spark))
     log = written(spark.read.parquet(f"{path}/log"))
@@ -146,10 +180,10 @@ def test_store_tells_damage(spark, docs, definition):
     assert not any(r.verified for r in content_store.read_digests(spark, path).collect())
 
 
-def test_token_files(spark, docs, none, definition, library, monkeypatch):
+def test_token_files(spark, docs, none, definition, plain_library, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK", 1000)
     found = token_files.token_counts(docs, definition, 50256, shared_dir(spark)).collect()
-    assert Counter((r.doc_id, r.n_tokens) for r in found) == Counter((i, len(library(t))) for i, t in pairs(docs))
+    assert Counter((r.doc_id, r.n_tokens) for r in found) == Counter((i, len(plain_library(t))) for i, t in pairs(docs))
     assert token_files.token_counts(none, definition, 50256, shared_dir(spark)).count() == 0
 
 
@@ -222,7 +256,7 @@ def test_templates():
 def test_language_id(spark, none):
     rng = random.Random(2)
     rows = [(i, prose(lang, rng.randint(5, 60), rng), lang) for i, lang in enumerate(rng.choices(list(WORDS), k=400))]
-    rows += [(900 + i, t, None) for i, t in enumerate([None, "", "12 !", "²", "der", LONG])]
+    rows += [(900 + i, t, None) for i, t in enumerate([None, "", "12 !", "² ³ ¹ ½", "der", LONG])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = {r.doc_id: r for r in language_id.language_id(docs, fold(F.col("doc_id"), 4) != 2).collect()}
     assert len(found) == len(rows)
