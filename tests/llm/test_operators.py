@@ -244,15 +244,54 @@ def test_templates():
     refused = ["licensed under mit end", "licensed apache end", "licensed mit x y z end", "licensed mit"]
     assert all(m.end(t.encode().split(), 0) == len(t.split()) for t in accepted)
     assert all(m.end(t.encode().split(), 0) < 0 for t in refused)
-    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.TEMPLATES)
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.TEMPLATES, license_scan.REFERENCES)
     text = "x CC-BY 4.0! Copyright (c) 2020 A B. All rights reserved, all rights reserved; GNU General Public License, version 3"
     n, base, first, last, base_labels, labels, score, spans = scanner.scan(text)
     assert (n, base, first, last, base_labels, score) == (22, 4, 1, 17, ["cc-by", "gpl", "reserved"], 1.0)
-    assert labels == ["cc-by", "cc-by-4.0", "gpl", "gpl-3.0", "reserved", "reserved-notice"] and ("cc-by-4.0", 1, 5) in spans
+    assert labels == ["cc-by", "cc-by-4.0-ref", "gpl", "gpl-3.0-ref", "reserved", "reserved-notice"] and ("cc-by-4.0-ref", 1, 5) in spans
     with pytest.raises(ValueError):
         license_scan.compile_template("a <<optional>> b")
 
 
+def notice(markup, name="Ann Example and others"):
+    """A text of a template: names for free words, every region left out that may be, the first of each choice."""
+    text = re.sub(r"<<optional>>(?:<<one of:[^>]*>>|[^<])*<<end>>", " ", markup)
+    text = re.sub(r"<<one of:([^>]*)>>", lambda m: m[1].split("|")[0], text)
+    return re.sub(r"<<words: \d+>>", name, text)
+
+
+def test_notices_need_their_whole_wording():
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.TEMPLATES, license_scan.REFERENCES)
+    rng = random.Random(15)
+    for label, markup in license_scan.TEMPLATES.items():
+        words = notice(markup).split()
+        found = scanner.scan("# (c) 2020 Ann\n" + " ".join(words).upper() + "\nint main")
+        assert label in found[5] and found[6] == license_scan.NOTICE, label
+        for _ in range(5 if len(words) > 20 else 0):  # one mandatory word is another one, or is missing
+            at = rng.choice([i for i, w in enumerate(words) if w not in "Ann Example and others".split() and re.search("[a-z]", w)])
+            for changed in ([*words[:at], "zebra", *words[at + 1 :]], [*words[:at], *words[at + 1 :]]):
+                if label == "bsd-3-clause" or at < len(words) - 12:
+                    assert label not in scanner.scan(" ".join(changed))[5], (label, words[at])
+    assert "bsd-2-clause" not in scanner.scan(notice(license_scan.TEMPLATES["bsd-3-clause"]))[5]
+    header = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    assert scanner.scan(header)[5] == ["gpl", "gpl-3.0"]
+
+
+def test_license_phrases_against_plain_search(spark):
+    """Base columns on texts full of phrases, parts of them, and other words between."""
+    rng = random.Random(16)
+    pool = "CC BY cc-by General public license GENERAL-PUBLIC general license All rights reserved. all rights é x1 by,by".split()
+    texts = [" ".join(rng.choices(pool, k=rng.randint(0, 40))) for _ in range(300)]
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        words = pattern.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        hits = [(at, label) for phrase, label in license_scan.PHRASES.items() for at in range(len(words)) if words[at : at + len(phrase.split())] == phrase.split()]
+        starts = [at for at, _ in hits]
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word) == (len(words), len(hits), min(starts, default=None), max(starts, default=None))
+        assert got[i].base_labels == sorted({label for _, label in hits}) and set(got[i].base_labels) <= set(got[i].labels)
+
+
 def test_language_id(spark, none):
     rng = random.Random(2)
     rows = [(i, prose(lang, rng.randint(5, 60), rng), lang) for i, lang in enumerate(rng.choices(list(WORDS), k=400))]
