@@ -85,7 +85,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte-level BPE", encode_stage),
 ]
 
-#: Language id and near dedup aren't SQL; the tests run a plain version.
+#: Language id and near dedup aren't SQL; the tests check what each stage keeps, and the operators against plain versions.
 ORACLE_SQL = None
 
 
