@@ -11,8 +11,10 @@ whose add-one mass they divide by their exact counts.
 
 Words are known by 64-bit hashes. A pass over the texts sends each slice's distinct pairs, packed by bucket, to tables
 of pair types; the places of a slice's pairs stay packed. Pairs are dealt over a square of buckets, by the second word
-one way and by the first the other, so that a frequent word is in many buckets, yet none in all. Buckets ask the partitioned tables of words for counts, then those of
-contexts for backoff weights, and send each slice of documents its sums.
+one way and by the first the other, so that a frequent word is in many buckets, yet none in all. Buckets ask the
+partitioned tables of words for counts, then those of contexts for backoff weights, and send each slice of documents its
+sums. A pair that more than PLACES documents of a slice hold sends its bucket one place for the slice; which documents
+these are stays with the slice. So no bucket gets a place for each document, however frequent a pair is.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ DISCOUNTED = 5
 BUCKETS, BUCKET_BYTES = 64, 20_000_000
 #: Documents of a slice; words that a task counts before it sends them on, and whose hashes it remembers.
 SLICE, COUNTED = 2048, 400_000
+#: Places of a pair that a slice sends at most.
+PLACES = 16
 PACKED = "kind string, bucket int, part int, slice long, a binary, b binary, ids array<{0}>"
 NAMES = ["kind", "bucket", "part", "slice", "a", "b", "ids"]
 
@@ -198,7 +202,7 @@ class Slicer:
         self.own, self.buckets, self.hashes = own, buckets, Hashes()
 
     def slice(self, texts: list[str], training: list[bool]) -> Iterator[tuple]:
-        """(kind, bucket, a, b): pairs of each bucket with their places, and the documents."""
+        """(kind, bucket, a, b): pairs of each bucket with their places, and the documents with those of frequent pairs."""
         if len(self.hashes) > COUNTED:
             self.hashes.clear()
         found, sizes = [], []
@@ -216,10 +220,11 @@ class Slicer:
             context = np.concatenate([flat[:-1], np.full(len(exact), SHARED)])
             word = np.concatenate([flat[1:], exact])
         at = np.concatenate([rows, rows[shared[1:]]]) if self.own is not None else rows
-        yield from self.packed(context, word, at, np.array(training, bool))
-        yield "text", 0, pack(np.array(sizes, np.int64), np.bincount(rows, shared[1:], len(sizes)).astype(np.int64)), None
+        frequent = yield from self.packed(context, word, at, np.array(training, bool))
+        yield "text", 0, pack(np.array(sizes, np.int64), np.bincount(rows, shared[1:], len(sizes)).astype(np.int64)), frequent
 
     def packed(self, context: np.ndarray, word: np.ndarray, rows: np.ndarray, training: np.ndarray) -> Iterator[tuple]:
+        """Rows of buckets; returns the places of frequent pairs, each of which is one more document to its bucket."""
         names, number = np.unique(np.concatenate([context, word]), return_inverse=True)
         a, w = number[: len(context)].astype(np.uint64), number[len(context) :].astype(np.uint64)
         n_names, n_rows = np.uint64(len(names)), np.uint64(SLICE)
@@ -228,7 +233,15 @@ class Slicer:
         first = starts(pair)
         trained = np.add.reduceat(n * training[row], first)
         sizes = np.diff(np.append(first, len(pair)))
-        a, w = names[(pair[first] % n_names).astype(np.int64)], names[(pair[first] // n_names).astype(np.int64)]
+        often = sizes > PLACES
+        frequent, which = np.repeat(often, sizes), pair[first]
+        kept = pack(sizes[often], row[frequent], n[frequent])
+        row[first[often]], n[first[often]] = len(training) + np.arange(often.sum()), 1
+        sent = ~frequent
+        sent[first[often]] = True
+        row, n, sizes = row[sent], n[sent], np.where(often, 1, sizes)
+        first = np.cumsum(sizes) - sizes
+        a, w = names[(which % n_names).astype(np.int64)], names[(which // n_names).astype(np.int64)]
         side, mix = math.isqrt(self.buckets), np.uint64(0x9E3779B97F4A7C15)  # the low bits tell, the high ones are the tables' parts
         bucket = (parts(w * mix, side) * np.uint64(side) + parts(a * mix, side)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")  # still by word and context within a bucket
@@ -239,6 +252,7 @@ class Slicer:
                 begin = np.repeat(first[own] - np.cumsum(sizes[own]) + sizes[own], sizes[own])
                 at = begin + np.arange(len(begin))
                 yield "pair", b, pack_types(w[own], a[own], trained[own]), pack(sizes[own], row[at], n[at])
+        return kept
 
 
 def merged(table: pa.Table) -> Iterator[tuple]:
@@ -411,13 +425,15 @@ def katz_scores(docs: DataFrame, training: Column) -> DataFrame:
         rows = table.to_pylist()
         text = next(row for row in rows if row["kind"] == "text")
         n, shared = (x.astype(np.int64) for x in unpack(text["a"]))
-        score, base, known = -shared * math.log10(model.shared_mass), np.zeros(len(n)), np.zeros(len(n), np.int64)
+        sizes, held_by, times = (x.astype(np.int64) for x in unpack(text["b"]))
+        sums = np.zeros((3, len(n) + len(sizes)))
         for row in rows:
             if row["kind"] == "sum":
-                (at,), (s, b, k) = unpack(row["a"]), unpack(row["b"])
-                score[at] += s
-                base[at] += b
-                known[at] += k
+                (at,), values = unpack(row["a"]), unpack(row["b"])
+                sums[:, at] += np.array(values)
+        pair = np.repeat(len(n) + np.arange(len(sizes)), sizes)
+        score, base, known = (x[: len(n)] + np.bincount(held_by, x[pair] * times, len(n)) for x in sums)
+        score, known = score - shared * math.log10(model.shared_mass), np.rint(known).astype(np.int64)
         base = base - n * math.log10(tokens + words + 1)
         columns = [pa.array(text["ids"], arrow_id), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens, np.int64)), pa.array(base), pa.array(score if tokens else base)]
         return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
