@@ -17,6 +17,7 @@ from terrasift.llm.language_id import language_id
 from terrasift.llm.katz_lm import katz_scores
 from terrasift.llm.license_scan import license_scan
 from terrasift.llm.minhash_join import near_duplicates
+from terrasift.llm.oracles import DECODED, EXACT_DEDUP, KATZ, LICENSE_PHRASES, NEAR_DUPLICATES
 from terrasift.llm.token_files import token_counts
 from terrasift.llm.toxicity import toxicity
 
@@ -28,13 +29,6 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"), keep="largest")
 
 
-OP1_SQL = """
-SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
-FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
-"""
-
-
 def tokenizer_file(name: str) -> str:
     with open(f"{TOKENIZERS}/{name}", encoding="utf-8") as file:
         return file.read()
@@ -94,6 +88,21 @@ def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def bpe_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ids decode to, for a comparison with the texts."""
+    return op7_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the license scan that SQL can give."""
+    return op8_license_scan(spark, sf_dir).drop("labels", "score")
+
+
+def katz_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores under the backoff model, rounded as sums in another order differ in their last digits."""
+    return op9_katz_backoff(spark, sf_dir).drop("held_out").withColumns({c: F.round(c, 4) for c in ("base_score", "score")})
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
@@ -105,5 +114,15 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_katz_backoff": op9_katz_backoff,
     "op10_minhash_join": op10_minhash_join,
+    # results of operators above in the form that SQL gives too
+    "bpe_decoded": bpe_decoded,
+    "license_phrases": license_phrases,
+    "katz_rounded": katz_rounded,
+}
+ORACLES = {
+    "op1_exact_dedup": EXACT_DEDUP,
+    "op10_minhash_join": NEAR_DUPLICATES,
+    "bpe_decoded": DECODED,
+    "license_phrases": LICENSE_PHRASES,
+    "katz_rounded": KATZ,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL}
