@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -45,6 +46,8 @@ DISCOUNTED = 5
 BUCKETS, BUCKET_BYTES = 64, 20_000_000
 #: Documents of a slice; words that a task counts before it sends them on, and whose hashes it remembers.
 SLICE, COUNTED = 2048, 400_000
+#: Bytes of text of a slice at most, but for a text that is longer by itself.
+SLICE_BYTES = 8_000_000
 #: Places of a pair that a slice sends at most.
 PLACES = 16
 PACKED = "kind string, bucket int, part int, slice long, a binary, b binary, ids array<{0}>"
@@ -195,6 +198,18 @@ class Hashes(dict):
         return found
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of at most SLICE rows and SLICE_BYTES of text."""
+    begin = size = 0
+    for at, more in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+        if at > begin and (at - begin == SLICE or size + more > SLICE_BYTES):
+            yield batch.slice(begin, at - begin)
+            begin, size = at, 0
+        size += more
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 class Slicer:
     """Counts of a slice of documents, packed for the tables."""
 
@@ -335,8 +350,7 @@ def katz_scores(docs: DataFrame, training: Column) -> DataFrame:
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slicer, n = Slicer(head.value, buckets), TaskContext.get().partitionId() << 24
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch):
                 ids = part.column("doc_id").to_pylist()
                 rows = slicer.slice(part.column("text").to_pylist(), part.column("training").to_pylist())
                 out = [(kind, n % buckets if kind == "text" else b, None, n, x, y, ids if kind == "text" else None) for kind, b, x, y in rows]

@@ -547,6 +547,27 @@ def test_katz_counts_every_word(spark):
     assert (got[70].n_tokens, got[70].n_known, got[70].train_tokens) == (3, 3, 70_070)
 
 
+@pytest.mark.parametrize("vocabulary", [None, 6])
+def test_katz_of_frequent_pairs(spark, monkeypatch, vocabulary):
+    """Pairs in more documents than a slice sends places for, some several times in a text."""
+    monkeypatch.setattr(katz_lm, "VOCABULARY", vocabulary)
+    rng = random.Random(8)
+    texts = ["all rights " * rng.choice([1, 1, 3]) + " ".join(f"w{rng.randrange(40)}" for _ in range(i % 7)) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = sorted(katz_lm.katz_scores(docs, F.col("doc_id") % 4 != 1).collect(), key=lambda r: r.doc_id)
+    wanted, _ = plain_katz(texts, [i % 4 != 1 for i in range(300)], 65_000 if vocabulary is None else vocabulary)
+    assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [w[:3] for w in wanted]
+    assert np.allclose([(r.base_score, r.score) for r in got], [w[3:] for w in wanted], rtol=1e-9)
+
+
+def test_slices(monkeypatch):
+    monkeypatch.setattr(katz_lm, "SLICE", 3)
+    monkeypatch.setattr(katz_lm, "SLICE_BYTES", 10)
+    cut = lambda texts: [x.column("text").to_pylist() for x in katz_lm.slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]))]
+    assert cut([]) == [] and cut(["", "", "", ""]) == [["", "", ""], [""]]
+    assert cut(["x" * 20, "a", "b" * 9, "é" * 5, "c"]) == [["x" * 20], ["a", "b" * 9], ["é" * 5], ["c"]]
+
+
 def test_katz_without_training(docs):
     rows = katz_lm.katz_scores(docs, F.lit(False)).collect()
     assert len(rows) == len(AWKWARD) and all(r.train_tokens == 0 and r.n_known == 0 and r.score == r.base_score == 0 for r in rows)
