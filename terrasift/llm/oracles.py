@@ -81,3 +81,67 @@ FROM parts GROUP BY doc_id
 """
 
 DECODED = "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"
+
+
+def _repair() -> str:
+    """The forward pass turn by turn; a path is its cost in nine digits, its audit string, and the repaired text."""
+
+    def path(before: str, cost: str, letter: str, said: str | None, first: bool) -> str:
+        text = f"{before}.t" if said is None else said if first else f"concat({before}.t, chr(10), {said})"
+        return f"{{'k': concat(lpad(CAST(CAST(left({before}.k, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0'), substr({before}.k, 10), '{letter}'), 't': {text}}}"
+
+    def layer(state: str, initial: str, name: str, before: list[str]) -> str:
+        """The least path into a state: the turn deleted, kept or given another role."""
+        kept = "concat(j.role, ':', j.text)"
+        options = [path(f"w.{state}", "2", "D", None, False)]
+        for b in before:
+            options.append(f"CASE WHEN j.stays AND left(j.role, 1) = '{initial}' THEN {path(f'w.{b}', 'j.more', 'K', kept, b == 'z')} END")
+            if name:
+                given = f"concat('{name}:', j.text)"
+                options.append(f"CASE WHEN j.stays THEN {path(f'w.{b}', '1 + j.more', 'R', given, b == 'z')} END")
+        return f"list_min(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL)) AS {state}"
+
+    layers = ", ".join([layer("z", "", "", []), layer("s", "s", "", ["z"]), layer("u", "u", "user", ["z", "s", "a"]), layer("a", "a", "assistant", ["u"])])
+    into_u = f"list_min([u, {path('z', '5', 'I', chr(39) + 'user:' + chr(39), True)}, {path('s', '5', 'I', chr(39) + 'user:' + chr(39), False)}, {path('a', '5', 'I', chr(39) + 'user:' + chr(39), False)}])"
+    into_a = f"list_min([a, {path('u', '5', 'I', chr(39) + 'assistant:' + chr(39), False)}])"
+    none = "{'k': '900000000', 't': ''}"
+    closed = lambda inside: f"SELECT conv_id, i, z, s, u, {into_a} AS a FROM (SELECT conv_id, i, z, s, {into_u} AS u, a FROM ({inside}))"
+    key = "concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))"
+    return f"""
+WITH RECURSIVE marked AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32(key)} % 20 AS fault FROM conversations),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+           CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM marked),
+seen AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS copies FROM damaged),
+placed AS (
+    SELECT *, row_number() OVER turns AS i, lag(left(role, 1)) OVER turns AS earlier
+    FROM seen WINDOW turns AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copies)),
+judged AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b' WHEN copies > 1 THEN 'd'
+                   WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '' END AS fault
+    FROM placed),
+turns AS (
+    SELECT conv_id, i, role, text, fault NOT IN ('b', 'd') AS stays, CASE fault WHEN 't' THEN 5 ELSE 0 END AS more FROM judged),
+walk AS (
+    {closed(f"SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, {{'k': '000000000', 't': ''}} AS z, {none} AS s, {none} AS u, {none} AS a FROM conversations")}
+    UNION ALL
+    {closed(f"SELECT w.conv_id, j.i, {layers} FROM walk w JOIN turns j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1")}),
+ends AS (
+    SELECT conv_id, list_min([z, a]) AS best FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+           count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+           count(*) FILTER (earlier IS NOT NULL AND concat(earlier, left(role, 1)) NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM judged GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(left(best.k, 9) AS BIGINT) AS cost,
+       substr(best.k, 10) AS audit, sha256(best.t) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+REPAIR = _repair()

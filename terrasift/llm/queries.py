@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 from terrasift.llm.byte_bpe import bpe_encode, broadcast_tables
 from terrasift.llm.common import fold, read_table, shared_dir
 from terrasift.llm.content_store import read_digests, write_store
+from terrasift.llm.conversation_repair import damaged, repair
 from terrasift.llm.decontamination import find_leaks
 from terrasift.llm.exact_dedup import exact_dedup
 from terrasift.llm.language_id import language_id
 from terrasift.llm.katz_lm import katz_scores
 from terrasift.llm.license_scan import license_scan
 from terrasift.llm.minhash_join import near_duplicates
-from terrasift.llm.oracles import DECODED, EXACT_DEDUP, KATZ, LICENSE_PHRASES, NEAR_DUPLICATES
+from terrasift.llm.oracles import DECODED, EXACT_DEDUP, KATZ, LICENSE_PHRASES, NEAR_DUPLICATES, REPAIR
 from terrasift.llm.token_files import token_counts
 from terrasift.llm.toxicity import toxicity
+from terrasift.llm.word_bpe import word_bpe_encode
 
 #: Where the vocabulary files are; never copied into the repository.
 TOKENIZERS = os.environ.get("TERRASIFT_TOKENIZERS", os.path.dirname(public_tokenizers.__file__))
@@ -88,6 +90,21 @@ def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = damaged(read_table(spark, sf_dir, "conversations"))
+    return repair(turns, turns["there"])
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = word_bpe_encode(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), ("packed", "decoded"))
+    return coded.select(
+        "doc_id",
+        F.floor(F.octet_length("packed") / 4).cast("long").alias("n_tokens"),
+        F.sha2("packed", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def bpe_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What ids decode to, for a comparison with the texts."""
     return op7_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
@@ -114,6 +131,8 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_katz_backoff": op9_katz_backoff,
     "op10_minhash_join": op10_minhash_join,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_word_bpe": op13_word_bpe,
     # results of operators above in the form that SQL gives too
     "bpe_decoded": bpe_decoded,
     "license_phrases": license_phrases,
@@ -122,6 +141,7 @@ QUERIES = {
 ORACLES = {
     "op1_exact_dedup": EXACT_DEDUP,
     "op10_minhash_join": NEAR_DUPLICATES,
+    "op12_conversation_repair": REPAIR,
     "bpe_decoded": DECODED,
     "license_phrases": LICENSE_PHRASES,
     "katz_rounded": KATZ,
