@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrasift.llm.alignment import cross_alignment
 from terrasift.llm.byte_bpe import bpe_encode, broadcast_tables
 from terrasift.llm.common import fold, read_table, shared_dir
 from terrasift.llm.content_store import read_digests, write_store
@@ -90,6 +91,11 @@ def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(f"{TOKENIZERS}/piece_bpe_32k.model", "rb") as model:
+        return cross_alignment(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), model.read())
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = damaged(read_table(spark, sf_dir, "conversations"))
     return repair(turns, turns["there"])
@@ -131,6 +137,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_katz_backoff": op9_katz_backoff,
     "op10_minhash_join": op10_minhash_join,
+    "op11_cross_alignment": op11_cross_alignment,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_word_bpe": op13_word_bpe,
     # results of operators above in the form that SQL gives too
