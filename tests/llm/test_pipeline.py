@@ -1,5 +1,6 @@
 """The pipeline's stages, one after another, and the registered queries."""
 
+import re
 from pathlib import Path
 
 import duckdb
@@ -16,8 +17,8 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert set(QUERIES) | {"pipeline"} <= names and len(QUERIES) == 10
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert set(QUERIES) | {"pipeline"} <= names
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if re.match(r"op\d+_", n)) == list(range(1, 14))
 
 
 def test_stages(spark):
