@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from terrasift.functions.redact import is_json_media
 
 MAX_HOPS, MAX_PENDING = 10_000, 10_000
 #: Supplements without a request that a key holds after the cutoff.
@@ -200,14 +199,24 @@ def frame(rows: Iterable[dict]) -> pd.DataFrame:
     return pd.DataFrame(list(rows), columns=HOP_COLUMNS).astype(object).where(lambda f: f.notna(), None)
 
 
-def hops(events: DataFrame, cutoff: float | None = None) -> DataFrame:
+#: What hops have beside HOP if whole entries are made of them, and columns of events that may be missing.
+WHOLE = "told_request_headers map<string, string>, told_response_headers map<string, string>, status_text string, post_data string, body binary"
+OPTIONAL = {"status_text": "string", "post_data": "string", "body": "binary"}
+
+
+def hops(events: DataFrame, cutoff: float | None = None, whole: bool = False) -> DataFrame:
     """Hops of a recorded log, each request id by itself in the order of ``seq``.
 
     One shuffle by request id: running counts give each event its hop and each supplement its number, an aggregation
     makes rows of both, and a second one puts the nth supplement to the nth hop that expects one. What a hop expects is
     what was last said of it; all hops but a request's last are known, as a redirect has closed them. Supplements of
     requests without a hop are counted as orphans. More than MAX_HOPS hops of a request fail.
+
+    With ``whole`` also what is needed for entries with headers and bodies: the columns of WHOLE. A request may have
+    ``post_data``, a response ``status_text``, and an event "responseBody" the ``body`` of the hop it follows.
     """
+    for name, kind_of in OPTIONAL.items() if whole else ():
+        events = events if name in events.columns else events.withColumn(name, F.lit(None).cast(kind_of))
     kind, seq, at = F.col("event_type"), F.col("seq"), F.col("ts_mono")
     is_ = lambda *names: kind.isin(*names)
     asked, answered = is_("requestWillBeSentExtraInfo"), is_("responseReceivedExtraInfo")
@@ -227,8 +236,9 @@ def hops(events: DataFrame, cutoff: float | None = None) -> DataFrame:
     moves = opens | is_("responseReceived", "dataReceived", "loadingFinished", "loadingFailed")
     data = is_("dataReceived") & (F.col("encoded_length") > 0)
     rows = rows.filter(supplement | (live & (F.col("hop") >= 0))).groupBy("request_id", supplement.alias("extra"), "n").agg(
-        only(opens, "seq", "url", "method", "type", "ts_mono", "ts_wall", "redirect_status", "redirect_has_extra_info").alias("opened"),
-        final(got, F.struct("status", "ts_mono", "protocol", "mime_type", "has_extra_info")).alias("response"),
+        only(opens, "seq", "url", "method", "type", "ts_mono", "ts_wall", "redirect_status", "redirect_has_extra_info", *(["headers", "post_data"] if whole else [])).alias("opened"),
+        final(got, F.struct("status", "ts_mono", "protocol", "mime_type", "has_extra_info", *(["headers", "status_text"] if whole else []))).alias("response"),
+        *([final(is_("responseBody"), F.col("body")).alias("body")] if whole else []),
         F.min_by("type", F.when(got & (F.col("type") != ""), seq)).alias("told_type"),
         final(is_("loadingFinished", "loadingFailed"), at).alias("done"), F.bool_or(is_("loadingFinished")).alias("finished_loading"),
         final(is_("loadingFinished"), F.col("encoded_length")).alias("encoded_length"),
@@ -254,7 +264,7 @@ def hops(events: DataFrame, cutoff: float | None = None) -> DataFrame:
     place = F.sum(F.col("expected").cast("int")).over(chain)
     rows = rows.withColumn("place", F.when(F.col("extra"), F.col("n")).when(F.col("expected"), place).otherwise(-1 - F.col("n")))
 
-    full = F.when(~F.col("extra"), F.struct("n", "opened", "response", "told_type", "done", "finished_loading", "encoded_length", "error", "last", "body_length", "from_cache", "next", "expected", "known"))
+    full = F.when(~F.col("extra"), F.struct("n", "opened", "response", "told_type", "done", "finished_loading", "encoded_length", "error", "last", "body_length", "from_cache", "next", "expected", "known", *(["body"] if whole else [])))
     rows = rows.groupBy("request_id", "place").agg(
         F.first(full, ignorenulls=True).alias("h"), F.first("sent", ignorenulls=True).alias("sent"), F.first("received", ignorenulls=True).alias("received"),
         F.first("hops").alias("hops"), (F.first("asked") + F.first("answered")).alias("orphans"),
@@ -273,8 +283,11 @@ def hops(events: DataFrame, cutoff: float | None = None) -> DataFrame:
         "from_cache": F.col("h.from_cache"), "finished_loading": F.col("h.finished_loading") | F.col("h.next").isNotNull(),
         "request_headers": own(F.col("sent.headers")), "response_headers": own(F.col("received.headers")), "incomplete": F.when(there, missing).otherwise(True), "orphans": F.when(there, 0).otherwise(F.col("orphans")),
     }
-    kinds = dict(part.split(" ", 1) for part in re.split(r", (?=[a-z_]+ )", HOP))
-    return rows.select("request_id", *(values[name].cast(kinds[name]).alias(name) for name in HOP_COLUMNS[1:]))
+    names, kinds = HOP_COLUMNS[1:], dict(part.split(" ", 1) for part in re.split(r", (?=[a-z_]+ )", f"{HOP}, {WHOLE}"))
+    if whole:
+        values |= {"told_request_headers": opened("headers"), "told_response_headers": F.col("h.response.headers"), "status_text": F.col("h.response.status_text"), "post_data": opened("post_data"), "body": F.col("h.body")}
+        names = [*names, *list(kinds)[-5:]]
+    return rows.select("request_id", *(values[name].cast(kinds[name]).alias(name) for name in names))
 
 
 def stream_hops(events: DataFrame, cutoff: float | None = None) -> DataFrame:
@@ -339,13 +352,13 @@ def content_length(headers: Column) -> Column:
 
 
 def needs_base64(media: Column, body: Column) -> Column:
-    """Whether a body is kept as base64: neither text by its type nor valid text."""
-    textual = F.lower(media).rlike("^text/|javascript|xml|x-www-form-urlencoded") | is_json_media(media)
-    return ~(F.coalesce(textual, F.lit(False)) & F.is_valid_utf8(body))
+    """Whether a body is kept as base64: it isn't valid text, or has a type that isn't text's."""
+    kind = F.lower(F.trim(F.substring_index(F.coalesce(media, F.lit("")), ";", 1)))
+    return ~F.is_valid_utf8(body) | ((kind != "") & ~kind.rlike("^text/|json|xml|javascript|ecmascript|x-www-form-urlencoded|svg"))
 
 
-def archive_entries(rows: DataFrame, cutoff: float | None = None) -> DataFrame:
-    """Entries of an archive in the order of the hops' first events: times, sizes, phases and remarks."""
+def entry_columns(cutoff: float | None = None) -> dict[str, Column]:
+    """An entry's times, sizes, phases and remarks by name, over the columns of hops."""
     cut = F.lit(cutoff).cast("double")
     start = F.col("started")
     end = F.coalesce("finished", F.when(cut >= start, cut), "last", "response_at", start)
@@ -363,14 +376,20 @@ def archive_entries(rows: DataFrame, cutoff: float | None = None) -> DataFrame:
         F.when(F.col("error") != "", F.concat(F.lit("Loading failure: "), "error")).when(~F.col("finished_loading"), F.lit("Request was still in flight at the capture cutoff; timing and sizes are incomplete.")),
         F.when(F.col("incomplete"), F.lit("Supplemental request/response metadata did not arrive before the capture cutoff.")),
     )
-    return rows.filter("hop >= 0").select(
-        "seq", "request_id", "hop", "method", "url", "status", http_version(F.col("protocol")).alias("httpVersion"), F.coalesce("type", F.lit("")).alias("resourceType"),
-        total.alias("time"), F.greatest(F.lit(0.0), total - wait - receive).alias("blocked"), wait.alias("wait"), receive.alias("receive"),
-        F.when(none, 0).when(F.col("from_cache"), 0).otherwise(body).alias("bodySize"), F.when(none, 0).otherwise(size).alias("contentSize"),
-        F.coalesce(header(F.col("response_headers"), "content-type"), "mime_type", F.lit("")).alias("mimeType"),
-        F.coalesce(header(F.col("response_headers"), "location"), F.lit("")).alias("redirectURL"),
-        F.coalesce("incomplete", F.lit(False)).alias("incomplete"), remarks.alias("comment"),
-    ).orderBy("seq")
+    return {
+        "httpVersion": http_version(F.col("protocol")), "resourceType": F.coalesce("type", F.lit("")),
+        "time": total, "blocked": F.greatest(F.lit(0.0), total - wait - receive), "wait": wait, "receive": receive,
+        "bodySize": F.when(none, 0).when(F.col("from_cache"), 0).otherwise(body), "contentSize": F.when(none, 0).otherwise(size),
+        "mimeType": F.coalesce(header(F.col("response_headers"), "content-type"), "mime_type", F.lit("")),
+        "redirectURL": F.coalesce(header(F.col("response_headers"), "location"), F.lit("")),
+        "incomplete": F.coalesce("incomplete", F.lit(False)), "comment": remarks,
+    }
+
+
+def archive_entries(rows: DataFrame, cutoff: float | None = None) -> DataFrame:
+    """Entries of an archive in the order of the hops' first events: times, sizes, phases and remarks."""
+    told = [c.alias(name) for name, c in entry_columns(cutoff).items()]
+    return rows.filter("hop >= 0").select("seq", "request_id", "hop", "method", "url", "status", *told).orderBy("seq")
 
 
 def page_timings(events: DataFrame) -> DataFrame:
