@@ -56,6 +56,11 @@ def is_reset(event: Column) -> Column:
     return contains_any(event, "listing removed", "removed listing", "off market", "sold", "pending sale")
 
 
+def is_listing(event: Column) -> Column:
+    """Whether a history event begins a listing's life."""
+    return contains_any(event, "listed for rent", "listed for rental", "rental listing")
+
+
 def history_events(history: Column) -> Column:
     """Rental events of a price history (array of maps of tagged scalars), oldest first; equal dates keep their order."""
     tag = lambda item, key: F.try_element_at(item, F.lit(key))
@@ -82,7 +87,7 @@ def recency(events: Column, today: Column) -> Column:
     start = F.struct(none.alias("listed"), none.alias("updated"))
 
     def step(state: Column, e: Column) -> Column:
-        listing = contains_any(e["event"], "listed for rent", "listed for rental", "rental listing")
+        listing = is_listing(e["event"])
         moved = F.when(state["listed"].isNotNull() & (e["date"] > state["updated"]), e["date"]).otherwise(state["updated"])
         both = lambda a, b: F.struct(a.alias("listed"), b.alias("updated"))
         return F.when(is_reset(e["event"]), both(none, none)).when(listing, both(e["date"], e["date"])).otherwise(both(state["listed"], moved))

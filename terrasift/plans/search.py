@@ -75,7 +75,7 @@ class SearchPlan:
         rows = rows.filter(W.recent(options))
         rows = self.limited(rows)
         if previous is not None:
-            rows = annotate_history(rows, previous, ROW, list(order))
+            rows = annotate_history(rows, previous, list(order))
         return rows
 
     def ordered(self, rows: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrasift.functions import classify as C
-from terrasift.functions import dates as D
 from terrasift.functions import redact as R
 from terrasift.functions import tagged as T
 from terrasift.functions import text as X
@@ -22,6 +21,7 @@ from terrasift.operators.dedup import first_wins, last_wins, listing_key
 from terrasift.operators.history import annotate_history, money_change
 from terrasift.operators.normalize import identifier_in_url
 from terrasift.operators.ranking import limit_per
+from terrasift.operators.recency import recency_of
 from terrasift.operators.render import comma, money, number
 from terrasift.registry import ORACLES, QUERIES, query, table
 from terrasift.sources.archive import query_items
@@ -190,7 +190,7 @@ def history_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.concat(F.lit("u"), (key * 3).cast("string")).alias("url")
     now = o.select(key.alias("ord"), F.when(key % 5 != 0, key.cast("string")).otherwise("").alias("id"), url, F.when(key % 4 != 0, price + key % 2).alias("price"), *same)
     before = o.filter(key % 3 != 0).select(key.alias("ord"), key.cast("string").alias("id"), url, price.alias("price"), *same)
-    return annotate_history(now, before, ["ord"], ["ord"]).select("ord", F.col("historyStatus").alias("status"), F.array_join("historyChanges", ";").alias("changes"))
+    return annotate_history(now, before, ["ord"]).select("ord", F.col("historyStatus").alias("status"), F.array_join("historyChanges", ";").alias("changes"))
 
 
 @query("""
@@ -201,13 +201,13 @@ SELECT l.user_id, strftime(listed, '%Y-%m-%d') AS listed, strftime(max(live.d),
 FROM l JOIN live ON live.user_id = l.user_id AND (live.d, live.event_id) >= l.at GROUP BY l.user_id, listed
 """)
 def recency_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signup lists, error resets, other events move the date: one fold over each user's ordered events."""
+    """Signup lists, error resets, other events move the date: the last life of each user's ordered events."""
     e = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "signup", "listed for rent").when(F.col("event_type") == "error", "listing removed").otherwise("rent change")
-    event = F.struct(F.to_date("ts").alias("date"), F.col("event_id").alias("ord"), kind.alias("event"), F.lit(True).alias("rental"))
-    found = e.groupBy("user_id").agg(F.array_sort(F.collect_list(event)).alias("events")).withColumn("r", D.recency(F.col("events"), F.lit(dt.date(2030, 1, 1))))
-    text = lambda c: F.date_format(c, "yyyy-MM-dd")
-    return found.filter("r.listed IS NOT NULL").select("user_id", text("r.listed").alias("listed"), text("r.updated").alias("updated"), F.col("r.days").alias("days"))
+    rows = e.select("user_id", F.to_date("ts").alias("date"), "event_id", kind.alias("event"))
+    found = recency_of(rows, ["user_id"], ["event_id"], F.lit(dt.date(2030, 1, 1))).filter("listed IS NOT NULL")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return found.select("user_id", text("listed"), text("updated"), "days")
 
 
 @query(r"""SELECT doc_id, md5(c) AS text_md5, CAST(length(c) AS BIGINT) AS n, (' ' || c || ' ') LIKE '% office %' AS has_office FROM

@@ -24,6 +24,8 @@ from terrasift.sources.archive import VERSION, ready_to_save
 
 #: Entries of a document at most, and bytes that a task reads of one.
 EACH, RANGE = 10_000, 64 << 20
+#: Tasks of a pass over ranges at most; beyond, a task has several ranges.
+MOST_TASKS = 20_000
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -356,9 +358,11 @@ def split_entries(spark: SparkSession, path: str, size: int = RANGE) -> DataFram
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(size).cast("bigint"))).alias("start"))
-    scan = ranges.repartition("path", "start").mapInArrow(_scan(size), _SCAN)
+    # rows that name ranges are small, what they name isn't: by their own size Spark would put them together again
+    n = max(1, min(ranges.count(), MOST_TASKS))
+    scan = ranges.repartition(n, "path", "start").mapInArrow(_scan(size), _SCAN)
     plan = scan.groupBy("path").agg(F.collect_list(F.struct("start", "ways")).alias("ranges")).mapInArrow(_planned, _PLAN)
-    dealt = plan.join(files, "path").repartition("path", "start")
+    dealt = plan.join(files, "path").repartition(n, "path", "start")
     rows = dealt.mapInArrow(_read(size), "source_id string, range bigint, place bigint, offset bigint, text string")
     return rows.select("source_id", "range", "place", "offset", F.from_json("text", ENTRY).alias("entry"))
 
