@@ -404,6 +404,6 @@ def stream_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_entries(hops(events)).drop("time", "blocked", "wait", "receive")
 
 
-from terrasift import archive_queries, document_queries, tree_queries  # noqa: E402  they register themselves
+from terrasift import archive_queries, document_queries, run_queries, tree_queries  # noqa: E402  they register themselves
 
-__all__ = ["ORACLES", "QUERIES", "archive_queries", "document_queries", "tree_queries"]
+__all__ = ["ORACLES", "QUERIES", "archive_queries", "document_queries", "run_queries", "tree_queries"]
