@@ -24,8 +24,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrasift.llm.common import BATCH_BYTES, broadcast_key, doc_texts, map_batches, once, written
@@ -34,10 +35,23 @@ from terrasift.llm.common import BATCH_BYTES, broadcast_key, doc_texts, map_batc
 BLOCK = 32_000_000
 #: Pairs of ids that are broadcast at most; more take a shuffle.
 BROADCAST_PAIRS = 1_000_000
+#: Rows of a task whose stretches are told apart together, and stretches that are encoded together.
+GATHERED, TOGETHER = 400_000, 5000
+#: Stretches of documents that are put together at once.
+WORDS = 500_000
+#: Rows of a task that are packed together, and their columns.
+PACKED = 400_000
+NO_WORDS = pa.schema([("local", pa.int32()), ("fine", pa.bool_()), *((c, pa.int32()) for c in ("n_a", "n_b", "n_groups")), ("groups", pa.string()), ("pairs", pa.list_(pa.int64()))])
 #: A pair of ids as one number: A's times this, and B's.
 PAIR = 1 << 24
+#: A table dealt by uid is dealt well enough for a join on uid and end; rows come by uid, so lists need no hash table.
+DEALT_BY_UID = {"requireAllClusterKeysForCoPartition": "false", "execution_useObjectHashAggregateExec": "false"}
+#: What a written table was shuffled by goes once it is written.
+NO_LEFTOVERS = {"classic_shuffleDependency_fileCleanup_enabled": "true"}
 #: White space by any table of characters, and what some tables count as such.
 _SPACE = r"\s\u180e\u200b\ufeff"
+_ODD = re.compile(rf"[{_SPACE}]")
+_IDS = pa.list_(pa.int32())
 _UNUSUAL = re.compile(rf"[{_SPACE}] ")
 _BORDER = re.compile(rf"(?<=[^{_SPACE}])(?= )")
 
@@ -59,17 +73,35 @@ class Tokenizers:
         self.space = self.b.piece_to_id("▁")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
-    def lengths(self) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-        """The bytes of each id, of either side. A character of a byte-level token stands for a byte."""
-        return [(i, len(token)) for token, i in self.a.get_vocab().items()], [(i, len(x)) for i, x in enumerate(self.bytes_b)]
+        self.size_a = np.zeros(self.a.get_vocab_size(), np.int64)
+        for token, i in self.a.get_vocab().items():
+            self.size_a[i] = len(token)  # a character of a byte-level token stands for a byte
+        self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
+
+    def lengths(self) -> list[list[tuple[int, int]]]:
+        """The bytes of each id, of either side."""
+        return [list(enumerate(sizes.tolist())) for sizes in (self.size_a, self.size_b)]
 
     def encode(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
-        """Ids of a space and the stretch, and whether B's bytes are those of the text. A's always are."""
+        """Ids of a space and each stretch, and whether B's bytes are those of the text. A's always are."""
         a = [x.ids for x in self.a.encode_batch_fast([" " + s for s in stretches], add_special_tokens=False)]
         b = [ids or [self.space] for ids in self.b.encode(stretches, num_threads=1)]
         known = self.bytes_b
         return a, b, [b"".join([known[i] for i in ids]) == b" " + s.encode() for ids, s in zip(b, stretches, strict=True)]
 
+    def encode_together(self, stretches: list[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """The same as arrays: as one text, told apart by the lengths of tokens, if their bytes are those of the text."""
+        text = " ".join(stretches)
+        ids = [np.array(x, np.int32) for x in (self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text))]
+        ends = np.cumsum([len(s.encode()) + 1 for s in stretches])
+        behind = [np.cumsum(sizes[x]) for sizes, x in zip((self.size_a, self.size_b), ids, strict=True)]
+        at = [np.searchsorted(x, ends) for x in behind]
+        if all(n[-1] < len(x) and (x[n] == ends).all() for n, x in zip(at, behind, strict=True)) and b"".join([self.bytes_b[i] for i in ids[1].tolist()]) == b" " + text.encode():
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], n + 1]).astype(np.int32)), pa.array(x)) for n, x in zip(at, ids, strict=True)]
+            return *lists, pa.array(np.ones(len(stretches), bool))
+        a, b, fine = self.encode(stretches)
+        return pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32())), pa.array(fine)
+
 
 def stretches_of(text: str) -> list[str]:
     """The stretches of a space and ``text``, each without the space that it begins with."""
@@ -78,62 +110,94 @@ def stretches_of(text: str) -> list[str]:
     return [stretch[1:] for stretch in _BORDER.split(" " + text)]
 
 
+def _pack(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    pq.write_table(table, sink, compression="zstd", write_statistics=False)
+    return sink.getvalue().to_pybytes()
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as places in the dictionary of their block, and the dictionary behind them."""
+    """A block's dictionary, and its texts as places in it: many rows in one compressed value."""
     task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
     found: dict[str, int] = defaultdict()
     found.default_factory = found.__len__
-    size, n, names = 0, 0, ("block", "doc_id", "words", "local", "stretch")
-    kinds = (pa.int64(), None, pa.list_(pa.int32()), pa.int32(), pa.string())
+    size, n, ids, words = 0, 0, [], []
+    names, kinds = ("block", "local", "stretch", "pack"), (pa.int64(), pa.int32(), pa.string(), pa.binary())
+
+    def rows(*values: pa.Array | None) -> pa.RecordBatch:
+        count = next(len(v) for v in values if v is not None)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(count, task + n)), *(v if v is not None else pa.nulls(count, k) for v, k in zip(values, kinds[1:], strict=True))], names)
 
-    def rows(count: int, ids: pa.Array, words: list | None, local=None, stretch=None) -> pa.RecordBatch:
-        values = [pa.array(np.full(count, task + n)), ids, words, local, stretch]
-        return pa.RecordBatch.from_arrays([v if v is not None else pa.nulls(count, k) for v, k in zip(values, kinds, strict=True)], names)
+    def texts() -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, words)], dtype=np.int32)
+        table = pa.table({"doc_id": pa.chunked_array(ids), "words": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(words)))})
+        return rows(None, None, pa.array([_pack(table)], pa.binary()))
 
-    def dictionary(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    def dictionary() -> Iterator[pa.RecordBatch]:
         listed = list(found)
         for at in range(0, len(listed), 50_000):
             part = listed[at : at + 50_000]
-            yield rows(len(part), pa.nulls(len(part), kind), None, pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part, pa.string()))
+            yield rows(pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part, pa.string()), None)
 
     for whole in batches:
-        ids, texts = whole.column("doc_id"), whole.column("text").to_pylist()
-        at = 0
-        while at < len(texts):
-            first, words = at, []
-            while at < len(texts) and (size < BLOCK or not found):
-                words.append([found[s] for s in stretches_of(texts[at])] if texts[at] else [])
-                size += len(texts[at])
-                at += 1
-            ends = np.cumsum([0, *map(len, words)], dtype=np.int32)
-            flat = np.fromiter((w for part in words for w in part), np.int32, int(ends[-1]))
-            yield rows(at - first, ids.slice(first, at - first), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+        column, lines = whole.column("doc_id"), whole.column("text").to_pylist()
+        first = 0
+        for at, text in enumerate(lines):
+            words.append(np.array(list(map(found.__getitem__, stretches_of(text))) if text else [], np.int32))
+            size += len(text) + 1
             if size >= BLOCK:
-                yield from dictionary(ids.type)
+                ids.append(column.slice(first, at + 1 - first))
+                yield texts()
+                yield from dictionary()
                 found.clear()
-                size, n = 0, n + 1
-    if found:
-        yield from dictionary(ids.type)
+                size, n, first, ids, words = 0, n + 1, at + 1, [], []
+        if first < len(lines):
+            ids.append(column.slice(first))
+    if words:
+        yield texts()
+        yield from dictionary()
 
 
 def _encoded(shared: Broadcast, key: str):
+    def coded(tokenizers: Tokenizers, names: list[str]) -> list[pa.Array]:
+        """a, b, fine of stretches. What ends in white space ends its text, and takes in what would follow."""
+        alone = np.array([not s or _ODD.match(s[-1]) is not None for s in names])
+        parts = [np.flatnonzero(~alone), np.flatnonzero(alone)]
+        found = [tokenizers.encode_together([names[i] for i in parts[0].tolist()])] if len(parts[0]) else []
+        found += [tuple(pa.array(x, k) for x, k in zip(tokenizers.encode([names[i]]), (_IDS, _IDS, pa.bool_()), strict=True)) for i in parts[1].tolist()]
+        back = pa.array(np.argsort(np.concatenate(parts), kind="stable"))
+        return [pa.concat_arrays(x).take(back) for x in zip(*found, strict=True)]
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each stretch of a batch, with the places that it has in blocks. Equal stretches come together."""
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        """One row for each stretch of GATHERED rows, with its places in blocks."""
+        for held in gathered(batches, GATHERED):
             tokenizers = once(key, lambda: Tokenizers(*shared.value))
-            met = batch.column("stretch").dictionary_encode()
-            order = np.argsort(met.indices.to_numpy(), kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(met.indices.to_numpy()))]).astype(np.int32)
-            a, b, fine = tokenizers.encode(met.dictionary.to_pylist())
-            places = [pa.ListArray.from_arrays(pa.array(ends), batch.column(c).take(pa.array(order))) for c in ("block", "local")]
-            ids = [pa.array(x, pa.list_(pa.int32())) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(fine), *places], ["a", "b", "fine", "blocks", "locals"])
+            table = pa.Table.from_batches(held).combine_chunks()
+            met = table.column("stretch").chunk(0).dictionary_encode()
+            index = met.indices.to_numpy()
+            order, ends = pa.array(np.argsort(index, kind="stable")), np.concatenate([[0], np.cumsum(np.bincount(index))]).astype(np.int32)
+            names = met.dictionary.to_pylist()
+            places = [pa.ListArray.from_arrays(pa.array(ends), table.column(c).take(order).combine_chunks()) for c in ("block", "local")]
+            for at in range(0, len(names), TOGETHER):
+                part = names[at : at + TOGETHER]
+                yield pa.RecordBatch.from_arrays([*coded(tokenizers, part), *(x.slice(at, len(part)) for x in places)], ["a", "b", "fine", "blocks", "locals"])
 
     return encode
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches together, until they have ``most`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if n:
+        yield held
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Spark's settings for what is run inside, given with _ for the dots behind ``spark.sql``."""
@@ -168,23 +232,50 @@ def align(texts: DataFrame, lengths_a: DataFrame, lengths_b: DataFrame) -> DataF
     behind = Window.partitionBy("uid").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, 0)
     both = (F.col("a_id").isNotNull() & F.col("b_id").isNotNull()).cast("int")
     covered = F.last("a_id", True).over(behind) * F.lit(PAIR).cast("long") + F.last("b_id", True).over(behind)
-    placed = merged.select("uid", "end", "a_id", "b_id", F.sum(both).over(behind).alias("group"), covered.alias("pair"))
-
-    def listed(side: str):
-        return F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", F.col(side).alias("id")))))
-
-    groups = placed.groupBy("uid", "group").agg(listed("a_id").alias("a"), listed("b_id").alias("b"), F.collect_list("pair").alias("pairs"))
-    text = F.concat(*(x for side in ("a", "b") for x in (F.array_join(F.transform(side, lambda t: t["id"].cast("string")), ","), F.lit("|" if side == "a" else ""))))
-    named = groups.select("uid", F.struct((-F.col("group")).alias("at"), text.alias("text")).alias("group"), F.size("a").alias("n_a"), F.size("b").alias("n_b"), "pairs")
-    return named.groupBy("uid").agg(
-        F.sum("n_a").cast("int").alias("n_a"),
-        F.sum("n_b").cast("int").alias("n_b"),
-        F.count("*").cast("int").alias("n_groups"),
-        F.array_join(F.transform(F.array_sort(F.collect_list("group")), lambda g: g["text"]), ";").alias("groups"),
-        F.flatten(F.collect_list("pairs")).alias("pairs"),
+    placed = merged.select("uid", F.struct("end", "a_id", "b_id", F.sum(both).over(behind).alias("group"), covered.alias("pair")).alias("at"))
+    listed = placed.groupBy("uid").agg(F.array_sort(F.collect_list("at")).alias("ends"))
+
+    def tokens(n: int, side: str) -> Column:
+        """One side's tokens, to be put in order: group by group, A's before B's. Groups are counted from the end."""
+        found = F.filter("ends", lambda x: x[side].isNotNull())
+        return F.transform(found, lambda x: F.struct((-x["group"]).alias("group"), F.lit(n).alias("side"), x["end"].alias("end"), x[side].alias("id")))
+
+    sides = listed.select("uid", "ends", tokens(0, "a_id").alias("a"), tokens(1, "b_id").alias("b"))
+    ordered = sides.withColumn("tokens", F.array_sort(F.concat("a", "b")))
+
+    def text(token: Column, at: Column) -> Column:
+        """An id with what separates it from the next one."""
+        behind = F.get("tokens", at + 1)
+        same = behind["group"] == token["group"]
+        mark = F.when(behind.isNull(), "").when(~same, ";").when(behind["side"] != token["side"], "|").otherwise(",")
+        return F.concat(token["id"].cast("string"), mark)
+
+    return ordered.select(
+        "uid",
+        F.size("a").alias("n_a"),
+        F.size("b").alias("n_b"),
+        F.get("ends", F.lit(0))["group"].cast("int").alias("n_groups"),
+        F.array_join(F.transform("tokens", text), "").alias("groups"),
+        F.transform("ends", lambda x: x["pair"]).alias("pairs"),
     )
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows for one block as one compressed value, of PACKED rows of a task at a time: they are mostly alike."""
+    for held in gathered(batches, PACKED):
+        table = pa.Table.from_batches(held).combine_chunks()
+        blocks = table.column("block").to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        table, blocks = table.drop_columns(["block"]).take(pa.array(order)), blocks[order]
+        starts = np.flatnonzero(np.diff(blocks, prepend=-1))
+        for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(blocks)], strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([int(blocks[low])]), pa.array([_pack(table.slice(low, high - low))], pa.binary())], ["block", "pack"])
+
+
+def _unpacked(packs: pa.Table) -> pa.Table:
+    return pa.concat_tables([pq.read_table(pa.BufferReader(pack.as_buffer()), use_threads=False) for pack in packs.column("pack")])
+
+
 def _bytes(values: pa.BinaryArray) -> memoryview:
     """All values one after another."""
     ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
@@ -193,8 +284,9 @@ def _bytes(values: pa.BinaryArray) -> memoryview:
 
 def _documents(docs: pa.Table, words: pa.Table) -> pa.Table:
     """The documents of a block from what its stretches gave."""
+    docs = _unpacked(docs).combine_chunks()
+    words = _unpacked(words) if words.num_rows else NO_WORDS.empty_table()
     words = words.take(pc.sort_indices(words.column("local"))).combine_chunks()
-    docs = docs.combine_chunks()
     column = lambda table, c: (lambda x: x.chunk(0) if x.num_chunks else pa.array([], x.type))(table.column(c))
     lists = column(docs, "words")
     flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
@@ -204,35 +296,42 @@ def _documents(docs: pa.Table, words: pa.Table) -> pa.Table:
     links = column(words, "pairs")
     n_links = links.value_lengths().fill_null(0).to_numpy()
     link_ends = np.concatenate([[0], np.cumsum(n_links)])
-    pairs = links.flatten().to_numpy()
-    out: dict[str, list] = {c: [] for c in (*counts, "n_links", "groups_sha256", "pairs", "times")}
-    for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        own = flat[low:high]
-        if len(own) and broken[own].any():
-            own = own[:0]
-        for c, of in counts.items():
-            out[c].append(int(of[own].sum()))
-        out["n_links"].append(int(n_links[own].sum()))
-        if not len(own):
-            out["groups_sha256"].append("")
-            out["pairs"].append(np.zeros(0, np.int64))
-            out["times"].append(np.zeros(0, np.int32))
-            continue
-        digest = hashlib.sha256()
-        for at in range(0, len(own), 1 << 20):
-            data = _bytes(text.take(pa.array(own[at : at + (1 << 20)])))
-            digest.update(data[:-1] if at + (1 << 20) >= len(own) else data)
-        out["groups_sha256"].append(digest.hexdigest())
-        names, times = np.unique(own, return_counts=True)
-        sizes = n_links[names]
-        behind = np.cumsum(sizes)
-        taken = pairs[np.arange(behind[-1]) + np.repeat(link_ends[names] - behind + sizes, sizes)]
-        found, at = np.unique(taken, return_inverse=True)
-        out["pairs"].append(found)
-        out["times"].append(np.bincount(at, np.repeat(times, sizes)).astype(np.int64))
-    lists = {c: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out[c])], dtype=np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *out[c]]))) for c in ("pairs", "times")}
-    arrays = [column(docs, "doc_id"), *(pa.array(out[c], pa.int64()) for c in (*counts, "n_links")), pa.array(out["groups_sha256"], pa.string()), lists["pairs"], lists["times"]]
-    return pa.Table.from_arrays(arrays, ["doc_id", *counts, "n_links", "groups_sha256", "pairs", "times"])
+    names, pairs = np.unique(links.flatten().to_numpy(), return_inverse=True)
+    n = len(ends) - 1
+    # of a document with a stretch that B's bytes don't give back nothing counts
+    lost = sums(broken[flat], ends) > 0
+    if lost.any():
+        keep = np.repeat(~lost, np.diff(ends))
+        flat, ends = flat[keep], np.concatenate([[0], np.cumsum(np.where(lost, 0, np.diff(ends)))])
+    totals = {c: sums(of[flat], ends) for c, of in (*counts.items(), ("n_links", n_links))}
+    digests, found, times, sizes = [], [], [], []
+    first = 0
+    while first < n:
+        # documents of WORDS stretches together, or a longer one alone
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + WORDS, side="right")) - 1)
+        own, borders = flat[ends[first] : ends[last]], ends[first : last + 1] - ends[first]
+        taken = text.take(pa.array(own))
+        data, places = _bytes(taken), np.frombuffer(taken.buffers()[1], np.int32)[taken.offset :][borders].tolist()
+        digests += [hashlib.sha256(data[low : high - 1]).hexdigest() if high > low else "" for low, high in zip(places[:-1], places[1:], strict=True)]
+        each = n_links[own]
+        behind = np.cumsum(each)
+        linked = pairs[np.arange(behind[-1] if len(behind) else 0) + np.repeat(link_ends[own] - behind + each, each)]
+        document = np.repeat(np.arange(last - first), totals["n_links"][first:last])
+        known, counted = np.unique(document * len(names) + linked, return_counts=True)
+        found.append(names[known % max(len(names), 1)])
+        times.append(counted)
+        sizes.append(np.bincount(known // max(len(names), 1), minlength=last - first))
+        first = last
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (found, times)]
+    arrays = [column(docs, "doc_id"), *(pa.array(x.astype(np.int64)) for x in totals.values()), pa.array(digests, pa.string()), *lists]
+    return pa.Table.from_arrays(arrays, ["doc_id", *totals, "groups_sha256", "pairs", "times"])
+
+
+def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of values between each two ends."""
+    behind = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return behind[ends[1:]] - behind[ends[:-1]]
 
 
 def aligned_documents(docs: DataFrame, a: str, b: bytes) -> DataFrame:
@@ -247,20 +346,21 @@ def aligned_documents(docs: DataFrame, a: str, b: bytes) -> DataFrame:
     shared = spark.sparkContext.broadcast((a, b))
     rows = doc_texts(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    split = written(map_batches(rows, _blocks, f"block long, doc_id {kind}, words array<int>, local int, stretch string", BATCH_BYTES))
-    # equal stretches come to one task one after another, as Arrow batches of bounded size, however many blocks hold them
-    dealt = split.filter("local IS NOT NULL").select("block", "local", "stretch").repartition("stretch").sortWithinPartitions("stretch")
+    split = written(map_batches(rows, _blocks, "block long, local int, stretch string, pack binary", BATCH_BYTES))
+    # a stretch comes to one task from all blocks that hold it; what is gathered of a task's rows is bounded, though
+    dealt = split.filter("local IS NOT NULL").select("block", "local", "stretch").repartition("stretch")
     encoded = map_batches(dealt, _encoded(shared, broadcast_key("alignment", shared)), "a array<int>, b array<int>, fine boolean, blocks array<long>, locals array<int>")
     texts = written(encoded.withColumn("uid", F.monotonically_increasing_id()))
     lengths = [spark.createDataFrame(x, "id int, length int") for x in Tokenizers(a, b).lengths()]
-    # a table dealt by uid is dealt well enough for a join on uid and end
-    with settings(spark, requireAllClusterKeysForCoPartition="false"):
+    with settings(spark, **DEALT_BY_UID):
         found = align(texts.filter("fine"), *lengths)
         places = texts.select("uid", "fine", F.arrays_zip("blocks", "locals").alias("places"))
         back = places.join(found, "uid", "left").withColumn("place", F.explode("places"))
-        words = written(back.select("place.blocks", "place.locals", "fine", "n_a", "n_b", "n_groups", "groups", "pairs").toDF("block", "local", "fine", "n_a", "n_b", "n_groups", "groups", "pairs"))
+        rows = back.select("place.blocks", "place.locals", "fine", "n_a", "n_b", "n_groups", "groups", "pairs").toDF("block", *NO_WORDS.names)
+        words = written(rows)
     schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
-    texts = split.filter("local IS NULL").select("block", "doc_id", "words")
+    texts = split.filter("local IS NULL").select("block", "pack")
+    words = map_batches(words, _packed, "block long, pack binary")
     put = texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_documents, schema)
     return written(put.withColumn("uid", F.monotonically_increasing_id()))
 
@@ -279,8 +379,9 @@ def cross_alignment(docs: DataFrame, a: str, b: bytes) -> DataFrame:
     A pair's count is the number of documents that link it. ``n_best`` is the number of links whose pair has the highest
     count of A's id, ``count_sum`` the sum of counts over links.
     """
-    aligned = aligned_documents(docs, a, b)
-    counts = written(pair_counts(aligned))
+    with settings(docs.sparkSession, **NO_LEFTOVERS):
+        aligned = aligned_documents(docs, a, b)
+        counts = written(pair_counts(aligned))
     counts = F.broadcast(counts) if counts.count() <= BROADCAST_PAIRS else counts
     links = aligned.select("uid", F.explode(F.arrays_zip("pairs", "times")).alias("link")).select("uid", F.col("link.pairs").alias("pair"), F.col("link.times").alias("times"))
     sums = links.join(counts, "pair").groupBy("uid").agg(F.sum(F.when(F.col("best"), F.col("times"))).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
