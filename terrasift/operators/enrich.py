@@ -70,10 +70,10 @@ def backfill_recency(listings: DataFrame, details: DataFrame, row: list[str]) ->
     open_ = listings.filter("daysListed IS NULL AND trim(url) != ''")
     others = listings.filter("NOT (daysListed IS NULL AND trim(url) != '') OR url IS NULL")
     alone = F.count(F.lit(1)).over(Window.partitionBy("link")) == 1
-    found = details.select("link", "ord", F.col("id").alias("d_id"), F.col("url").alias("d_url"), *(F.col(c).alias(f"d_{c}") for c in RECENCY)).withColumn("alone", alone)
+    found = details.select("link", F.col("ord").alias("d_ord"), F.col("id").alias("d_id"), F.col("url").alias("d_url"), *(F.col(c).alias(f"d_{c}") for c in RECENCY)).withColumn("alone", alone)
     fits = ((F.col("id") != "") & (F.col("id") == F.col("d_id"))) | ((F.col("url") != "") & (F.col("url") == F.col("d_url"))) | F.col("alone")
     keys = open_.select(*row, "id", "url", trim_ws(F.col("url")).alias("link")).join(found, "link").filter(fits)
-    first = keys.groupBy(*row).agg(F.min_by(F.struct(*(f"d_{c}" for c in RECENCY)), "ord").alias("d"))
+    first = keys.groupBy(*row).agg(F.min_by(F.struct(*(f"d_{c}" for c in RECENCY)), "d_ord").alias("d"))
     filled = open_.join(first, row, "left").withColumn("daysListed", F.col("d.d_daysListed"))
     for name in RECENCY[1:]:
         filled = filled.withColumn(name, F.coalesce(null_if_empty(F.col(f"d.d_{name}")), F.col(name)))

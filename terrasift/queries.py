@@ -123,18 +123,6 @@ def location_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(W.inside(F.lit("anywhere"), allowed, allow_unknown=False)).select("id", F.lower("address.city").alias("city"), "address.state")
 
 
-@query("""
-SELECT o_orderkey AS parent, coalesce(l_linenumber, 0) AS child, coalesce(CASE WHEN l_quantity >= 10 THEN l_extendedprice END, o_totalprice) AS price, CASE WHEN l_orderkey IS NULL THEN 'unavailable' ELSE 'enriched' END AS status
-FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag <> 'N') l ON o_orderkey = l_orderkey
-""")
-def child_expansion_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Left join to the children; a child's value overrides its parent's only if it is known."""
-    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'N'")
-    rows = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    price = F.coalesce(F.when(F.col("l_quantity") >= 10, F.col("l_extendedprice")), "o_totalprice")
-    return rows.select(F.col("o_orderkey").alias("parent"), F.coalesce("l_linenumber", F.lit(0)).alias("child"), price.alias("price"), F.when(F.col("l_orderkey").isNull(), "unavailable").otherwise("enriched").alias("status"))
-
-
 @query("""
 SELECT l_orderkey, l_linenumber, CASE WHEN price IS NULL THEN NULL WHEN inc THEN price WHEN fees >= 0 THEN price + fees END AS total FROM (
   SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 6 <> 0 THEN CAST(floor(l_extendedprice) AS BIGINT) END AS price,
@@ -302,12 +290,18 @@ def json_scalar_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.as_long(tag("number", text)).alias("k"), T.as_double(tag("string", quarter)).alias("quarter"), T.as_long(tag("number", quarter)).alias("whole"), T.as_bool(tag("string", text)).alias("flag"))
 
 
-@query("SELECT page_id, CAST(length(html) - length(replace(lower(html), '<script', '')) AS BIGINT) // 7 AS scripts, regexp_matches(html, '^\\s*<') AS is_html, false AS has_data FROM pages")
+@query("""
+SELECT page_id, CAST(length(html) - length(replace(lower(html), '<script', '')) AS BIGINT) // 7 + page_id % 2 AS scripts, regexp_matches(html, '^\\s*<') AS is_html,
+  CASE WHEN page_id % 4 = 1 THEN '{"n":' || page_id || ',"s":"<b>"}' END AS data FROM pages
+""")
 def script_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages' script elements; none of them holds application data."""
-    p = table(spark, sf_dir, "pages")
-    scripts = F.size(F.split(F.lower("html"), "<script")) - 1
-    return p.select("page_id", scripts.cast("long").alias("scripts"), F.col("html").rlike(r"^\s*<").alias("is_html"), embedded_script(F.col("html")).isNotNull().alias("has_data"))
+    """Pages' script elements; half of them have one more, and half of those hold application data."""
+    p, key = table(spark, sf_dir, "pages"), F.col("page_id")
+    name = F.when(key % 4 == 1, "__NEXT_DATA__").otherwise("other")
+    data = F.concat(F.lit("<script type=x data-a='>' ID=\""), name, F.lit('"> {"n":'), key.cast("string"), F.lit(',"s":"<b>"} </script>'))
+    html = F.when(key % 2 == 1, F.concat("html", data)).otherwise(F.col("html"))
+    scripts = F.size(F.split(F.lower(html), "<script")) - 1
+    return p.select("page_id", scripts.cast("long").alias("scripts"), html.rlike(r"^\s*<").alias("is_html"), embedded_script(html).alias("data"))
 
 
 @query("""
@@ -350,14 +344,19 @@ def any_of_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
-  CASE WHEN p = '' THEN '/' ELSE p END AS path, '77' AS id, 3 AS items, 'b c' AS second FROM (SELECT *, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS p FROM pages)
+  CASE WHEN p = '' THEN '/' ELSE p END AS path, CASE WHEN page_id % 3 <> 0 THEN CAST(page_id + 1 AS VARCHAR) END AS id, CAST(2 + page_id % 4 AS INT) AS items, 'b ' || page_id AS second,
+  'k=' || array_to_string(list_transform(range(page_id % 4), lambda x: CAST(x AS VARCHAR)), ',k=') AS rest FROM (SELECT *, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS p FROM pages)
 """)
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts and paths of pages; identifiers and query items of links made from them."""
-    link = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("/x/0077_zpid/?a=1&q=b%20c&bad=%zz"))
+    """Hosts and paths of pages; identifiers and query items of links made from them, as many as the page says."""
+    key = F.col("page_id")
+    more = F.when(key % 4 > 0, F.array_join(F.transform(F.sequence(F.lit(0), (key % 4 - 1).cast("int")), lambda x: F.concat(F.lit("&k="), x.cast("string"))), "")).otherwise("")
+    name = F.when(key % 3 != 0, F.concat(F.lit("/x/00"), (key + 1).cast("string"), F.lit("_zpid/"))).otherwise("/x/none/")
+    link = F.concat(F.regexp_replace("url", "[?#].*$", ""), name, F.lit("?bad=%zz&q=b%20"), key.cast("string"), more, F.lit("#q=1"))
     items = query_items(link)
+    rest = F.array_join(F.transform(F.filter(items, lambda i: i["name"] == "k"), lambda i: i["value"]), ",k=")
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", A.host_of(F.col("url")).alias("host"), A.path_of(F.col("url")).alias("path"), identifier_in_url(link).alias("id"), F.size(items).alias("items"), F.get(items, F.lit(1))["value"].alias("second"))
+    return p.select("page_id", A.host_of(F.col("url")).alias("host"), A.path_of(F.col("url")).alias("path"), identifier_in_url(link).alias("id"), F.size(items).alias("items"), F.get(items, F.lit(1))["value"].alias("second"), F.concat(F.lit("k="), rest).alias("rest"))
 
 
 @query("""
@@ -404,6 +403,6 @@ def stream_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_entries(hops(events)).drop("time", "blocked", "wait", "receive")
 
 
-from terrasift import archive_queries, document_queries, run_queries, tree_queries  # noqa: E402  they register themselves
+from terrasift import archive_queries, document_queries, run_queries, search_queries, tree_queries  # noqa: E402  they register themselves
 
-__all__ = ["ORACLES", "QUERIES", "archive_queries", "document_queries", "run_queries", "tree_queries"]
+__all__ = ["ORACLES", "QUERIES", "archive_queries", "document_queries", "run_queries", "search_queries", "tree_queries"]

@@ -182,3 +182,18 @@ def test_coverage(spark):
     assert tuple(issues(bad).first()) == ("L", 2, "first")
     routes = route_table(spark, [Route("r", max_pages=3), Route("s")], 5).withColumn("location", F.lit("L"))
     assert tuple(plan_estimate(routes, dt.timedelta(seconds=5), dt.timedelta(seconds=5)).first()) == (9, 35.0)
+
+
+def test_filters_reach_below_the_details(spark):
+    """What is known before the details is tested before they are looked up: in the optimized plan below the join."""
+    from pathlib import Path
+
+    from terrasift import search_queries
+
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("no test tables")
+    plan = search_queries.search(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join LeftOuter, (link") :]
+    scan = next(line for line in below.splitlines() if "Filter" in line and "o_totalprice" in line)
+    assert "200000" in scan and "<= 30" in scan and "springfield" in scan
