@@ -11,10 +11,10 @@ from terrasift.sources.scratch import staged
 COMPARED = ["price", "totalMonthlyCost", "requiredMonthlyFees", "availability", "bedrooms", "bathrooms", "laundry", "flexSpaces", "status"]
 
 
-def history_keys() -> Column:
-    """Keys by priority: id, link, address in lower case with single spaces."""
-    key = lambda priority, name, c: F.when(null_if_empty(c).isNotNull(), F.struct(F.lit(priority).alias("priority"), F.concat(F.lit(f"{name}:"), c).alias("key")))
-    return F.array_compact(F.array(key(0, "id", trim_ws(F.col("id"))), key(1, "url", trim_ws(F.col("url"))), key(2, "address", F.lower(collapse_ws(F.col("address.full"))))))
+def keys_by_priority() -> list[Column]:
+    """A listing's keys, null where it has none: id, link, address in lower case with single spaces."""
+    values = {"id": trim_ws(F.col("id")), "url": trim_ws(F.col("url")), "address": F.lower(collapse_ws(F.col("address.full")))}
+    return [F.concat(F.lit(f"{name}:"), null_if_empty(value)) for name, value in values.items()]
 
 
 def money_change(label: str, before: Column, now: Column) -> Column:
@@ -56,8 +56,8 @@ KINDS = ("id:", "url:", "address:")
 
 def history_index(previous: DataFrame, order: list[str]) -> DataFrame:
     """key, old: for each key the first earlier listing that has it, written."""
-    keyed = previous.select(F.struct(*order).alias("ord"), F.struct(*COMPARED).alias("old"), F.explode(history_keys()).alias("k"))
-    return staged(keyed.groupBy("k.key").agg(F.min_by("old", "ord").alias("old")))
+    keyed = previous.select(F.struct(*order).alias("ord"), F.struct(*COMPARED).alias("old"), F.explode(F.array_compact(F.array(*keys_by_priority()))).alias("key"))
+    return staged(keyed.groupBy("key").agg(F.min_by("old", "ord").alias("old")))
 
 
 def key_filter(index: DataFrame, n: int) -> tuple[DataFrame, int]:
@@ -88,9 +88,7 @@ def prior_listings(current: DataFrame, index: DataFrame) -> DataFrame:
     """
     n = index.count()
     names = ["_k0", "_k1", "_k2"]
-    keys = history_keys()
-    key_of = lambda priority: F.get(F.filter(keys, lambda k: k["priority"] == priority), F.lit(0))["key"]
-    rows = current.withColumns({name: key_of(priority) for priority, name in enumerate(names)})
+    rows = current.withColumns(dict(zip(names, keys_by_priority(), strict=True)))
     if n <= BROADCAST_KEYS:
         for name, kind in zip(names, KINDS, strict=True):
             part = index.filter(F.col("key").startswith(kind)).select(F.col("key").alias(name), F.col("old").alias(f"{name}_old"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrasift.operators import render
 from terrasift.operators.coverage import coverage, discovered, issues, plan_estimate, route_table
+from terrasift.sources.scratch import staged
 from terrasift.plans.search import SearchPlan, page_details, snapshot_listings
 from terrasift.sources.previous import parse_previous
 from terrasift.sources.records import challenge, script_text, search_response
@@ -133,6 +134,8 @@ def test_plan(spark):
     base = [{"zpid": str(i), "unformattedPrice": 1000 * i, "beds": i, "detailUrl": f"https://z/{i}", "address": {"streetAddress": f"{i} A", "city": "Seattle", "state": "WA", "zipcode": "98101"}} for i in range(1, 5)]
     listings = read(spark, snapshot(base))[0].drop("source_id").withColumn("location", F.lit("Seattle WA"))
     found, errors = details(spark, "<p>", page({"q": {"property": PROPERTY | {"zpid": "1"} | {"url": "/homedetails/1_zpid/"}}}))
+    # documents are parsed once; what follows looks at the result five times
+    listings, found, errors = staged(listings), staged(found), staged(errors)
     spec = SearchSpec(filters=SearchFilters(min_beds=1), details=DetailFilters(laundry="in-unit", unknown_laundry="watchlist"), boundary=Boundary(strict=True), sort_by="price-desc", limit=3)
     plan = SearchPlan(spec, TODAY)
     rows = plan.build(listings, found, errors, previous=listings.filter("id != '4'"), order=["group", "ord"])
