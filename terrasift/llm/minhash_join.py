@@ -1,7 +1,7 @@
 """Near-duplicates by an inverted join on the coordinates of MinHash signatures.
 
 A document's five-word shingles become a signature of COORDINATES minima. Two sets of similarity 0.75 agree in 48 of 64
-coordinates on average, and in fewer than MATCHES with a chance of 1 in 70,000. Documents are posted under
+coordinates on average, and in fewer than MATCHES with a chance of 1 in 22,900. Documents are posted under
 (coordinate, value) pairs. Prefix merging: of two signatures that agree MATCHES times, the COORDINATES - MATCHES + 1
 posts that come first in any common order share one, so only those are posted, the rarest first. Skip merging: a pair
 is counted in the first post that both have, and not at all once confirmed links have joined the two.
