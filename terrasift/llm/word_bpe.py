@@ -49,10 +49,9 @@ class WordBpe:
         self.tokenizer.no_padding()
         model = json.loads(definition)["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        made: dict[str, int] = {}
-        for at, (a, b) in enumerate(merges):
-            if made.setdefault(a + b, at) != at or max(made.get(a, -1), made.get(b, -1)) > at:
-                raise ValueError("a token is merged in two ways, or after one that it is part of")
+        made = {a + b: at for at, (a, b) in enumerate(merges)}
+        if len(made) < len(merges) or any(max(made.get(a, -1), made.get(b, -1)) > at for at, (a, b) in enumerate(merges)):
+            raise ValueError("a token is merged in two ways, or after one that it is part of")
         self.end = model["end_of_word_suffix"] or ""
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         #: For what stands before a word's end, and for the end.

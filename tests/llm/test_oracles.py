@@ -14,7 +14,8 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     wanted = con.sql(ORACLES[name])
     found = QUERIES[name](spark, str(DATA))
     assert sorted(found.columns) == sorted(wanted.columns)
