@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrasift.operators import archive as A
 from terrasift.operators.capture import capture_entries
 from terrasift.registry import query, table
 from terrasift.sources.archive_files import archive_head, indexed, save_archives, split_entries
-from terrasift.sources.scratch import shared_dir
+from terrasift.sources.scratch import shared_dir, staged
 from terrasift.streaming.chains import hops
 
-#: Entries of a document, and bytes of a range: small, so that the test tables make many of both.
-EACH, RANGE = 100, 50_000
+#: Event ids of a document, and bytes of a range: small, so that the test tables make many of both.
+EACH, RANGE = 1000, 100_000
 HOST = f"https://www.{A.SITE_HOST}"
 #: What is asked of the search; some requests miss the list of results, or name nothing.
 WANTS = ['{"cat1":["listResults","mapResults"]}', '{"cat1":["mapResults"]}', '{"cat1":["listResults"],"cat2":[]}']
@@ -54,10 +54,10 @@ def recorded_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entries of documents written from the recorded ones, as read back in ranges."""
+    """source_id, entry_index, entry of documents written from the recorded ones, as read back in ranges, once."""
     path = f"{shared_dir(spark)}/archives"
     save_archives(recorded_entries(spark, sf_dir), path, archive_head("recorder", "1", comment=F.concat(F.lit('of "'), "source_id", F.lit('"'))), each=6 * EACH)
-    return split_entries(spark, f"{path}/*.har", RANGE)
+    return staged(indexed(split_entries(spark, f"{path}/*.har", RANGE)))
 
 
 _E = f"""
@@ -82,7 +82,7 @@ SELECT document, row_number() OVER (PARTITION BY document ORDER BY id) - 1 AS pl
 """)
 def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole entries, written and read again: headers as sent, cookies, query, both bodies, phases."""
-    rows = indexed(written_archives(spark, sf_dir))
+    rows = written_archives(spark, sf_dir)
     e, names = F.col("entry"), lambda c, text: F.array_join(F.transform(c, text), ",")
     plain = lambda x: F.concat_ws("=", x["name"], x["value"])
     none = lambda c: F.coalesce(c, F.lit(""))
@@ -108,9 +108,7 @@ SELECT document, CAST(score AS INT) AS score, CASE WHEN search THEN 'PUT' ELSE '
 """)
 def archive_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of each document by how likely they are the search request."""
-    from pyspark.sql import Window
-
-    ranked = A.rank_candidates(indexed(written_archives(spark, sf_dir)))
+    ranked = A.rank_candidates(written_archives(spark, sf_dir))
     rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "entry_index"))
     return ranked.select(F.element_at(F.split("source_id", "/"), -1).alias("document"), F.col("score").cast("int").alias("score"), "method", "url", "host", rank.cast("bigint").alias("rank"))
 
@@ -123,7 +121,7 @@ SELECT document, row_number() OVER (PARTITION BY document ORDER BY id) - 1 AS pl
 """)
 def archive_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each entry once secrets are gone, and that nothing leaks."""
-    clean = A.sanitize(indexed(written_archives(spark, sf_dir)))
+    clean = A.sanitize(written_archives(spark, sf_dir))
     found = A.leaks(clean).groupBy("source_id", "entry_index").count()
     e, names = F.col("entry"), lambda c, name: F.array_join(F.transform(c, lambda x: x[name]), ",")
     rows = clean.join(found, ["source_id", "entry_index"], "left")
@@ -141,7 +139,7 @@ SELECT document, place, '{HOST}/homes/?page=1' AS referer, '{{"page":' || id ||
 """)
 def archive_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best search request of each document as a template, where it asks for results and for nothing unnamed."""
-    found = A.derive_templates(indexed(written_archives(spark, sf_dir)))
+    found = A.derive_templates(written_archives(spark, sf_dir))
     return found.select(
         F.element_at(F.split("source_id", "/"), -1).alias("document"), F.col("entry_index").cast("bigint").alias("place"), "referer", F.col("searchQueryState").alias("state"), F.array_join(F.col("wants")["cat1"], ",").alias("wants"),
     )

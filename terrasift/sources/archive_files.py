@@ -21,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from terrasift.schemas import ENTRY
 from terrasift.sources.archive import VERSION, ready_to_save
+from terrasift.sources.scratch import staged
 
 #: Entries of a document at most, and bytes that a task reads of one.
 EACH, RANGE = 10_000, 64 << 20
@@ -361,7 +362,8 @@ def split_entries(spark: SparkSession, path: str, size: int = RANGE) -> DataFram
     # rows that name ranges are small, what they name isn't: by their own size Spark would put them together again
     n = max(1, min(ranges.count(), MOST_TASKS))
     scan = ranges.repartition(n, "path", "start").mapInArrow(_scan(size), _SCAN)
-    plan = scan.groupBy("path").agg(F.collect_list(F.struct("start", "ways")).alias("ranges")).mapInArrow(_planned, _PLAN)
+    # a row for each range, written: however often entries are read from here, files are scanned once
+    plan = staged(scan.groupBy("path").agg(F.collect_list(F.struct("start", "ways")).alias("ranges")).mapInArrow(_planned, _PLAN))
     dealt = plan.join(files, "path").repartition(n, "path", "start")
     rows = dealt.mapInArrow(_read(size), "source_id string, range bigint, place bigint, offset bigint, text string")
     return rows.select("source_id", "range", "place", "offset", F.from_json("text", ENTRY).alias("entry"))
