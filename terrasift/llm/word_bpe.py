@@ -17,6 +17,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from terrasift.llm.common import BATCH_BYTES, broadcast_key, doc_texts, map_batc
 
 #: Symbols of a piece that is encoded at once.
 LONG = 2048
-#: Words that a worker remembers; it starts anew when they are more.
+#: Words that a worker remembers; when they are more, the half that was met first stays: the frequent ones.
 REMEMBERED = 300_000
 #: Rows of an Arrow batch that are encoded together.
 TOGETHER = 500
@@ -71,7 +72,7 @@ class WordBpe:
     def encode(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
         """The ids and their tokens, of texts whose words aren't long."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         known, split = self.known, [text.split() for text in texts]
         new = list({word for words in split for word in words if word not in known})
         for word, coded in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
