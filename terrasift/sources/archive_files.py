@@ -5,6 +5,7 @@ Both reach files by pyarrow from the workers, so a path is a local or mounted fo
 
 from __future__ import annotations
 
+import math
 import os
 import posixpath
 import re
@@ -12,12 +13,13 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from terrasift.schemas import ENTRY
 from terrasift.sources.archive import VERSION, ready_to_save
@@ -25,8 +27,8 @@ from terrasift.sources.scratch import staged
 
 #: Entries of a document at most, and bytes that a task reads of one.
 EACH, RANGE = 10_000, 64 << 20
-#: Tasks of a pass over ranges at most; beyond, a task has several ranges.
-MOST_TASKS = 20_000
+#: Bytes for which a pass over ranges takes a task, and its tasks at most; ranges of fewer bytes share one.
+TASK, MOST_TASKS = 8 << 20, 20_000
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -47,7 +49,7 @@ class Written(WriterCommitMessage):
     documents: list[str]
 
 
-class ArchiveWriter(DataSourceWriter):
+class ArchiveWriter(DataSourceArrowWriter):
     """Rows come grouped by document and in order; each document is one file.
 
     Tasks write below a folder of the job, which commit empties into place and abort deletes: neither a failed task nor a
@@ -62,12 +64,13 @@ class ArchiveWriter(DataSourceWriter):
         system, path = opened(self.path)
         return system, path, posixpath.join(path, f"_temporary-{self.job}")
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         system, _, folder = self.folder()
         folder = posixpath.join(folder, str(TaskContext.get().taskAttemptId()))
         system.create_dir(folder, recursive=True)
         names, out, now = [], None, None
         try:
+            rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns), strict=True))
             for document, head, entry in rows:
                 if document != now:
                     if out:
@@ -157,11 +160,9 @@ def save_archives(entries: DataFrame, path: str, head: Column | None = None, eac
 
 # Reading
 
-#: A string, the rest of one, or a bracket.
-_TOKEN = re.compile(rb'"[^"\\]*(?:\\.[^"\\]*)*(?:"|\\?\Z)|[\[\]{}]', re.S)
-_REST = re.compile(rb'[^"\\]*(?:\\.[^"\\]*)*(?:"|\\?\Z)', re.S)
 #: Keys that matter, and what makes them ones: the bracket or the text behind.
 _KEYS = {b'"log"': (rb"\s*:\s*", rb"\{"), b'"entries"': (rb"\s*:\s*", rb"\["), b'"version"': (rb"\s*:\s*", rb'"([^"\\]*)"')}
+_KEY = re.compile(rb'"(?=(log|entries|version)")')
 _LONGEST = max(map(len, _KEYS))
 OUTSIDE, INSIDE, ESCAPED = range(3)
 #: Where nothing closes.
@@ -204,67 +205,83 @@ class Bytes:
             size *= 4
 
 
-def tokens(data: bytes, state: int) -> Iterator[tuple[int, bytes]]:
-    """(place, string or bracket) of JSON text that begins in ``state``; the last string may lack its end."""
-    at = 0
-    if state != OUTSIDE:
-        at = _REST.match(data, min(len(data), int(state == ESCAPED))).end()
-        yield 0, b'"' + data[:at]
-    for found in _TOKEN.finditer(data, at):
-        yield found.start(), found.group()
-
-
-def state_behind(data: bytes, state: int, place: int, last: bytes | None) -> int:
-    """The state at the end of text whose last token stands at ``place``."""
-    if not data:
-        return state
-    if last is None or last[:1] != b'"':
-        return OUTSIDE
-    # the last token is a string: does it end, or else, is a backslash at its end on its own?
-    body = last[2:] if place == 0 and state == ESCAPED else last[1:]
-    if re.fullmatch(rb'[^"\\]*(?:\\.[^"\\]*)*"', body, re.S):
-        return OUTSIDE
-    return ESCAPED if (len(body) - len(body.rstrip(b"\\"))) % 2 else INSIDE
-
-
-def key_at(file: Bytes, data: bytes, start: int, place: int, token: bytes) -> tuple[str, str] | None:
-    """A key that matters with what stands behind it; either may go on in the next range."""
-    if place + len(token) >= len(data) and len(token) < _LONGEST:
-        ahead = file.get(start + place, start + place + _LONGEST)
-        token = next((key for key in _KEYS if ahead.startswith(key)), b"")
-    if token not in _KEYS:
-        return None
-    value = file.behind(start + place + len(token), *_KEYS[token])
-    return None if value is None else (token[1:-1].decode(), value)
-
-
-def scanned(file: Bytes, start: int, size: int, state: int) -> dict:
+class Marks:
+    """Quotes and brackets of JSON text as arrays, for whatever state it begins in; ``more`` goes on behind the text."""
+
+    def __init__(self, more: bytes, size: int):
+        self.more, self.size = more, min(size, len(more))
+        self.text = np.frombuffer(more, np.uint8, self.size)
+        slashes = np.flatnonzero(self.text == 0x5C)
+        gaps = np.flatnonzero(np.diff(slashes) > 1)
+        #: where runs of backslashes begin and end
+        self.runs = (slashes[np.r_[0, gaps + 1]], slashes[np.r_[gaps, len(slashes) - 1]] + 1) if len(slashes) else (slashes, slashes)
+        self.all_quotes = np.flatnonzero(self.text == 0x22)
+        # brackets and braces differ in one bit, what opens and what closes in others
+        folded = self.text | 0x20
+        self.all_brackets = np.flatnonzero((folded == 0x7B) | (folded == 0x7D))
+        self.all_keys = [(m.start(), b'"' + m[1] + b'"') for m in _KEY.finditer(more) if m.start() < self.size]
+
+    def of(self, state: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes]], int]:
+        """(places of brackets outside strings, +1 or -1 of each, keys that may matter, the state behind) from ``state`` on."""
+        if not self.size:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), [], state
+        begin, end = self.runs
+        odd = (end - begin + ((begin == 0) & (state == ESCAPED))) % 2 == 1
+        escaped = end[odd]
+        if state == ESCAPED and not (len(begin) and begin[0] == 0):
+            escaped = np.r_[0, escaped]
+        quotes = self.all_quotes[~np.isin(self.all_quotes, escaped)] if len(escaped) else self.all_quotes
+        within = int(state != OUTSIDE)
+        brackets = self.all_brackets[(np.searchsorted(quotes, self.all_brackets) + within) % 2 == 0]
+        steps = np.where(self.text[brackets] & 2, 1, -1)
+        keys = []
+        for place, key in self.all_keys:
+            n = int(np.searchsorted(quotes, place))
+            if n < len(quotes) and quotes[n] == place and (n + within) % 2 == 0:
+                keys.append((place, key))
+        if (len(quotes) + within) % 2 == 0:
+            return brackets, steps, keys, OUTSIDE
+        return brackets, steps, keys, ESCAPED if len(escaped) and escaped[-1] == self.size else INSIDE
+
+
+def marks(file: Bytes, start: int, end: int) -> Marks:
+    """The marks of a range, with so much behind it that a key which goes on there is seen whole."""
+    return Marks(file.get(start, end + _LONGEST), min(end, file.length) - start)
+
+
+def value_of(file: Bytes, place: int, key: bytes) -> tuple[str, str] | None:
+    """A key with what stands behind it, or None if that isn't what makes it matter."""
+    value = file.behind(place + len(key), *_KEYS[key])
+    return None if value is None else (key[1:-1].decode(), value)
+
+
+def scanned(file: Bytes, start: int, size: int, state: int, seen: Marks | None = None) -> dict:
     """How a range changes the state and the depth if it begins in ``state``; depths count from its beginning."""
-    data = file.get(start, start + size)
-    depth, lows, events, at, last = 0, [_NO_LOW], [], 0, None
-    for at, token in tokens(data, state):
-        last = token
-        if token in (b"[", b"{"):
-            depth += 1
-        elif token in (b"]", b"}"):
-            depth -= 1
-            lows[-1] = min(lows[-1], depth)
-        elif (state == OUTSIDE or at) and (found := key_at(file, data, start, at, token)):
-            events.append({"key": found[0], "depth": depth, "value": found[1]})
-            lows.append(_NO_LOW)
-    events = [event | {"low": low} for event, low in zip(events, lows[1:], strict=True)]
-    return {"left": state_behind(data, state, at, last), "depth": depth, "low": lows[0], "events": events}
+    brackets, steps, keys, left = (seen or marks(file, start, start + size)).of(state)
+    depths = np.cumsum(steps)
+    found = [(place, hit) for place, key in keys if (hit := value_of(file, start + place, key))]
+    # the least depth at a closing bracket, between each two keys
+    cuts = np.searchsorted(brackets, [place for place, _ in found]).tolist()
+    edges = [0, *cuts, len(brackets)]
+    lows = [int(np.min(depths[a:b][steps[a:b] < 0], initial=_NO_LOW)) for a, b in zip(edges, edges[1:], strict=False)]
+    events = [{"key": hit[0], "depth": int(depths[n - 1]) if n else 0, "value": hit[1], "low": low} for (_, hit), n, low in zip(found, cuts, lows[1:], strict=True)]
+    return {"left": left, "depth": int(depths[-1]) if len(depths) else 0, "low": lows[0], "events": events}
+
+
+_EVENT_KIND = pa.struct([("key", pa.string()), ("depth", pa.int32()), ("low", pa.int32()), ("value", pa.string())])
+_WAY_KIND = pa.struct([("left", pa.int32()), ("depth", pa.int32()), ("low", pa.int32()), ("events", pa.list_(_EVENT_KIND))])
+_SCAN_KIND = pa.schema([("path", pa.string()), ("length", pa.int64()), ("start", pa.int64()), ("ways", pa.list_(_WAY_KIND))])
 
 
 def _scan(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            rows = batch.to_pylist()
+            for row in rows:
                 with Bytes(row["path"], row["length"]) as file:
-                    ways = [scanned(file, row["start"], size, state) for state in (OUTSIDE, INSIDE, ESCAPED)]
-                event = pa.struct([("key", pa.string()), ("depth", pa.int32()), ("low", pa.int32()), ("value", pa.string())])
-                way = pa.struct([("left", pa.int32()), ("depth", pa.int32()), ("low", pa.int32()), ("events", pa.list_(event))])
-                yield pa.RecordBatch.from_arrays([pa.array([row[c]], k) for c, k in (("path", pa.string()), ("length", pa.int64()), ("start", pa.int64()))] + [pa.array([ways], pa.list_(way))], ["path", "length", "start", "ways"])
+                    seen = marks(file, row["start"], row["start"] + size)
+                    row["ways"] = [scanned(file, row["start"], size, state, seen) for state in (OUTSIDE, INSIDE, ESCAPED)]
+            yield pa.RecordBatch.from_pylist(rows, _SCAN_KIND)
 
     return run
 
@@ -302,28 +319,34 @@ def entries_from(file: Bytes, start: int, size: int, state: int, depth: int, log
     at, end = start, min(start + size, file.length)
     begun, held = None, []  # where an entry begins, and its bytes before this block
     while at < file.length:
-        data, place, last = file.get(at, end if at < end else at + min(size, 1 << 20)), 0, None
-        for place, token in tokens(data, state):
-            last = token
-            if token in (b"[", b"{"):
-                if inside and depth == 3 and token == b"{":
+        stop = min(end if at < end else at + min(size, 1 << 20), file.length)
+        seen = marks(file, at, stop)
+        data = memoryview(seen.more)
+        brackets, steps, keys, left = seen.of(state)
+        depths = depth + np.cumsum(steps)
+        opens = (steps > 0) & (depths == 4) & (seen.text[brackets] == 0x7B)
+        # where entries begin and end, where the list or the log ends, and keys: the last of these between two brackets
+        told = np.flatnonzero(opens | ((steps < 0) & (depths <= 3)))
+        places = [(place, d, step, None) for place, d, step in zip(brackets[told].tolist(), depths[told].tolist(), steps[told].tolist(), strict=True)]
+        ahead = np.searchsorted(brackets, [place for place, _ in keys]).tolist()
+        places += [(place, int(depths[n - 1]) if n else depth, 0, key) for (place, key), n in zip(keys, ahead, strict=True)]
+        for place, now, step, key in sorted(places, key=lambda x: x[0]):
+            if step > 0:
+                if inside:
                     if at >= end:
                         return
                     begun = at + place
-                depth += 1
-            elif token in (b"]", b"}"):
-                depth -= 1
-                if depth == 3 and begun is not None:
+            elif step < 0:
+                if now == 3 and begun is not None:
                     yield begun, b"".join([*held, data[max(begun - at, 0) : place + 1]])
                     begun, held = None, []
-                logged, inside = logged and depth >= 2, inside and depth >= 3
-            elif depth in (1, 2) and (state == OUTSIDE or place) and (found := key_at(file, data, at, place, token)):
-                logged = logged or (depth == 1 and found[0] == "log")
-                inside = inside or (depth == 2 and logged and found[0] == "entries")
+                logged, inside = logged and now >= 2, inside and now >= 3
+            elif now in (1, 2) and (found := value_of(file, at + place, key)):
+                logged = logged or (now == 1 and found[0] == "log")
+                inside = inside or (now == 2 and logged and found[0] == "entries")
         if begun is not None:
-            held.append(data[max(begun - at, 0) :])
-        state = state_behind(data, state, place, last)
-        at += len(data)
+            held.append(data[max(begun - at, 0) : seen.size])
+        depth, state, at = int(depths[-1]) if len(depths) else depth, left, stop
         if begun is None and at >= end:
             return
 
@@ -333,13 +356,15 @@ def _read(size: int):
         for batch in batches:
             for row in batch.to_pylist():
                 with Bytes(row["path"], row["length"]) as file:
-                    rows = []
+                    rows, n = [], 0
                     for place, text in entries_from(file, row["start"], size, row["state"], row["depth"], row["logged"], row["inside"]):
-                        rows.append((row["path"], row["start"], len(rows), place, text.decode("utf-8", "replace")))
-                        if len(rows) % 500 == 0:
-                            yield _rows(rows[-500:])
-                    if len(rows) % 500:
-                        yield _rows(rows[-(len(rows) % 500) :])
+                        rows.append((row["path"], row["start"], n, place, text.decode("utf-8", "replace")))
+                        n += 1
+                        if len(rows) == 500:
+                            yield _rows(rows)
+                            rows = []
+                    if rows:
+                        yield _rows(rows)
 
     return run
 
@@ -360,7 +385,8 @@ def split_entries(spark: SparkSession, path: str, size: int = RANGE) -> DataFram
     files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(size).cast("bigint"))).alias("start"))
     # rows that name ranges are small, what they name isn't: by their own size Spark would put them together again
-    n = max(1, min(ranges.count(), MOST_TASKS))
+    told = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.ceil(F.col("length") / size)).alias("ranges"), F.sum("length").alias("bytes")).first()
+    n = 1 if not told["n"] else max(1, min(told["ranges"], max(math.ceil(told["bytes"] / TASK), spark.sparkContext.defaultParallelism), MOST_TASKS))
     scan = ranges.repartition(n, "path", "start").mapInArrow(_scan(size), _SCAN)
     # a row for each range, written: however often entries are read from here, files are scanned once
     plan = staged(scan.groupBy("path").agg(F.collect_list(F.struct("start", "ways")).alias("ranges")).mapInArrow(_planned, _PLAN))

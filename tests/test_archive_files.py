@@ -199,3 +199,12 @@ def test_times_and_bodies(spark):
     kinds = [("text/html", b"a"), ("", b"a"), ("image/png", b"a"), ("image/svg+xml; x", b"a"), ("text/html", b"\xff"), ("application/ld+json", b"{}")]
     df = spark.createDataFrame([(m, bytearray(b)) for m, b in kinds], "m string, b binary").select(needs_base64(F.col("m"), F.col("b")))
     assert [r[0] for r in df.collect()] == [False, False, True, False, True, False]
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Passes over many small ranges take as many tasks as their bytes ask for, not one for each range."""
+    path = str(tmp_path / "out")
+    S.save_archives(made_entries(spark, 95), path, each=20)
+    found = S.split_entries(spark, f"{path}/*.har", 40)
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert found.count() == 95
