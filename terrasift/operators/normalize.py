@@ -12,6 +12,7 @@ from terrasift.functions import dates as D
 from terrasift.functions import tagged as T
 from terrasift.functions.text import let, null_if_empty, trim_ws, unique_fold
 from terrasift.schemas import LISTING_FIELDS, PROPERTY_FIELDS
+from terrasift.sources.scratch import parsed_once
 
 # The site that relative links belong to, and what notes say.
 SITE = "https://www.zillow.com"
@@ -367,16 +368,18 @@ def search_listings(parsed: DataFrame, today: Column, key: str = "source_id") ->
     """
     from terrasift.operators.dedup import first_wins, listing_key
 
-    each = parsed.select(key, "search", F.explode_outer("search.listings").alias("item"))
+    # what a listing's row carries of its document is small, as each of them carries it
+    head = F.struct(F.col("search.drift").alias("drift"), F.col("search.metadata").alias("metadata")).alias("head")
+    each = parsed.select(key, head, F.explode_outer("search.listings").alias("item"))
     row = listing(F.col("item.record"), today)
     get = getter(F.col("item.record"))
     nameless = (row["id"] == "") & (row["url"] == "") & (row["address"]["full"] == "")
     fault = F.coalesce(listing_fault(get), F.when(nameless, F.lit("listing has no recognized core identity")))
     fault = F.when(F.col("item").isNotNull() & fault.isNotNull(), F.struct(F.col("item.path").alias("path"), fault.alias("detail")))
-    rows = each.select(key, "search", "item.group", "item.ord", "item.path", row.alias("listing"), fault.alias("fault"))
+    rows = parsed_once(each.select(key, "head", "item.group", "item.ord", "item.path", row.alias("listing"), fault.alias("fault")))
     order = F.struct("group", "ord")
-    told = rows.groupBy(key).agg(F.min_by("fault", F.when(F.col("fault").isNotNull(), order)).alias("fault"), F.first("search").alias("search"))
-    told = told.withColumn("drift", F.coalesce("search.drift", "fault")).select(key, "drift", F.col("search.metadata").alias("metadata"))
+    told = rows.groupBy(key).agg(F.min_by("fault", F.when(F.col("fault").isNotNull(), order)).alias("fault"), F.first("head").alias("head"))
+    told = told.withColumn("drift", F.coalesce("head.drift", "fault")).select(key, "drift", F.col("head.metadata").alias("metadata"))
     kept = rows.filter("group IS NOT NULL").join(told.filter("drift IS NULL").select(key), key, "left_semi")
     url = F.when(F.col("path").rlike(r"\.mapResults\[") & (F.col("listing.url") == ""), property_url(F.col("listing.id"), F.lit(""))).otherwise(F.col("listing.url"))
     kept = kept.withColumn("map_url", url).select(key, "group", "ord", "listing.*", "map_url").withColumn("url", F.col("map_url")).drop("map_url")
@@ -433,13 +436,6 @@ def page_properties(parsed: DataFrame, today: Column, key: str = "source_id", re
     row = rental_row(F.col("b"), F.col("planRecord"), F.col("unitRecord"), F.col("merged"), F.col("_source"), today, F.col("raw") if include_raw else None)
     units = units.select(key, "path", "plan", "unit", F.col("unitRecord").isNull().alias("only_plan"), row.alias("p"))
     units = units.filter((F.col("p.id") != "") | F.col("p.price").isNotNull() | (F.col("p.availability") != ""))
-    plans = Window.partitionBy(key, "plan")
-    units = units.withColumn("has_unit", F.max(~F.col("only_plan")).over(plans)).filter(~F.col("only_plan") | ~F.col("has_unit"))
-    own = F.when(F.col("p.id") != "", F.concat(F.lit("id:"), F.col("p.id"))).otherwise(F.concat(F.lit("source:"), F.col("path")))
-    once = Window.partitionBy(key, own).orderBy("plan", "unit")
-    units = units.withColumn("_n", F.row_number().over(once)).filter("_n = 1")
-    place = Window.partitionBy(key).orderBy("plan", "unit")
-    community = units.select(key, F.lit("community").alias("kind"), (F.row_number().over(place) - 1).alias("ord"), "p.*")
 
     named = F.filter(F.transform("page.ids", lambda x: F.struct(x["path"].alias("path"), T.normalize_identifier(x["id"]).alias("id"))), lambda x: F.lit(True))
     bad = F.filter(named, lambda x: x["id"].isNull())
@@ -460,14 +456,28 @@ def page_properties(parsed: DataFrame, today: Column, key: str = "source_id", re
     each = each.withColumn("fault", F.coalesce(property_fault(get), nameless)).withColumn("score", property_score(F.col("p")))
     who = F.coalesce(F.concat(F.lit("id:"), F.col("id_")), F.concat(F.lit("url:"), F.col("url_")))
     each = each.withColumn("who", F.when(F.col("identity_fault").isNull(), who))
-    usable = F.col("c").isNotNull() & F.col("who").isNotNull() & (F.col("expected").isNull() | (F.col("id_") == F.col("expected")))
-    nothing = F.col("c").isNotNull() & F.col("who").isNull() & F.col("identity_fault").isNull()
-    best = F.min_by(F.struct(F.col("c.path").alias("path"), F.col("p").alias("p")), F.when(usable & F.col("fault").isNull(), F.struct((-F.col("score")).alias("s"), F.col("c.path").alias("path"))))
+    # one table of narrow rows: the pages by themselves, units, and candidates
+    each = each.select(F.lit(2).alias("part"), key, "expected", "drift", "n", F.col("c").isNotNull().alias("there"), F.col("c.path").alias("path"), "id_", "identity_fault", "fault", "score", "who", "p")
+    heads = pages.select(F.lit(0).alias("part"), key, "page.kind", F.col("page.drift").alias("head_drift"))
+    table = parsed_once(heads.unionByName(units.withColumn("part", F.lit(1)), True).unionByName(each, True))
+    heads, units, each = (table.filter(F.col("part") == i) for i in range(3))
+
+    plans = Window.partitionBy(key, "plan")
+    units = units.withColumn("has_unit", F.max(~F.col("only_plan")).over(plans)).filter(~F.col("only_plan") | ~F.col("has_unit"))
+    own = F.when(F.col("p.id") != "", F.concat(F.lit("id:"), F.col("p.id"))).otherwise(F.concat(F.lit("source:"), F.col("path")))
+    once = Window.partitionBy(key, own).orderBy("plan", "unit")
+    units = units.withColumn("_n", F.row_number().over(once)).filter("_n = 1")
+    place = Window.partitionBy(key).orderBy("plan", "unit")
+    community = units.select(key, F.lit("community").alias("kind"), (F.row_number().over(place) - 1).alias("ord"), "p.*")
+
+    usable = F.col("there") & F.col("who").isNotNull() & (F.col("expected").isNull() | (F.col("id_") == F.col("expected")))
+    nothing = F.col("there") & F.col("who").isNull() & F.col("identity_fault").isNull()
+    best = F.min_by(F.struct(F.col("path"), F.col("p").alias("p")), F.when(usable & F.col("fault").isNull(), F.struct((-F.col("score")).alias("s"), F.col("path"))))
     chosen = each.groupBy(key).agg(
-        F.first("drift").alias("drift"), F.first("expected").alias("expected"), F.count("c").alias("n"),
-        F.min_by(F.struct(F.col("c.path").alias("path"), F.col("identity_fault").alias("detail")), F.when(F.col("identity_fault").isNotNull(), F.col("n"))).alias("identity"),
+        F.first("drift").alias("drift"), F.first("expected").alias("expected"), F.count_if("there").alias("n"),
+        F.min_by(F.struct(F.col("path"), F.col("identity_fault").alias("detail")), F.when(F.col("identity_fault").isNotNull(), F.col("n"))).alias("identity"),
         F.max(nothing).alias("nameless"), F.array_sort(F.collect_set(F.when(usable, F.col("who")))).alias("who"), best.alias("best"),
-        F.min_by(F.struct(F.col("c.path").alias("path"), F.col("fault").alias("detail")), F.when(usable & F.col("fault").isNotNull(), F.col("c.path"))).alias("fault"),
+        F.min_by(F.struct(F.col("path"), F.col("fault").alias("detail")), F.when(usable & F.col("fault").isNotNull(), F.col("path"))).alias("fault"),
     )
     told = lambda detail: F.struct(F.lit("property").alias("path"), detail.alias("detail"))
     free = F.col("expected").isNull()
@@ -484,9 +494,9 @@ def page_properties(parsed: DataFrame, today: Column, key: str = "source_id", re
     chosen = chosen.withColumn("drift", drift)
     one = chosen.filter("drift IS NULL").select(key, F.lit("property").alias("kind"), F.lit(0).alias("ord"), "best.p.*")
     properties = community.unionByName(one)
-    empty = pages.filter("page.kind = 'community'").select(key).join(community.select(key).distinct(), key, "left_anti")
+    empty = heads.filter("kind = 'community'").select(key).join(community.select(key).distinct(), key, "left_anti")
     missing = empty.select(key, F.struct(F.lit("building.floorPlans").alias("path"), F.lit("no currently described rental units or floor plans").alias("detail")).alias("drift"))
-    faults = pages.filter("page.drift IS NOT NULL").select(key, "page.drift").unionByName(chosen.filter("drift IS NOT NULL").select(key, "drift")).unionByName(missing)
-    documents = parsed.select(key, "page.kind").join(faults, key, "left")
+    faults = heads.filter("head_drift IS NOT NULL").select(key, F.col("head_drift").alias("drift")).unionByName(chosen.filter("drift IS NOT NULL").select(key, "drift")).unionByName(missing)
+    documents = heads.select(key, "kind").join(faults, key, "left")
     return properties, documents
 

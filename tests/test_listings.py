@@ -11,6 +11,7 @@ from terrasift.sources.scratch import staged
 from terrasift.plans.search import SearchPlan, page_details, snapshot_listings
 from terrasift.sources.previous import parse_previous
 from terrasift.sources.records import challenge, script_text, search_response
+from terrasift.sources.scratch import BATCH_ROWS, parsed_once
 from terrasift.spec import Boundary, DetailFilters, Route, SearchFilters, SearchSpec
 
 TODAY = dt.date(2026, 7, 21)
@@ -200,3 +201,21 @@ def test_filters_reach_below_the_details(spark):
     below = plan[plan.index("Join LeftOuter, (link") :]
     scan = next(line for line in below.splitlines() if "Filter" in line and "o_totalprice" in line)
     assert "200000" in scan and "<= 30" in scan and "springfield" in scan
+
+
+def test_documents_go_to_python_in_small_batches(spark):
+    """However many documents a task has, few are parsed at once; the session's settings hold again afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    seen = F.pandas_udf(lambda x: x * 0 + len(x), "long")
+    counts = parsed_once(spark.range(100, numPartitions=1).select(seen("id").alias("n")))
+    assert counts.agg(F.max("n"), F.count("n")).first() == (BATCH_ROWS, 100)
+    assert spark.conf.get(name) == before
+
+
+def test_listings_do_not_carry_their_document(spark, monkeypatch):
+    """What is written for a listing holds its own fields and the document's metadata, not the document's other listings."""
+    kept = []
+    monkeypatch.setattr("terrasift.operators.normalize.parsed_once", lambda rows: kept.append(rows.columns) or rows)
+    snapshot_listings(spark.createDataFrame([("a", "{}")], "source_id string, document string"), F.lit(TODAY))
+    assert kept == [["source_id", "head", "group", "ord", "path", "listing", "fault"]]
