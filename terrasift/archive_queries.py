@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrasift.operators import archive as A
 from terrasift.operators.capture import capture_entries
 from terrasift.registry import query, table
-from terrasift.sources.archive_files import archive_head, indexed, save_archives, split_entries
+from terrasift.sources.archive_files import archive_head, numbered_entries, save_archives
 from terrasift.sources.scratch import shared_dir, staged
 from terrasift.streaming.chains import hops
 
@@ -57,7 +57,7 @@ def written_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_id, entry_index, entry of documents written from the recorded ones, as read back in ranges, once."""
     path = f"{shared_dir(spark)}/archives"
     save_archives(recorded_entries(spark, sf_dir), path, archive_head("recorder", "1", comment=F.concat(F.lit('of "'), "source_id", F.lit('"'))), each=6 * EACH)
-    return staged(indexed(split_entries(spark, f"{path}/*.har", RANGE)))
+    return staged(numbered_entries(spark, f"{path}/*.har", RANGE))
 
 
 _E = f"""

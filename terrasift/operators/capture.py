@@ -38,55 +38,65 @@ def first_of(headers: Column, name: str) -> Column:
     return F.coalesce(F.get(values_of(headers, name), F.lit(0)), F.lit(""))
 
 
-def _named(text: Column) -> tuple[Column, Column]:
-    """Name and value around the first ``=``; the value without quotes around it."""
-    value = F.trim(F.when(text.contains("="), F.regexp_replace(text, "^[^=]*=", "")).otherwise(""))
-    return F.trim(F.substring_index(text, "=", 1)), F.regexp_replace(value, '^"(.*)"$', "$1")
+def _named(parts: Column) -> Column:
+    """name, value around the first ``=`` of each part, and whether there is one; the value without quotes around it.
+
+    Each is worked out once here: what follows asks for it many times.
+    """
+
+    def pair(text: Column) -> Column:
+        name = F.substring_index(text, "=", 1)
+        value = F.trim(F.when(text.contains("="), F.substring(text, F.length(name) + 2, F.length(text))).otherwise(""))
+        return F.struct(F.trim(name).alias("name"), value.alias("value"), text.contains("=").alias("told"))
+
+    bare = lambda p: F.when(p["value"].startswith('"'), F.regexp_replace(p["value"], '^"(.*)"$', "$1")).otherwise(p["value"])
+    return F.transform(F.transform(parts, pair), lambda p: F.struct(p["name"].alias("name"), bare(p).alias("value"), p["told"].alias("told")))
 
 
-def _sound(name: Column, value: Column) -> Column:
-    return name.rlike(_NAME) & value.rlike(_VALUE)
+def _sound(pair: Column) -> Column:
+    return pair["name"].rlike(_NAME) & pair["value"].rlike(_VALUE)
 
 
 def request_cookies(headers: Column) -> Column:
     """Name and value of each cookie that was sent; malformed ones are left out."""
     parts = F.flatten(F.transform(values_of(headers, "Cookie"), lambda v: F.split(v, ";")))
-
-    def cookie(text: Column) -> Column:
-        name, value = _named(text)
-        return F.when(_sound(name, value), F.struct(name.alias("name"), value.alias("value"), *(F.lit(None).cast(k).alias(n) for n, k in _REST)))
-
-    return F.array_compact(F.transform(parts, cookie)).cast(_COOKIES)
+    cookie = lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value"), *(F.lit(None).cast(k).alias(n) for n, k in _REST))
+    return F.transform(F.filter(_named(parts), _sound), cookie).cast(_COOKIES)
 
 
 _REST = [("path", "string"), ("domain", "string"), ("expires", "string"), ("httpOnly", "boolean"), ("secure", "boolean"), ("sameSite", "string"), ("comment", "string")]
 _MODES = {"lax": "Lax", "strict": "Strict", "none": "None"}
 
 
+_TOLD = ["path", "domain", "expires", "httponly", "secure", "samesite"]
+_DATE = r"^\d{2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{4} \d{2}:\d{2}:\d{2} (?:GMT|UTC)$"
+
+
 def response_cookies(headers: Column) -> Column:
     """Each cookie that was set, with its attributes; malformed ones are left out."""
 
-    def cookie(line: Column) -> Column:
-        parts = F.split(line, ";")
-        head = F.trim(F.get(parts, F.lit(0)))
-        name, value = _named(head)
-        told = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "=", 1))).alias("key"), _named(p)[1].alias("value")))
+    def parsed(parts: Column) -> Column:
+        head = F.get(parts, F.lit(0))
+        return F.struct(head.alias("head"), F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.struct(F.lower(p["name"]).alias("key"), p["value"].alias("value"))).alias("told"))
 
-        def said(key: str) -> Column:
-            """The last attribute of a name, or null."""
-            return F.try_element_at(F.transform(F.filter(told, lambda a: a["key"] == key), lambda a: a["value"]), F.lit(-1))
+    def said(c: Column) -> Column:
+        """Of each attribute the last one, or null."""
+        last = lambda key: F.try_element_at(F.filter(c["told"], lambda a: a["key"] == key), F.lit(-1))["value"]
+        values = {key: last(key) for key in _TOLD}
+        values["expires"] = F.regexp_replace(F.regexp_replace(values["expires"], "^[A-Za-z]+, ", ""), "-", " ")
+        values["samesite"] = F.lower(values["samesite"])
+        return F.struct(c["head"].alias("head"), *(value.alias(key) for key, value in values.items()))
 
-        date = F.regexp_replace(F.regexp_replace(said("expires"), "^[A-Za-z]+, ", ""), "-", " ")
-        dated = date.rlike(r"^\d{2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{4} \d{2}:\d{2}:\d{2} (?:GMT|UTC)$")
-        moment = F.to_timestamp_ntz(F.when(dated, F.substring(date, 1, 20)), F.lit("dd MMM yyyy HH:mm:ss"))
-        mode = F.lower(said("samesite"))
-        fields = [
-            name.alias("name"), value.alias("value"), said("path").alias("path"), said("domain").alias("domain"), F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("expires"),
-            said("httponly").isNotNull().alias("httpOnly"), said("secure").isNotNull().alias("secure"), F.coalesce(*(F.when(mode == low, F.lit(text)) for low, text in _MODES.items())).alias("sameSite"), F.lit(None).cast("string").alias("comment"),
-        ]
-        return F.when(head.contains("=") & _sound(name, value), F.struct(*fields))
+    def cookie(c: Column) -> Column:
+        moment = F.to_timestamp_ntz(F.when(c["expires"].rlike(_DATE), F.substring(c["expires"], 1, 20)), F.lit("dd MMM yyyy HH:mm:ss"))
+        return F.struct(
+            c["head"]["name"].alias("name"), c["head"]["value"].alias("value"), c["path"].alias("path"), c["domain"].alias("domain"), F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("expires"),
+            c["httponly"].isNotNull().alias("httpOnly"), c["secure"].isNotNull().alias("secure"), F.coalesce(*(F.when(c["samesite"] == low, F.lit(text)) for low, text in _MODES.items())).alias("sameSite"), F.lit(None).cast("string").alias("comment"),
+        )
 
-    return F.array_compact(F.transform(values_of(headers, "Set-Cookie"), cookie)).cast(_COOKIES)
+    lines = F.transform(values_of(headers, "Set-Cookie"), lambda line: parsed(_named(F.split(line, ";"))))
+    sound = F.filter(lines, lambda c: c["head"]["told"] & _sound(c["head"]))
+    return F.transform(F.transform(sound, said), cookie).cast(_COOKIES)
 
 
 def told_pairs(pairs: Column) -> Column:
@@ -103,17 +113,18 @@ def capture_entries(rows: DataFrame, source: Column, cutoff: float | None = None
     none = lambda kind="string": F.lit(None).cast(kind)
     rows = rows.filter("hop >= 0").select(
         source.alias("source_id"), F.col("seq").alias("entry_index"), "*",
-        header_rows(F.coalesce("request_headers", "told_request_headers", F.create_map().cast("map<string, string>"))).alias("_sent"),
-        header_rows(F.coalesce("response_headers", "told_response_headers", F.create_map().cast("map<string, string>"))).alias("_got"),
+        told_pairs(header_rows(F.coalesce("request_headers", "told_request_headers", F.create_map().cast("map<string, string>")))).alias("_sent"),
+        told_pairs(header_rows(F.coalesce("response_headers", "told_response_headers", F.create_map().cast("map<string, string>")))).alias("_got"),
     )
-    sent, got, posted = told_pairs(F.col("_sent")), told_pairs(F.col("_got")), F.col("post_data")
+    rows = rows.withColumn("_type", first_of(F.col("_got"), "Content-Type"))
+    sent, got, posted = F.col("_sent"), F.col("_got"), F.col("post_data")
     version = c["httpVersion"]
     post = F.when(posted.isNotNull(), F.struct(first_of(sent, "Content-Type").alias("mimeType"), none("array<struct<name: string, value: string, fileName: string, contentType: string, comment: string>>").alias("params"), posted.alias("text"), none().alias("comment")))
     request = F.struct(
         F.col("method"), F.col("url"), version.alias("httpVersion"), sent.alias("headers"), told_pairs(query_items(F.col("url"))).alias("queryString"), request_cookies(sent).alias("cookies"),
         F.lit(-1).cast("bigint").alias("headersSize"), F.coalesce(F.octet_length(posted).cast("bigint"), F.lit(0).cast("bigint")).alias("bodySize"), post.alias("postData"), none().alias("comment"),
     )
-    media = F.coalesce(F.nullif(first_of(got, "Content-Type"), F.lit("")), "mime_type", F.lit(""))
+    media = F.coalesce(F.nullif(F.col("_type"), F.lit("")), "mime_type", F.lit(""))
     body = F.when(~F.coalesce(has_no_body(F.col("method"), F.col("status")), F.lit(False)), F.col("body"))
     coded = needs_base64(media, body)
     content = F.struct(

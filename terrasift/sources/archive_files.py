@@ -27,6 +27,8 @@ from terrasift.sources.scratch import staged
 
 #: Entries of a document at most, and bytes that a task reads of one.
 EACH, RANGE = 10_000, 64 << 20
+#: Bytes behind a range that are read first for its last entry, then twice as many each time.
+TAIL = 8 << 10
 #: Bytes for which a pass over ranges takes a task, and its tasks at most; ranges of fewer bytes share one.
 TASK, MOST_TASKS = 8 << 20, 20_000
 
@@ -314,12 +316,17 @@ def _planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()), strict=True)], ["path", "start", "state", "depth", "logged", "inside"])
 
 
-def entries_from(file: Bytes, start: int, size: int, state: int, depth: int, logged: bool, inside: bool) -> Iterator[tuple[int, bytes]]:
-    """(place, JSON text) of the entries that begin in a range; the last one is read to its end."""
+def entries_from(file: Bytes, start: int, size: int, state: int, depth: int, logged: bool, inside: bool, whole: bool = True) -> Iterator[tuple[int, bytes]]:
+    """(place, JSON text) of the entries that begin in a range; the last one is read to its end.
+
+    Without ``whole`` only where they begin, and nothing behind the range is read.
+    """
     at, end = start, min(start + size, file.length)
+    ahead = TAIL  # bytes read at once of what goes on behind the range
     begun, held = None, []  # where an entry begins, and its bytes before this block
     while at < file.length:
-        stop = min(end if at < end else at + min(size, 1 << 20), file.length)
+        stop = min(end if at < end else at + ahead, file.length)
+        ahead = ahead if at < end else min(2 * ahead, 1 << 20)
         seen = marks(file, at, stop)
         data = memoryview(seen.more)
         brackets, steps, keys, left = seen.of(state)
@@ -328,17 +335,20 @@ def entries_from(file: Bytes, start: int, size: int, state: int, depth: int, log
         # where entries begin and end, where the list or the log ends, and keys: the last of these between two brackets
         told = np.flatnonzero(opens | ((steps < 0) & (depths <= 3)))
         places = [(place, d, step, None) for place, d, step in zip(brackets[told].tolist(), depths[told].tolist(), steps[told].tolist(), strict=True)]
-        ahead = np.searchsorted(brackets, [place for place, _ in keys]).tolist()
-        places += [(place, int(depths[n - 1]) if n else depth, 0, key) for (place, key), n in zip(keys, ahead, strict=True)]
+        cuts = np.searchsorted(brackets, [place for place, _ in keys]).tolist()
+        places += [(place, int(depths[n - 1]) if n else depth, 0, key) for (place, key), n in zip(keys, cuts, strict=True)]
         for place, now, step, key in sorted(places, key=lambda x: x[0]):
             if step > 0:
                 if inside:
                     if at >= end:
                         return
                     begun = at + place
+                    if not whole:
+                        yield begun, b""
             elif step < 0:
                 if now == 3 and begun is not None:
-                    yield begun, b"".join([*held, data[max(begun - at, 0) : place + 1]])
+                    if whole:
+                        yield begun, b"".join([*held, data[max(begun - at, 0) : place + 1]])
                     begun, held = None, []
                 logged, inside = logged and now >= 2, inside and now >= 3
             elif now in (1, 2) and (found := value_of(file, at + place, key)):
@@ -347,7 +357,7 @@ def entries_from(file: Bytes, start: int, size: int, state: int, depth: int, log
         if begun is not None:
             held.append(data[max(begun - at, 0) : seen.size])
         depth, state, at = int(depths[-1]) if len(depths) else depth, left, stop
-        if begun is None and at >= end:
+        if at >= end and (begun is None or not whole):
             return
 
 
@@ -356,7 +366,7 @@ def _read(size: int):
         for batch in batches:
             for row in batch.to_pylist():
                 with Bytes(row["path"], row["length"]) as file:
-                    rows, n = [], 0
+                    rows, n = [], row["before"]
                     for place, text in entries_from(file, row["start"], size, row["state"], row["depth"], row["logged"], row["inside"]):
                         rows.append((row["path"], row["start"], n, place, text.decode("utf-8", "replace")))
                         n += 1
@@ -369,11 +379,44 @@ def _read(size: int):
     return run
 
 
+def _count(size: int):
+    """How many entries begin in each range, put behind its row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = []
+            for row in batch.to_pylist():
+                with Bytes(row["path"], row["length"]) as file:
+                    counts.append(sum(1 for _ in entries_from(file, row["start"], size, row["state"], row["depth"], row["logged"], row["inside"], whole=False)))
+            yield batch.append_column("n", pa.array(counts, pa.int64()))
+
+    return run
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["source_id", "range", "place", "offset", "text"])
 
 
+def _planned_ranges(spark: SparkSession, path: str, size: int) -> tuple[DataFrame, int]:
+    """A row for each range, written, with how it begins; and the tasks that a pass over the ranges takes."""
+    # folders are listed once: there may be very many small documents
+    files = staged(spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0"))
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(size).cast("bigint"))).alias("start"))
+    # rows that name ranges are small, what they name isn't: by their own size Spark would put them together again
+    told = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.ceil(F.col("length") / size)).alias("ranges"), F.sum("length").alias("bytes")).first()
+    n = 1 if not told["n"] else max(1, min(told["ranges"], max(math.ceil(told["bytes"] / TASK), spark.sparkContext.defaultParallelism), MOST_TASKS))
+    scan = ranges.repartition(n, "path", "start").mapInArrow(_scan(size), _SCAN)
+    # written: however often entries are read from here, files are scanned once
+    plan = scan.groupBy("path").agg(F.collect_list(F.struct("start", "ways")).alias("ranges")).mapInArrow(_planned, _PLAN)
+    return staged(plan.join(files, "path")), n
+
+
+def _entries(ranges: DataFrame, n: int, size: int) -> DataFrame:
+    rows = ranges.repartition(n, "path", "start").mapInArrow(_read(size), "source_id string, range bigint, place bigint, offset bigint, text string")
+    return rows.withColumn("entry", F.from_json("text", ENTRY)).drop("text")
+
+
 def split_entries(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     """source_id, range, place, offset, entry: entries of archives of any size, in ranges of ``size`` bytes.
 
@@ -382,17 +425,21 @@ def split_entries(spark: SparkSession, path: str, size: int = RANGE) -> DataFram
     the entries that begin in a range. ``range`` and ``place`` (within the range), or ``offset`` alone, order the entries
     of a source. Documents of another version fail.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
-    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(size).cast("bigint"))).alias("start"))
-    # rows that name ranges are small, what they name isn't: by their own size Spark would put them together again
-    told = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.ceil(F.col("length") / size)).alias("ranges"), F.sum("length").alias("bytes")).first()
-    n = 1 if not told["n"] else max(1, min(told["ranges"], max(math.ceil(told["bytes"] / TASK), spark.sparkContext.defaultParallelism), MOST_TASKS))
-    scan = ranges.repartition(n, "path", "start").mapInArrow(_scan(size), _SCAN)
-    # a row for each range, written: however often entries are read from here, files are scanned once
-    plan = staged(scan.groupBy("path").agg(F.collect_list(F.struct("start", "ways")).alias("ranges")).mapInArrow(_planned, _PLAN))
-    dealt = plan.join(files, "path").repartition(n, "path", "start")
-    rows = dealt.mapInArrow(_read(size), "source_id string, range bigint, place bigint, offset bigint, text string")
-    return rows.select("source_id", "range", "place", "offset", F.from_json("text", ENTRY).alias("entry"))
+    plan, n = _planned_ranges(spark, path, size)
+    return _entries(plan.withColumn("before", F.lit(0).cast("bigint")), n, size)
+
+
+def numbered_entries(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """source_id, entry_index, entry of archives of any size, read as by ``split_entries``.
+
+    What begins in each range is counted between its passes, so a range knows the number of its first entry and entries
+    are neither read twice nor joined.
+    """
+    plan, n = _planned_ranges(spark, path, size)
+    counted = staged(plan.repartition(n, "path", "start").mapInArrow(_count(size), f"{_PLAN}, length bigint, n bigint"))
+    ahead = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.filter("n > 0").withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
+    return _entries(before, n, size).select("source_id", F.col("place").cast("int").alias("entry_index"), "entry")
 
 
 def indexed(entries: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from terrasift.functions.text import let
 
 MAX_HOPS, MAX_PENDING = 10_000, 10_000
 #: Supplements without a request that a key holds after the cutoff.
@@ -347,8 +348,7 @@ def header_rows(headers: Column) -> Column:
 
 
 def content_length(headers: Column) -> Column:
-    value = header(headers, "content-length").try_cast("long")
-    return F.when(value >= 0, value)
+    return let(header(headers, "content-length").try_cast("long"), lambda value: F.when(value >= 0, value))
 
 
 def needs_base64(media: Column, body: Column) -> Column:
@@ -366,7 +366,7 @@ def entry_columns(cutoff: float | None = None) -> dict[str, Column]:
     none = has_no_body(F.col("method"), F.col("status"))
     told = F.when(F.col("finished_loading"), content_length(F.col("response_headers")))
     body = F.coalesce(F.when(F.col("body_length") > 0, F.col("body_length")), told, F.lit(-1))
-    size = F.coalesce(F.when(F.col("decoded_length") > 0, F.col("decoded_length")), told, F.when(body >= 0, body), F.lit(0))
+    size = F.coalesce(F.when(F.col("decoded_length") > 0, F.col("decoded_length")), told, F.when(F.col("body_length") > 0, F.col("body_length")), F.lit(0))
     total = duration(start, end)
     wait = F.least(total, duration(start, F.coalesce("response_at", end)))
     receive = F.when(F.col("response_at").isNotNull(), duration(F.col("response_at"), end)).otherwise(0.0)

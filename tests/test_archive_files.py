@@ -92,6 +92,33 @@ def test_round_trip(spark, tmp_path):
     assert S.split_entries(spark, f"{path}/*.har", size=700).select("source_id", "range").distinct().count() > 10
 
 
+def test_numbers_without_a_second_read(spark, tmp_path, monkeypatch):
+    """Ranges are counted first: entries get their places without a join, in ranges shorter than an entry as well."""
+    path = str(tmp_path / "out")
+    S.save_archives(made_entries(spark, 95), path, each=20)
+    place = lambda df: sorted(map(tuple, df.selectExpr("source_id", "entry_index", "to_json(entry)").collect()))
+    known = place(S.indexed(S.split_entries(spark, f"{path}/*.har", size=700)))
+    for size in (60, 700, 1 << 20):
+        rows = S.numbered_entries(spark, f"{path}/*.har", size)
+        assert place(rows) == known
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_little_is_read_behind_a_range(tmp_path):
+    """Of what follows a range only its last entry's rest is read; for counting nothing."""
+    body = ",".join('{"a":"' + "x" * 300 + '"}' for _ in range(4000))
+    (tmp_path / "a").write_text(text := '{"log":{"version":"1.2","entries":[' + body + "]}}")
+    sizes = []
+    with S.Bytes(str(tmp_path / "a"), len(text)) as file:
+        get = file.get
+        file.get = lambda start, end: sizes.append(end - start) or get(start, end)
+        found = [x for x, _ in S.entries_from(file, 0, 500_000, S.OUTSIDE, 0, False, False)]
+        assert sum(sizes) < 520_000
+        sizes.clear()
+        assert found == [x for x, _ in S.entries_from(file, 0, 500_000, S.OUTSIDE, 0, False, False, whole=False)] and sum(sizes) < 502_000
+
+
 def test_ranges_are_dealt(spark, tmp_path):
     """One large document is read by many tasks."""
     S.save_archives(made_entries(spark, 400, sources=1), str(tmp_path / "one"))
