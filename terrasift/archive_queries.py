@@ -121,14 +121,13 @@ SELECT document, row_number() OVER (PARTITION BY document ORDER BY id) - 1 AS pl
 """)
 def archive_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each entry once secrets are gone, and that nothing leaks."""
-    clean = A.sanitize(written_archives(spark, sf_dir))
-    found = A.leaks(clean).groupBy("source_id", "entry_index").count()
+    # leaks are looked for in the pass that cleans: entries are neither cleaned twice nor joined
     e, names = F.col("entry"), lambda c, name: F.array_join(F.transform(c, lambda x: x[name]), ",")
-    rows = clean.join(found, ["source_id", "entry_index"], "left")
+    rows = A.sanitize(written_archives(spark, sf_dir)).withColumn("leaks", F.size(A.leak_names(e)))
     return rows.select(
         F.element_at(F.split("source_id", "/"), -1).alias("document"), F.col("entry_index").cast("bigint").alias("place"), names(e["request"]["headers"], "name").alias("sent"), names(e["response"]["headers"], "name").alias("got"),
         (F.size(e["request"]["cookies"]) + F.size(e["response"]["cookies"])).cast("bigint").alias("cookies"), names(e["request"]["queryString"], "value").alias("query"), e["request"]["postData"]["text"].alias("post"),
-        e["response"]["content"]["text"].alias("body"), F.coalesce("count", F.lit(0)).cast("bigint").alias("leaks"),
+        e["response"]["content"]["text"].alias("body"), F.col("leaks").cast("bigint").alias("leaks"),
     )
 
 

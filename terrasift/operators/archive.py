@@ -343,12 +343,11 @@ def clean_links(redact: Redactor):
     return clean
 
 
-def leaks(entries: DataFrame, redact: Redactor | None = None, keep_bodies: bool = False) -> DataFrame:
-    """source_id, entry_index, leak: what a sanitized archive still holds; empty if it is clean."""
+def leak_names(e: Column, redact: Redactor | None = None, keep_bodies: bool = False) -> Column:
+    """What a sanitized entry still holds, by name; empty if it is clean."""
     redact = redact or Redactor()
     own = [plain_key(x) for x in redact.names if x not in R.SENSITIVE]
     link = redactor("link", redact)
-    e = F.col("entry")
     heads = F.concat(e["request"]["headers"], e["response"]["headers"])
 
     @F.pandas_udf("boolean")
@@ -373,8 +372,12 @@ def leaks(entries: DataFrame, redact: Redactor | None = None, keep_bodies: bool
         ("request body", body_leaks(e["request"]["postData"]["text"])),
         ("response body", F.lit(not keep_bodies) & (F.coalesce(e["response"]["content"]["text"], F.lit("")) != "")),
     ]
-    found = F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests)))
-    return entries.select("source_id", "entry_index", F.explode(found).alias("leak"))
+    return F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests)))
+
+
+def leaks(entries: DataFrame, redact: Redactor | None = None, keep_bodies: bool = False) -> DataFrame:
+    """source_id, entry_index, leak: what a sanitized archive still holds; empty if it is clean."""
+    return entries.select("source_id", "entry_index", F.explode(leak_names(F.col("entry"), redact, keep_bodies)).alias("leak"))
 
 
 def verified(entries: DataFrame, redact: Redactor | None = None, keep_bodies: bool = False) -> DataFrame:

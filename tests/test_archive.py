@@ -83,3 +83,12 @@ def test_query_items_and_save(spark, archive):
     assert [tuple(i) for i in df.first().q] == [("a", "1"), ("b", "c d"), ("e", ""), ("bad", "%zz")]
     saved = archive.select(ready_to_save(F.col("entry")).alias("entry")).first().entry
     assert saved.cache == "{}" and saved.request.cookies[0].name == "c"
+
+
+def test_leaks_beside_what_is_left(spark, archive):
+    """What an entry still holds can be told in the pass that cleans it, by the same names."""
+    rows = archive
+    told = rows.select("source_id", "entry_index", F.explode(A.leak_names(F.col("entry"))).alias("leak"))
+    known = sorted(map(tuple, A.leaks(rows).collect()))
+    assert known and sorted(map(tuple, told.collect())) == known
+    assert sorted({tuple(r.n) for r in A.sanitize(rows).select(A.leak_names(F.col("entry")).alias("n")).collect()}) == [()]
