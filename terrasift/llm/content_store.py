@@ -127,16 +127,13 @@ class Encoder:
         new = needed[: len(names)] & (place < 0)
         place[new] = np.arange(len(self.words), len(self.words) + new.sum())
         self.learn(names.filter(pa.array(new)))
-        # the ids of each name as bytes, then of all words in their order
-        start = self.start[place]
-        sizes = np.where(needed[: len(names)], self.start[place + 1] - start, 0)
-        behind = np.cumsum(sizes)
-        flat = self.pool[np.arange(behind[-1] if len(behind) else 0) - np.repeat(behind - sizes - start, sizes)]
+        # the ids of each word met and of heads as bytes, then of all words in their order
         width = self.width.itemsize
-        borders = np.concatenate([[0], behind, (behind[-1] if len(behind) else 0) + np.cumsum([len(ids) for ids in heads])]) * width
-        data = np.concatenate([flat, *heads])
+        borders = np.concatenate([self.start, self.start[-1] + np.cumsum([len(ids) for ids in heads])]) * width
+        data = np.concatenate([self.pool, *heads])
         coded = pa.Array.from_buffers(pa.binary(), len(borders) - 1, [None, pa.py_buffer(borders.astype(np.int32)), pa.py_buffer(data)])
-        whole = coded.take(pa.array(index))
+        place = np.concatenate([place, len(self.words) + np.arange(len(first))])
+        whole = coded.take(pa.array(place[index]))
         offsets = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1] // width
         ids = np.frombuffer(whole.buffers()[2], self.width)
         plain = np.flatnonzero(usual.to_numpy(zero_copy_only=False)).tolist()
@@ -151,9 +148,7 @@ def rolling_hash(ids: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     span = 1
     while span < WINDOW:
-        earlier = np.zeros_like(h)
-        earlier[span:] = h[:-span] if len(h) > span else 0
-        h = h + (earlier * np.uint64(0xBF58476D1CE4E5B9 + 2 * span))
+        h[span:] += h[:-span] * np.uint64(0xBF58476D1CE4E5B9 + 2 * span)
         span *= 2
     return h
 
