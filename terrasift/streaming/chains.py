@@ -9,6 +9,7 @@ more fail.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
@@ -21,6 +22,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from terrasift.functions.text import let
 
 MAX_HOPS, MAX_PENDING = 10_000, 10_000
+#: Events of a recorded log that one task sorts, about: more go over more tasks.
+TASK_EVENTS = 250_000
 #: Supplements without a request that a key holds after the cutoff.
 MAX_ORPHANS = 32
 
@@ -213,9 +216,14 @@ def hops(events: DataFrame, cutoff: float | None = None, whole: bool = False) ->
     what was last said of it; all hops but a request's last are known, as a redirect has closed them. Supplements of
     requests without a hop are counted as orphans. More than MAX_HOPS hops of a request fail.
 
+    The events are counted first, so that a longer log takes more tasks, not larger ones.
+
     With ``whole`` also what is needed for entries with headers and bodies: the columns of WHOLE. A request may have
     ``post_data``, a response ``status_text``, and an event "responseBody" the ``body`` of the hop it follows.
     """
+    # a task holds its events while it sorts them; partitions put together by their bytes would grow with the log
+    if (total := events.count()) > TASK_EVENTS:
+        events = events.repartition(math.ceil(total / TASK_EVENTS), "request_id")
     for name, kind_of in OPTIONAL.items() if whole else ():
         events = events if name in events.columns else events.withColumn(name, F.lit(None).cast(kind_of))
     kind, seq, at = F.col("event_type"), F.col("seq"), F.col("ts_mono")

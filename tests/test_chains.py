@@ -142,3 +142,17 @@ def test_bits(spark):
     assert [r[0] for r in df.select(S.http_version(F.col("p"))).collect()] == ["HTTP/2", "HTTP/3", "HTTP/1.1", "x"]
     heads = spark.createDataFrame([({"b": "1\n2", "A": "x"},)], "h map<string, string>")
     assert [tuple(x) for x in heads.select(S.header_rows(F.col("h"))).first()[0]] == [("A", "x"), ("b", "1"), ("b", "2")]
+
+
+def test_a_longer_log_takes_more_tasks(spark, monkeypatch):
+    """A task's events are bounded, whatever their bytes; a short log isn't dealt out."""
+    from terrasift.schemas import EVENT_SCHEMA
+    from terrasift.streaming import chains
+
+    names = [part.split(":")[0].split()[0] for part in EVENT_SCHEMA.replace("map<string, string>", "map").split(", ")]
+    row = lambda i: tuple({"seq": i, "event_type": "requestWillBeSent", "request_id": str(i), "ts_mono": 1.0, "url": f"https://h/{i}"}.get(n) for n in names)
+    log = spark.createDataFrame([row(i) for i in range(60)], EVENT_SCHEMA)
+    dealt = lambda: chains.hops(log)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in dealt()
+    monkeypatch.setattr(chains, "TASK_EVENTS", 20)
+    assert "RepartitionByExpression [request_id" in dealt() and chains.hops(log).count() == 60
