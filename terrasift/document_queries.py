@@ -13,8 +13,8 @@ from terrasift.plans.search import page_details, snapshot_listings
 from terrasift.registry import query, table
 
 TODAY = dt.date(2026, 7, 21)
-#: Parts of a document.
-EACH = 50
+#: Parts of a document, and of a task that makes documents of them.
+EACH, TASK_PARTS = 50, 5_000
 
 
 def json_of(**fields: Column) -> Column:
@@ -38,9 +38,11 @@ def page_of(json: Column) -> Column:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts, dealt by document while they are narrow, over as many tasks as there is parsing to do."""
     p = table(spark, sf_dir, "part")
     key = F.col("p_partkey") + 1  # 0 identifies nothing
-    return p.select(key.alias("k"), F.floor(key / EACH).cast("long").alias("doc"), F.col("p_size").cast("long").alias("s"), F.floor("p_retailprice").cast("long").alias("amount"))
+    rows = p.select(key.alias("k"), F.floor(key / EACH).cast("long").alias("doc"), F.col("p_size").cast("long").alias("s"), F.floor("p_retailprice").cast("long").alias("amount"))
+    return rows.repartition(p.count() // TASK_PARTS + 1, "doc")
 
 
 def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

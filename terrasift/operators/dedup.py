@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +13,10 @@ from terrasift.functions.text import null_if_empty, trim_ws
 SALTS = 16
 
 
-def listing_key() -> Column:
+def listing_key(get: Callable[[str], Column] = F.col) -> Column:
     """What a listing is known by: id, else link, else address in lower case; null for none of them."""
     known = lambda name, c: F.concat(F.lit(f"{name}:"), null_if_empty(trim_ws(c)))
-    return F.coalesce(known("id", F.col("id")), known("url", F.col("url")), known("address", F.lower(F.col("address.full"))))
+    return F.coalesce(known("id", get("id")), known("url", get("url")), known("address", F.lower(get("address")["full"])))
 
 
 def first_wins(rows: DataFrame, groups: list[str], key: Column, order: list[str | Column], salts: int = SALTS) -> DataFrame:

@@ -365,28 +365,45 @@ def search_listings(parsed: DataFrame, today: Column, key: str = "source_id") ->
 
     One faulty listing fails its whole document; ``documents`` has the metadata, or where and how a document drifts.
     Listings keep their place: the list's before the map's, each in order; repeated ones go, the first stays.
+
+    All of this is settled within a document's row, so that no listing is shuffled. Only if a ``key`` repeats do listings
+    meet by it, as those of documents with one key are told apart and fail together.
     """
     from terrasift.operators.dedup import first_wins, listing_key
 
+    def item(x: Column, row: Column) -> Column:
+        nameless = (row["id"] == "") & (row["url"] == "") & (row["address"]["full"] == "")
+        fault = F.coalesce(listing_fault(getter(x["record"])), F.when(nameless, F.lit("listing has no recognized core identity")))
+        url = F.when(x["path"].rlike(r"\.mapResults\[") & (row["url"] == ""), property_url(row["id"], F.lit(""))).otherwise(row["url"])
+        return F.struct(x["group"].alias("group"), x["ord"].alias("ord"), x["path"].alias("path"), row.withField("url", url).alias("listing"), fault.alias("fault"))
+
+    def keyed(x: Column) -> Column:
+        return F.struct(listing_key(lambda name: x["listing"][name]).alias("key"), *(x[c].alias(c) for c in ("group", "ord", "path", "listing")))
+
+    def firsts(items: Column) -> Column:
+        """By key and place, each key's first; those without a key all."""
+        return let(F.sort_array(F.transform(items, keyed)), lambda s: F.filter(s, lambda x, i: x["key"].isNull() | ~x["key"].eqNullSafe(F.get(s, i - 1)["key"])))
+
+    every = F.transform("search.listings", lambda x: let(listing(x["record"], today), lambda row: item(x, row)))
+    docs = parsed.select(key, F.col("search.drift").alias("drift"), F.col("search.metadata").alias("metadata"), every.alias("every"))
+    fault = let(F.get(F.filter("every", lambda x: x["fault"].isNotNull()), F.lit(0)), lambda x: F.when(x.isNotNull(), F.struct(x["path"].alias("path"), x["fault"].alias("detail"))))
+    docs = docs.withColumn("fault", fault).withColumn("kept", F.when(F.col("drift").isNull() & F.col("fault").isNull(), firsts(F.col("every"))))
+    returned = F.when(F.col("kept").isNull(), 0).otherwise(F.size("kept"))
+    each = docs.select(key, "drift", "metadata", "fault", returned.alias("returned"), F.posexplode_outer("kept").alias("n", "item"))
     # what a listing's row carries of its document is small, as each of them carries it
-    head = F.struct(F.col("search.drift").alias("drift"), F.col("search.metadata").alias("metadata")).alias("head")
-    each = parsed.select(key, head, F.explode_outer("search.listings").alias("item"))
-    row = listing(F.col("item.record"), today)
-    get = getter(F.col("item.record"))
-    nameless = (row["id"] == "") & (row["url"] == "") & (row["address"]["full"] == "")
-    fault = F.coalesce(listing_fault(get), F.when(nameless, F.lit("listing has no recognized core identity")))
-    fault = F.when(F.col("item").isNotNull() & fault.isNotNull(), F.struct(F.col("item.path").alias("path"), fault.alias("detail")))
-    rows = parsed_once(each.select(key, "head", "item.group", "item.ord", "item.path", row.alias("listing"), fault.alias("fault")))
-    order = F.struct("group", "ord")
-    told = rows.groupBy(key).agg(F.min_by("fault", F.when(F.col("fault").isNotNull(), order)).alias("fault"), F.first("head").alias("head"))
-    told = told.withColumn("drift", F.coalesce("head.drift", "fault")).select(key, "drift", F.col("head.metadata").alias("metadata"))
-    kept = rows.filter("group IS NOT NULL").join(told.filter("drift IS NULL").select(key), key, "left_semi")
-    url = F.when(F.col("path").rlike(r"\.mapResults\[") & (F.col("listing.url") == ""), property_url(F.col("listing.id"), F.lit(""))).otherwise(F.col("listing.url"))
-    kept = kept.withColumn("map_url", url).select(key, "group", "ord", "listing.*", "map_url").withColumn("url", F.col("map_url")).drop("map_url")
-    kept = first_wins(kept, [key], listing_key(), ["group", "ord"])
+    head = F.struct("drift", "metadata", "returned", (F.coalesce("n", F.lit(0)) == 0).alias("first"))
+    rows = parsed_once(each.select(key, head.alias("head"), "item.group", "item.ord", "item.path", "item.listing", "fault"))
+    drift = F.coalesce("head.drift", "fault")
+    told = rows.filter("head.first").select(key, drift.alias("drift"), "head.metadata", "head.returned")
+    kept = rows.filter("group IS NOT NULL").select(key, "group", "ord", "listing.*")
+    if not rows.isStreaming and not told.groupBy(key).count().filter("count > 1").isEmpty():
+        told = told.groupBy(key).agg(F.min("drift").alias("drift"), F.min("metadata").alias("metadata"))
+        fine = told.filter("drift IS NULL").select(F.col(key).alias("_fine"))
+        kept = first_wins(kept.join(fine, F.col(key).eqNullSafe(F.col("_fine")), "left_semi"), [key], listing_key(), ["group", "ord"])
+        count = kept.groupBy(F.col(key).alias("_of")).agg(F.count(F.lit(1)).cast("int").alias("returned"))
+        told = told.join(count, F.col(key).eqNullSafe(F.col("_of")), "left").drop("_of")
     page = lambda name: F.coalesce(T.as_long(F.col(f"metadata.{name}")).cast("int"), F.lit(0)).alias(name)
-    returned = kept.groupBy(key).count().withColumnRenamed("count", "returned")
-    documents = told.join(returned, key, "left").select(
+    documents = told.select(
         key, "drift", page("currentPage"), F.coalesce("returned", F.lit(0)).alias("returned"), page("resultsPerPage"), page("totalPages"), page("totalResults"),
         F.coalesce(T.as_string(F.col("metadata.resultsHash")), F.lit("")).alias("resultsHash"), C.is_true(F.col("metadata.relaxedResults")).alias("relaxedResults"),
     )

@@ -219,3 +219,19 @@ def test_listings_do_not_carry_their_document(spark, monkeypatch):
     monkeypatch.setattr("terrasift.operators.normalize.parsed_once", lambda rows: kept.append(rows.columns) or rows)
     snapshot_listings(spark.createDataFrame([("a", "{}")], "source_id string, document string"), F.lit(TODAY))
     assert kept == [["source_id", "head", "group", "ord", "path", "listing", "fault"]]
+
+
+def test_listings_are_settled_within_their_document(spark):
+    """No listing is shuffled, nor what documents tell of themselves, as long as no document's id repeats."""
+    rows, told = read(spark, snapshot([{"zpid": 1}, {"zpid": 1}]), snapshot([{"zpid": 1}, {"zpid": "2", "beds": "many"}]), "{")
+    assert all("Exchange" not in x._jdf.queryExecution().executedPlan().toString() for x in (rows, told))
+    assert [r.id for r in rows.collect()] == ["1"] and sorted(r.returned for r in told.collect()) == [0, 0, 1]
+
+
+def test_documents_with_one_id(spark):
+    """Their listings count once, and fail together."""
+    docs = [("a", [{"zpid": 1}, {"zpid": 2}]), ("a", [{"zpid": 2}, {"zpid": 3}]), ("b", [{"zpid": 4}]), ("b", [{"beds": "many"}]), (None, [{"zpid": 5}])]
+    df = spark.createDataFrame([(k, json.dumps(snapshot(rows))) for k, rows in docs], "source_id string, document string")
+    rows, told = snapshot_listings(df, F.lit(TODAY))
+    assert sorted(r.id for r in rows.collect()) == ["1", "2", "3", "5"]
+    assert sorted(((r.source_id, r.drift is None, r.returned) for r in told.collect()), key=repr) == [("a", True, 3), ("b", False, 0), (None, True, 1)]
