@@ -46,16 +46,32 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # another C library
+        give_back()
 
     return wrapped
 
 
+def lean_table(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``run`` over a group's table, likewise."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        out = run(table)
+        give_back()
+        return out
+
+    return wrapped
+
+
+def give_back() -> None:
+    """Unused memory goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def map_batches(rows: DataFrame, run: Callable[[Iterator], Iterator], schema, batch_bytes: int | None = None) -> DataFrame:
     """``mapInArrow`` with small batches, from now on of ``batch_bytes`` at most if given, and workers that stay small."""
     conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from terrasift.llm.common import lower_words, map_batches, written
+from terrasift.llm.common import lean_table, lower_words, map_batches, written
 
 #: Words that count as themselves at most; None: all.
 VOCABULARY: int | None = None
@@ -44,8 +44,8 @@ UNKNOWN, END, SHARED = np.uint64(0), np.uint64(1), np.uint64(2)
 DISCOUNTED = 5
 #: Buckets of a table at least, and bytes of text for each.
 BUCKETS, BUCKET_BYTES = 64, 20_000_000
-#: Documents of a slice; words that a task counts before it sends them on, and whose hashes it remembers.
-SLICE, COUNTED = 2048, 400_000
+#: Documents of a slice; words that a task counts before it sends them on; words whose hashes it remembers from slice to slice.
+SLICE, COUNTED, REMEMBERED = 2048, 400_000, 100_000
 #: Bytes of text of a slice at most, but for a text that is longer by itself.
 SLICE_BYTES = 8_000_000
 #: Places of a pair that a slice sends at most.
@@ -218,7 +218,7 @@ class Slicer:
 
     def slice(self, texts: list[str], training: list[bool]) -> Iterator[tuple]:
         """(kind, bucket, a, b): pairs of each bucket with their places, and the documents with those of frequent pairs."""
-        if len(self.hashes) > COUNTED:
+        if len(self.hashes) > REMEMBERED:
             self.hashes.clear()
         found, sizes = [], []
         for text in texts:
@@ -226,27 +226,38 @@ class Slicer:
             found += [np.array([END]), np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))]
             sizes.append(len(words) + 1)
         flat = np.concatenate([*found, np.array([END])])  # an end is the context of the first token
-        rows, shared = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(flat), bool)
-        context, word = flat[:-1], flat[1:]
+        del found
+        rows, shared, more = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.zeros(len(flat), bool), []
         if self.own is not None:
             shared = ~np.isin(flat, self.own) & (flat != END)
-            exact = word[shared[1:]]
+            more = [flat[1:][shared[1:]], np.array([SHARED])]
             flat = np.where(shared, UNKNOWN, flat)
-            context = np.concatenate([flat[:-1], np.full(len(exact), SHARED)])
-            word = np.concatenate([flat[1:], exact])
-        at = np.concatenate([rows, rows[shared[1:]]]) if self.own is not None else rows
-        frequent = yield from self.packed(context, word, at, np.array(training, bool))
+        names, number = np.unique(np.concatenate([flat, *more]) if more else flat, return_inverse=True)
+        number, behind = number.astype(np.uint32), len(flat)
+        del flat
+        context, word, at = number[: behind - 1], number[1:behind], rows
+        if more:  # shared words are counted by themselves, too
+            exact = number[behind:-1]
+            context, word, at = np.concatenate([context, np.repeat(number[-1:], len(exact))]), np.concatenate([word, exact]), np.concatenate([rows, rows[shared[1:]]])
+        frequent = yield from self.packed(names, context, word, at, np.array(training, bool))
         yield "text", 0, pack(np.array(sizes, np.int64), np.bincount(rows, shared[1:], len(sizes)).astype(np.int64)), frequent
 
-    def packed(self, context: np.ndarray, word: np.ndarray, rows: np.ndarray, training: np.ndarray) -> Iterator[tuple]:
-        """Rows of buckets; returns the places of frequent pairs, each of which is one more document to its bucket."""
-        names, number = np.unique(np.concatenate([context, word]), return_inverse=True)
-        a, w = number[: len(context)].astype(np.uint64), number[len(context) :].astype(np.uint64)
+    def packed(self, names: np.ndarray, a: np.ndarray, w: np.ndarray, rows: np.ndarray, training: np.ndarray) -> Iterator[tuple]:
+        """Rows of buckets of contexts and words, places in ``names``; returns the places of frequent pairs, each of which is one more document to its bucket."""
         n_names, n_rows = np.uint64(len(names)), np.uint64(SLICE)
-        posts, n = np.unique((w * n_names + a) * n_rows + rows.astype(np.uint64), return_counts=True)
-        row, pair = (posts % n_rows).astype(np.int64), posts // n_rows
+        posts = w.astype(np.uint64)  # in place, as this is what a task's memory goes to
+        posts *= n_names
+        posts += a
+        posts *= n_rows
+        posts += rows.astype(np.uint64)
+        posts.sort()
+        first = starts(posts)
+        n = np.diff(first, append=len(posts)).astype(np.int32)
+        posts = posts[first]
+        row, pair = (posts % n_rows).astype(np.int32), posts // n_rows
+        del posts, a, w
         first = starts(pair)
-        trained = np.add.reduceat(n * training[row], first)
+        trained = np.add.reduceat(n * training[row], first, dtype=np.int64)
         sizes = np.diff(np.append(first, len(pair)))
         often = sizes > PLACES
         frequent, which = np.repeat(often, sizes), pair[first]
@@ -272,16 +283,17 @@ class Slicer:
 
 def merged(table: pa.Table) -> Iterator[tuple]:
     """(kind, slice, a, b): a bucket's pair types in the order of words and contexts, and each slice's pairs among them."""
-    found = []
-    for keys in table.column("a"):
-        found.append(types_of(keys.as_py()))
-    w, a, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    w, a, n = zip(*(types_of(keys.as_py()) for keys in table.column("a")), strict=True)
+    ends = np.cumsum([len(x) for x in w])
+    w, a, n = map(np.concatenate, (w, a, n))
     order = np.lexsort((a, w))
-    first = starts(w[order], a[order])
+    w, a, n = w[order], a[order], n[order]
+    first = starts(w, a)
     type_of = np.empty(len(order), np.int64)
-    type_of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-    yield "types", None, pack_types(w[order][first], a[order][first], np.add.reduceat(n[order], first)), None
-    ends = np.cumsum([len(x) for x, *_ in found])
+    type_of[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(order)))
+    types = pack_types(w[first], a[first], np.add.reduceat(n, first))
+    del w, a, n, order
+    yield "types", None, types, None
     for which, s, places in zip(np.split(type_of, ends[:-1]), table.column("slice").to_pylist(), table.column("b").to_pylist(), strict=True):
         yield "post", s, pack(steps(which)), places
 
@@ -363,7 +375,7 @@ def katz_scores(docs: DataFrame, training: Column) -> DataFrame:
         bucket = table.column("bucket")[0].as_py()
         return pa.Table.from_arrays(arrays([(kind, bucket, None, s, x, y, None) for kind, s, x, y in merged(table)]), NAMES)
 
-    held = written(map_batches(texts, sliced, schema).groupBy("kind", "bucket").applyInArrow(gathered, schema))
+    held = written(map_batches(texts, sliced, schema).groupBy("kind", "bucket").applyInArrow(lean_table(gathered), schema))
     types = held.filter("kind = 'types'")
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,7 +393,7 @@ def katz_scores(docs: DataFrame, training: Column) -> DataFrame:
         facts = np.array([n.sum(), ((n > 0) & (words != UNKNOWN)).sum(), n[words == UNKNOWN].sum()], np.int64)
         return pa.Table.from_arrays(arrays([*rows, ("facts", None, None, None, pack(facts), None, None)]), NAMES)
 
-    counts = written(map_batches(types.select("bucket", "a"), ask_words, schema).groupBy("part").applyInArrow(tell_words, schema))
+    counts = written(map_batches(types.select("bucket", "a"), ask_words, schema).groupBy("part").applyInArrow(lean_table(tell_words), schema))
     facts = [unpack(r.a)[0].astype(np.int64) for r in counts.filter("kind = 'facts'").select("a").collect()]  # one for each part
     tokens, words, unknown = (int(x) for x in np.sum(facts, axis=0)) if facts else (0, 0, 0)
     words += shared_words
@@ -410,7 +422,7 @@ def katz_scores(docs: DataFrame, training: Column) -> DataFrame:
         rows = [("context", b, p, None, None, pack(found.scale[at], found.weight[at]), None) for b, p, at in zip(table.column("bucket").to_pylist(), table.column("part").to_pylist(), places, strict=True)]
         return pa.Table.from_arrays(arrays(rows), NAMES)
 
-    weights = types.unionByName(counts).groupBy("bucket").applyInArrow(ask_contexts, schema).groupBy("part").applyInArrow(tell_contexts, schema)
+    weights = types.unionByName(counts).groupBy("bucket").applyInArrow(lean_table(ask_contexts), schema).groupBy("part").applyInArrow(lean_table(tell_contexts), schema)
 
     def scored(table: pa.Table) -> pa.Table:
         w, a, n, count, pair = with_counts(table)
@@ -452,6 +464,6 @@ def katz_scores(docs: DataFrame, training: Column) -> DataFrame:
         columns = [pa.array(text["ids"], arrow_id), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens, np.int64)), pa.array(base), pa.array(score if tokens else base)]
         return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    sums = held.filter("kind != 'text'").unionByName(counts).unionByName(weights).groupBy("bucket").applyInArrow(scored, schema)
+    sums = held.filter("kind != 'text'").unionByName(counts).unionByName(weights).groupBy("bucket").applyInArrow(lean_table(scored), schema)
     result = f"doc_id {kind_of_id}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return held.filter("kind = 'text'").unionByName(sums).groupBy("slice").applyInArrow(finished, result)
+    return held.filter("kind = 'text'").unionByName(sums).groupBy("slice").applyInArrow(lean_table(finished), result)

@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -568,6 +569,20 @@ def test_slices(monkeypatch):
     assert cut(["x" * 20, "a", "b" * 9, "é" * 5, "c"]) == [["x" * 20], ["a", "b" * 9], ["é" * 5], ["c"]]
 
 
+def test_memory_of_a_slice():
+    """A slice takes little more than its tokens' posts, and what a worker remembers of words doesn't grow."""
+    texts, slicer = [" ".join(f"w{(i * 31 + k * k) % 50_000}" for k in range(400)) for i in range(500)], katz_lm.Slicer(None, 64)
+    tracemalloc.start()
+    try:
+        packed = sum(len(a) + len(b) for _, _, a, b in slicer.slice(texts, [True] * len(texts)))
+        assert (tracemalloc.get_traced_memory()[1] - packed) / (401 * len(texts)) < 140
+    finally:
+        tracemalloc.stop()
+    for i in range(4):
+        list(slicer.slice([" ".join(f"{i}-{k}" for k in range(60_000))], [True]))
+    assert len(slicer.hashes) <= katz_lm.REMEMBERED + 60_000
+
+
 def test_katz_without_training(docs):
     rows = katz_lm.katz_scores(docs, F.lit(False)).collect()
     assert len(rows) == len(AWKWARD) and all(r.train_tokens == 0 and r.n_known == 0 and r.score == r.base_score == 0 for r in rows)
