@@ -29,7 +29,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import BATCH_BYTES, broadcast_key, doc_texts, map_batches, once, written
+from terrasift.llm.common import BATCH_BYTES, broadcast_key, doc_texts, give_back, map_batches, once, written
 
 #: Characters of the texts that share a dictionary; a longer text has its own.
 BLOCK = 32_000_000
@@ -38,7 +38,7 @@ BROADCAST_PAIRS = 1_000_000
 #: Rows of a task whose stretches are told apart together, and stretches that are encoded together.
 GATHERED, TOGETHER = 400_000, 5000
 #: Stretches of documents that are put together at once.
-WORDS = 500_000
+WORDS = 100_000
 #: Rows of a task that are packed together, and their columns.
 PACKED = 400_000
 NO_WORDS = pa.schema([("local", pa.int32()), ("fine", pa.bool_()), *((c, pa.int32()) for c in ("n_a", "n_b", "n_groups")), ("groups", pa.string()), ("pairs", pa.list_(pa.int64()))])
@@ -283,12 +283,19 @@ def _bytes(values: pa.BinaryArray) -> memoryview:
 
 
 def _documents(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """The documents of a block from what its stretches gave."""
+    """The documents of a block from what its stretches gave, as many batches as there are portions."""
+    out = pa.Table.from_batches(list(_portions(docs, words)))
+    give_back()
+    return out
+
+
+def _portions(docs: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Documents of WORDS stretches together, or a longer one alone. What a stretch takes is only held for a portion."""
     docs = _unpacked(docs).combine_chunks()
     words = _unpacked(words) if words.num_rows else NO_WORDS.empty_table()
     words = words.take(pc.sort_indices(words.column("local"))).combine_chunks()
     column = lambda table, c: (lambda x: x.chunk(0) if x.num_chunks else pa.array([], x.type))(table.column(c))
-    lists = column(docs, "words")
+    lists, ids = column(docs, "words"), column(docs, "doc_id")
     flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
     counts = {c: column(words, c).fill_null(0).to_numpy() for c in ("n_a", "n_b", "n_groups")}
     broken = ~column(words, "fine").to_numpy(zero_copy_only=False).astype(bool)
@@ -297,35 +304,32 @@ def _documents(docs: pa.Table, words: pa.Table) -> pa.Table:
     n_links = links.value_lengths().fill_null(0).to_numpy()
     link_ends = np.concatenate([[0], np.cumsum(n_links)])
     names, pairs = np.unique(links.flatten().to_numpy(), return_inverse=True)
-    n = len(ends) - 1
-    # of a document with a stretch that B's bytes don't give back nothing counts
-    lost = sums(broken[flat], ends) > 0
-    if lost.any():
-        keep = np.repeat(~lost, np.diff(ends))
-        flat, ends = flat[keep], np.concatenate([[0], np.cumsum(np.where(lost, 0, np.diff(ends)))])
-    totals = {c: sums(of[flat], ends) for c, of in (*counts.items(), ("n_links", n_links))}
-    digests, found, times, sizes = [], [], [], []
-    first = 0
+    pairs = pairs.astype(np.int32)
+    del docs, words, links
+    n, first = len(ends) - 1, 0
     while first < n:
-        # documents of WORDS stretches together, or a longer one alone
         last = max(first + 1, int(np.searchsorted(ends, ends[first] + WORDS, side="right")) - 1)
         own, borders = flat[ends[first] : ends[last]], ends[first : last + 1] - ends[first]
+        # of a document with a stretch that B's bytes don't give back nothing counts
+        lost = sums(broken[own], borders) > 0
+        if lost.any():
+            sizes = np.diff(borders)
+            own, borders = own[np.repeat(~lost, sizes)], np.concatenate([[0], np.cumsum(np.where(lost, 0, sizes))])
+        totals = {c: sums(of[own], borders) for c, of in (*counts.items(), ("n_links", n_links))}
         taken = text.take(pa.array(own))
         data, places = _bytes(taken), np.frombuffer(taken.buffers()[1], np.int32)[taken.offset :][borders].tolist()
-        digests += [hashlib.sha256(data[low : high - 1]).hexdigest() if high > low else "" for low, high in zip(places[:-1], places[1:], strict=True)]
+        digests = [hashlib.sha256(data[low : high - 1]).hexdigest() if high > low else "" for low, high in zip(places[:-1], places[1:], strict=True)]
         each = n_links[own]
         behind = np.cumsum(each)
         linked = pairs[np.arange(behind[-1] if len(behind) else 0) + np.repeat(link_ends[own] - behind + each, each)]
-        document = np.repeat(np.arange(last - first), totals["n_links"][first:last])
-        known, counted = np.unique(document * len(names) + linked, return_counts=True)
-        found.append(names[known % max(len(names), 1)])
-        times.append(counted)
-        sizes.append(np.bincount(known // max(len(names), 1), minlength=last - first))
+        document = np.repeat(np.arange(last - first), totals["n_links"])
+        known, times = np.unique(document * len(names) + linked, return_counts=True)
+        found = np.bincount(known // max(len(names), 1), minlength=last - first)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(found)]).astype(np.int32))
+        known = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (names[known % max(len(names), 1)], times)]
+        arrays = [ids.slice(first, last - first), *(pa.array(x.astype(np.int64)) for x in totals.values()), pa.array(digests, pa.string()), *known]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *totals, "groups_sha256", "pairs", "times"])
         first = last
-    offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))]).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (found, times)]
-    arrays = [column(docs, "doc_id"), *(pa.array(x.astype(np.int64)) for x in totals.values()), pa.array(digests, pa.string()), *lists]
-    return pa.Table.from_arrays(arrays, ["doc_id", *totals, "groups_sha256", "pairs", "times"])
 
 
 def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:

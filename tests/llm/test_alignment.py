@@ -1,11 +1,13 @@
 """Cross-tokenizer alignment against a plain version, on whole documents with every awkward case."""
 
 import hashlib
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,27 @@ def test_stretches():
     for text in filter(None, AWKWARD):
         parts = alignment.stretches_of(text)
         assert "".join(f" {p}" for p in parts) == f" {text}"
+
+
+def test_documents_of_a_block_by_portions():
+    """What a block's documents take beside their places and results doesn't grow with the block, and no batch is the whole of it."""
+    rng = np.random.default_rng(3)
+    n, size, vocabulary = 2000, 1000, 5000
+    docs = pa.table({"doc_id": np.arange(n), "words": list(rng.integers(0, vocabulary, (n, size), dtype=np.int32))})
+    given = [("n_a", 2), ("n_b", 1), ("n_groups", 1)]
+    words = pa.table([np.arange(vocabulary, dtype=np.int32), np.arange(vocabulary) != 7, *(np.full(vocabulary, x, np.int32) for _, x in given), [f"{i},1|2" for i in range(vocabulary)], [[i, i + 1] for i in range(vocabulary)]], schema=alignment.NO_WORDS)
+    packs = [pa.table({"pack": pa.array([alignment._pack(x)], pa.binary())}) for x in (docs, words)]
+    tracemalloc.start()
+    out = alignment._documents(*packs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70 << 20
+    assert max(batch.nbytes for batch in out.to_batches()) < out.nbytes / 10
+    rows = out.to_pylist()
+    assert [r["doc_id"] for r in rows] == list(range(n))
+    for row, own in list(zip(rows, docs["words"].to_pylist(), strict=True))[:50]:
+        whole = [] if 7 in own else own
+        times = Counter(x for i in whole for x in (i, i + 1))
+        assert (row["n_a"], row["n_b"], row["n_links"]) == (2 * len(whole), len(whole), 2 * len(whole))
+        assert dict(zip(row["pairs"], row["times"], strict=True)) == times
+        assert row["groups_sha256"] == (hashlib.sha256(";".join(f"{i},1|2" for i in whole).encode()).hexdigest() if whole else "")
