@@ -647,6 +647,33 @@ def test_recall_at_the_threshold(spark):
     assert linked == 400 and found.filter("NOT kept").count() >= 0.99 * linked
 
 
+def test_members_of_posts_in_brief(spark):
+    """They bring far less than signatures, and a pair that agrees often enough still meets in its first common post, and only there."""
+    rng = np.random.default_rng(5)
+    sigs = rng.integers(0, 1 << 32, (40, 64), dtype=np.uint64).astype(np.uint32)
+    sigs[20:] = np.where(rng.random((20, 64)) < 0.7, sigs[:20], sigs[20:])
+    posts = minhash_join.prefix_posts(spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sigs)], "node long, sig binary"), np.zeros((2, 0), np.uint64)).collect()
+    holders = {}
+    for row in posts:
+        holders.setdefault(row.key, []).append(row.node)
+    assert len(posts) == 40 * 31 and all(key & 0xFFFFFFFF == sigs[node, key >> 32] for key, ids in holders.items() for node in ids)
+    holders = {key: ids for key, ids in holders.items() if len(ids) > 1}
+    shared = {i: sum(1 << (key >> 32) for key, ids in holders.items() if i in ids) for i in range(40)}
+    as_long = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(key, 0, 0, i, 9, as_long(shared[i]), sigs[i].tobytes()) for key, ids in holders.items() for i in ids]
+    brief = minhash_join.in_brief(spark.createDataFrame(rows, "key long, block long, side int, node long, n long, shared long, sig binary")).cache()
+    told = brief.collect()
+    assert len(told) == len(rows) and sum(len(r["values"]) + len(r["sketch"]) for r in told) < 0.4 * 256 * len(rows)
+    first = {}
+    for key, (i, j) in sorted(holders.items()):
+        if (sigs[i] == sigs[j]).sum() >= minhash_join.MATCHES:
+            first.setdefault((i, j), key)
+    met = {}
+    for row in minhash_join.matched(brief).collect():
+        met.setdefault(row.key, []).append(row.node)
+    assert len(first) > 15 and {tuple(sorted(ids)): key for key, ids in met.items()} == first and len(met) == len(first)
+
+
 def test_left_over_pairs_meet_once(spark, monkeypatch):
     """Every two members of a large post in different components share one block, on different sides or on one."""
     monkeypatch.setattr(minhash_join, "BLOCK", 8)
