@@ -53,11 +53,16 @@ def recorded_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_entries(found, F.concat(F.lit("day/"), (F.col("request_id").cast("bigint") % 3).cast("string")))
 
 
-def written_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_id, entry_index, entry of documents written from the recorded ones, as read back in ranges, once."""
+def written_archives(spark: SparkSession, sf_dir: str, again: bool = True) -> DataFrame:
+    """source_id, entry_index, entry of documents written from the recorded ones, as read back in ranges.
+
+    What reads them ``again`` gets them as a table, so that the documents are read once.
+    """
     path = f"{shared_dir(spark)}/archives"
     save_archives(recorded_entries(spark, sf_dir), path, archive_head("recorder", "1", comment=F.concat(F.lit('of "'), "source_id", F.lit('"'))), each=6 * EACH)
-    return staged(numbered_entries(spark, f"{path}/*.har", RANGE))
+    # a folder is listed at once, a pattern path by path
+    rows = numbered_entries(spark, path, RANGE)
+    return staged(rows) if again else rows
 
 
 _E = f"""
@@ -121,9 +126,9 @@ SELECT document, row_number() OVER (PARTITION BY document ORDER BY id) - 1 AS pl
 """)
 def archive_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each entry once secrets are gone, and that nothing leaks."""
-    # leaks are looked for in the pass that cleans: entries are neither cleaned twice nor joined
+    # leaks are looked for in the pass that cleans, and that in the one that reads: entries are neither kept, nor cleaned twice, nor joined
     e, names = F.col("entry"), lambda c, name: F.array_join(F.transform(c, lambda x: x[name]), ",")
-    rows = A.sanitize(written_archives(spark, sf_dir)).withColumn("leaks", F.size(A.leak_names(e)))
+    rows = A.sanitize(written_archives(spark, sf_dir, again=False)).withColumn("leaks", F.size(A.leak_names(e)))
     return rows.select(
         F.element_at(F.split("source_id", "/"), -1).alias("document"), F.col("entry_index").cast("bigint").alias("place"), names(e["request"]["headers"], "name").alias("sent"), names(e["response"]["headers"], "name").alias("got"),
         (F.size(e["request"]["cookies"]) + F.size(e["response"]["cookies"])).cast("bigint").alias("cookies"), names(e["request"]["queryString"], "value").alias("query"), e["request"]["postData"]["text"].alias("post"),

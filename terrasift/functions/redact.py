@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from terrasift.functions.text import contains_any, trim_ws
+from terrasift.functions.text import contains_any, let, trim_ws
 
 # Names of sensitive keys, normalized.
 SENSITIVE = [
@@ -49,13 +49,16 @@ def normalize_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"[^\p{L}\p{Nd}]+", ""))
 
 
+def _is_key(c: Column, names: list[str]) -> Column:
+    return let(normalize_key(c), lambda name: name.isin(*names) | name.rlike(f"(?:{'|'.join(ENDINGS)})$"))
+
+
 def is_sensitive_key(c: Column, more: list[str] = ()) -> Column:
-    name = normalize_key(c)
-    return name.isin(*SENSITIVE, *more) | name.rlike(f"(?:{'|'.join(ENDINGS)})$")
+    return _is_key(c, [*SENSITIVE, *more])
 
 
 def is_sensitive_link_key(c: Column, more: list[str] = ()) -> Column:
-    return is_sensitive_key(c, more) | normalize_key(c).isin(*IN_LINKS)
+    return _is_key(c, [*SENSITIVE, *more, *IN_LINKS])
 
 
 def is_forbidden_header(c: Column) -> Column:
@@ -67,7 +70,7 @@ def looks_like_jwt(c: Column) -> Column:
 
 
 def is_credential(c: Column) -> Column:
-    return contains_any(F.lower(trim_ws(c)), *MARKS) | looks_like_jwt(c)
+    return let(trim_ws(c), lambda text: contains_any(F.lower(text), *MARKS) | text.rlike(JWT))
 
 
 def is_json_media(c: Column) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
+from json.encoder import encode_basestring
 from urllib.parse import quote, quote_plus, unquote, unquote_plus, urlsplit, urlunsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,25 @@ STATIC_KINDS = ["document", "font", "image", "media", "script", "stylesheet"]
 STATIC_ENDINGS = ["avif", "css", "gif", "ico", "jpeg", "jpg", "js", "map", "mp4", "png", "svg", "webp", "woff", "woff2"]
 
 
+#: Links and names that are remembered with what came of them, and how long such a text may be: many repeat.
+HELD, SHORT = 2048, 500
+_NO_KEY = dict.fromkeys(i for i in range(128) if not chr(i).isalnum())
+_JWT, _LINK, _BROKEN, _BETWEEN = re.compile(R.JWT), re.compile(r"\s*(?:https?://|/)", re.I), re.compile(r"%(?![0-9A-Fa-f]{2})"), re.compile("([&;])")
+_SHORTEST = min(map(len, R.MARKS))
+#: Links without user or anything that would have to be put right: origin, path and query.
+_PLAIN = re.compile(r"(https?://[A-Za-z0-9.:-]+)(/[!\"$->@-~]*)?(?:\?([!\"$-~]*))?(?:#[!-~]*)?")
+
+
 def plain_key(name: str) -> str:
+    if name.isascii():
+        return (name if name.isalnum() else name.translate(_NO_KEY)).lower()
     return "".join(c.lower() for c in name if c.isalpha() or c.isdigit())
 
 
+def in_path(text: str) -> str:
+    return quote(text, safe="$&+=:@")
+
+
 class Redactor:
     """Redaction of nested values, links and queries; the counterpart of the column tests for what nests."""
 
@@ -38,8 +55,16 @@ class Redactor:
         self.token = token
         self.names = {*R.SENSITIVE, *map(plain_key, more)}
         self.endings = tuple(R.ENDINGS)
+        self.escaped = {escape: escape(token) for escape in (in_path, quote_plus)}
 
     def sensitive(self, name: str) -> bool:
+        return self.known_key(name) if len(name) <= SHORT else self.new_key(name)
+
+    @lru_cache(HELD)  # noqa: B019
+    def known_key(self, name: str) -> bool:
+        return self.new_key(name)
+
+    def new_key(self, name: str) -> bool:
         key = plain_key(name)
         return key in self.names or key.endswith(self.endings)
 
@@ -47,22 +72,27 @@ class Redactor:
         return self.sensitive(name) or plain_key(name) in R.IN_LINKS
 
     def credential(self, text: str) -> bool:
+        if len(text) < _SHORTEST or text.isdigit():  # neither a mark nor a token looks like this
+            return False
         low = text.strip().lower()
-        return any(mark in low for mark in R.MARKS) or bool(re.match(R.JWT, text.strip()))
+        for mark in R.MARKS:
+            if mark in low:
+                return True
+        return "." in text and bool(_JWT.match(text.strip()))
 
     def value(self, value: object) -> object:
         if isinstance(value, dict):
             return {k: self.token if self.sensitive(k) else self.value(v) for k, v in value.items()}
         if isinstance(value, list):
             return [self.value(v) for v in value]
-        if not isinstance(value, str) or isinstance(value, Number):
+        if not isinstance(value, str) or isinstance(value, Number) or value.isdigit():
             return value
         if value.strip()[:1] in ("{", "["):
             try:
                 return dumps(self.value(decode(value)))
             except ValueError:
                 return self.token
-        if re.match(r"\s*(?:https?://|/)", value, re.I):
+        if _LINK.match(value):
             try:
                 return self.link(value)
             except ValueError:
@@ -71,47 +101,76 @@ class Redactor:
 
     def link(self, link: str) -> str:
         """Without user and fragment; secrets in path and query are replaced. A malformed query is dropped."""
+        return self.known_link(link) if len(link) <= SHORT else self.new_link(link)
+
+    @lru_cache(HELD)  # noqa: B019
+    def known_link(self, link: str) -> str:
+        return self.new_link(link)
+
+    def new_link(self, link: str) -> str:
         if not link.strip():
             return link
+        if plain := _PLAIN.fullmatch(link):
+            origin, path, query = plain.groups("")
+            return f"{origin}{self.path(path)}{'?' if (query := self.sound_query(query)) else ''}{query}"
         parts = urlsplit(link)
         if parts.scheme and not parts.netloc and not parts.path.startswith("/"):
             raise ValueError("opaque link")
         host = parts.netloc.rpartition("@")[2]
+        return urlunsplit((parts.scheme, host, self.path(parts.path), self.sound_query(parts.query), ""))
+
+    def sound_query(self, query: str) -> str:
         try:
-            query = self.query(parts.query)
+            return self.query(query)
         except ValueError:
-            query = ""
-        return urlunsplit((parts.scheme, host, self.path(parts.path), query, ""))
+            return ""
+
+    def name_kind(self, name: str) -> str | None:
+        """What is wrong with the name of a value in a link."""
+        if name.isdigit():
+            return None
+        return self.known_name(name) if len(name) <= SHORT else self.new_name(name)
+
+    @lru_cache(HELD)  # noqa: B019
+    def known_name(self, name: str) -> str | None:
+        return self.new_name(name)
+
+    def new_name(self, name: str) -> str | None:
+        return "sensitive" if self.sensitive_in_link(name) else "credential" if self.credential(name) else None
 
     def pair(self, key: str, value: str | None, unescape, escape) -> str | None:
         """A redacted ``key=value``, or None if it may stay."""
-        name, token = unescape(key), escape(self.token)
-        if self.sensitive_in_link(name):
-            return f"{key}={token}"
-        if self.credential(name):
-            return token if value is None else f"{token}={token}"
+        if (kind := self.name_kind(unescape(key))) == "sensitive":
+            return f"{key}={self.escaped[escape]}"
+        if kind:
+            return self.escaped[escape] if value is None else f"{self.escaped[escape]}={self.escaped[escape]}"
         if value is not None:
-            clean = self.value(unescape(value))
-            if clean != unescape(value):
+            clean = self.value(plain := unescape(value))
+            if clean != plain:
                 return f"{key}={escape(str(clean))}"
         return None
 
     def path(self, path: str) -> str:
         out, secret = [], False
-        escape = lambda x: quote(x, safe="$&+=:@")
+        token = self.escaped[in_path]
         for segment in path.split("/"):
-            base, *matrix = segment.split(";")
+            if not secret and segment.isdigit():
+                out.append(segment)
+                continue
+            base, *matrix = segment.split(";") if ";" in segment else (segment,)
             key, equals, value = base.partition("=")
             name = checked(base)
             if secret and base:
-                base, secret = escape(self.token), False
+                base, secret = token, False
             elif equals:
-                base, secret = self.pair(key, value, checked, escape) or base, False
+                base, secret = self.pair(key, value, checked, in_path) or base, False
             else:
-                named, shaped = self.sensitive_in_link(name), self.credential(name)
-                base, secret = escape(self.token) if shaped and not named else base, named or shaped
-            cells = [x.partition("=") for x in matrix]
-            out.append(";".join([base, *(self.pair(k, v if e else None, checked, escape) or f"{k}{e}{v}" for k, e, v in cells)]))
+                kind = self.name_kind(name)
+                base, secret = token if kind == "credential" else base, kind is not None
+            if matrix:
+                cells = [x.partition("=") for x in matrix]
+                base = ";".join([base, *(self.pair(k, v if e else None, checked, in_path) or f"{k}{e}{v}" for k, e, v in cells)])
+            out.append(base)
         return "/".join(out)
 
     def query(self, query: str) -> str:
@@ -119,9 +178,9 @@ class Redactor:
 
         def item(text: str) -> str:
             key, equals, value = text.partition("=")
-            return self.pair(key, value if equals else None, lambda x: checked(x, plus=True), quote_plus) or text
+            return self.pair(key, value if equals else None, plus_checked, quote_plus) or text
 
-        return "".join(x if x in "&;" else item(x) for x in re.split("([&;])", query) if x)
+        return "".join(x if x in "&;" else item(x) for x in _BETWEEN.split(query) if x)
 
     def body(self, text: str) -> str:
         """The two parts of a search request that are kept, redacted."""
@@ -141,36 +200,44 @@ class Redactor:
 
 def checked(text: str, plus: bool = False) -> str:
     """Percent-decoded; a malformed escape is an error."""
-    if re.search(r"%(?![0-9A-Fa-f]{2})", text):
+    if "%" not in text:
+        return text.replace("+", " ") if plus else text
+    if _BROKEN.search(text):
         raise ValueError("malformed escape")
     return (unquote_plus if plus else unquote)(text)
 
 
+def plus_checked(text: str) -> str:
+    return checked(text, plus=True)
+
+
 def dumps(value: object) -> str:
     """Compact JSON with sorted keys and numbers as written."""
     if isinstance(value, Number):
         return str(value)
     if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{dumps(value[k])}" for k in sorted(value)) + "}"
+        return "{" + ",".join(f"{encode_basestring(k)}:{dumps(value[k])}" for k in sorted(value)) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(dumps, value)) + "]"
-    return json.dumps(value, ensure_ascii=False)
+    return encode_basestring(value) if isinstance(value, str) else json.dumps(value)
 
 
 def redactor(kind: str, redact: Redactor):
     """A column function: "link", "query", "body" or "value" (JSON text); errors give null."""
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str | None:
-            if text is None:
-                return None
-            try:
-                return dumps(redact.value(decode(text))) if kind == "value" else getattr(redact, kind)(text)
-            except ValueError:
-                return None
+    run = getattr(redact, kind, None)
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return dumps(redact.value(decode(text))) if kind == "value" else run(text)
+        except ValueError:
+            return None
 
-        return texts.map(one)
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array(map(one, texts.to_pylist()), pa.string())
 
     return clean
 
@@ -291,8 +358,9 @@ def derive_templates(entries: DataFrame, redact: Redactor | None = None) -> Data
     return rows.filter(F.coalesce(full & listed, F.lit(False))).select("source_id", "entry_index", F.lit(1).alias("version"), "endpoint", "method", "referer", "searchQueryState", "wants")
 
 
-def _may_stay(head: Column, names: list[str], own: list[str]) -> Column:
-    return F.lower(trim_ws(head["name"])).isin(*names) & ~R.is_forbidden_header(head["name"]) & ~R.is_sensitive_key(head["name"], own)
+def _may_stay(head: Column, names: list[str], redact: Redactor) -> Column:
+    # whether one of these few names is forbidden or sensitive is the same for all headers
+    return F.lower(trim_ws(head["name"])).isin(*(n for n in names if plain_key(n) not in R.FORBIDDEN and not redact.sensitive(n)))
 
 
 def sanitize(entries: DataFrame, redact: Redactor | None = None, keep_bodies: bool = False) -> DataFrame:
@@ -308,7 +376,7 @@ def sanitize(entries: DataFrame, redact: Redactor | None = None, keep_bodies: bo
     rows = rows.withColumn("_search", (F.col("entry.request.method") == "PUT") & is_endpoint(F.col("entry.request.url")))
     rows = rows.withColumn("_body", body(F.when(F.col("_search"), F.col("entry.request.postData.text"))))
     for side, names in (("request", R.REQUEST_HEADERS), ("response", R.RESPONSE_HEADERS)):
-        rows = rows.withColumn(f"_{side}", F.filter(f"entry.{side}.headers", lambda h: _may_stay(h, names, own)))  # noqa: B023
+        rows = rows.withColumn(f"_{side}", F.filter(f"entry.{side}.headers", lambda h: _may_stay(h, names, redact)))  # noqa: B023
         linked = F.transform(f"_{side}", lambda h: F.when(R.normalize_key(h["name"]).isin(*R.LINK_HEADERS), h["value"]))
         rows = rows.withColumn(f"_{side}_links", clean_links(redact)(linked))
         rows = rows.withColumn(f"_{side}", F.zip_with(f"_{side}", f"_{side}_links", lambda h, v: h.withField("value", F.coalesce(v, h["value"])).withField("comment", F.lit(None).cast("string"))))
@@ -336,9 +404,9 @@ def sanitize(entries: DataFrame, redact: Redactor | None = None, keep_bodies: bo
 
 
 def clean_links(redact: Redactor):
-    @F.pandas_udf("array<string>")
-    def clean(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda xs: None if xs is None else [None if x is None else redact.link(x) for x in xs])
+    @F.arrow_udf("array<string>")
+    def clean(lists: pa.Array) -> pa.Array:
+        return pa.array((None if xs is None else [None if x is None else redact.link(x) for x in xs] for xs in lists.to_pylist()), pa.list_(pa.string()))
 
     return clean
 
@@ -350,15 +418,15 @@ def leak_names(e: Column, redact: Redactor | None = None, keep_bodies: bool = Fa
     link = redactor("link", redact)
     heads = F.concat(e["request"]["headers"], e["response"]["headers"])
 
-    @F.pandas_udf("boolean")
-    def body_leaks(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> bool:
-            try:
-                return bool(text) and redact.leaks(decode(text))
-            except ValueError:
-                return True
+    def one(text: str | None) -> bool:
+        try:
+            return bool(text) and redact.leaks(decode(text))
+        except ValueError:
+            return True
 
-        return texts.map(one)
+    @F.arrow_udf("boolean")
+    def body_leaks(texts: pa.Array) -> pa.Array:
+        return pa.array(map(one, texts.to_pylist()), pa.bool_())
 
     changed = lambda c: (F.coalesce(c, F.lit("")) != "") & ~c.eqNullSafe(link(c))
     tests = [

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.schemas import ENTRY
 from terrasift.sources.archive import query_items
 from terrasift.streaming.chains import entry_columns, has_no_body, header_rows, needs_base64
 
 PAGE = "page_1"
 _DAY = 86_400_000_000
 _PAIRS = "array<struct<name: string, value: string, comment: string>>"
-_COOKIES = "array<struct<name: string, value: string, path: string, domain: string, expires: string, httpOnly: boolean, secure: boolean, sameSite: string, comment: string>>"
 _NAME = r"^[!#$%&'*+\-.^_`|~0-9A-Za-z]+$"
 _VALUE = r'^[\x20-\x7E&&[^";\\]]*$'
 
@@ -46,11 +44,11 @@ def _named(parts: Column) -> Column:
 
     def pair(text: Column) -> Column:
         name = F.substring_index(text, "=", 1)
-        value = F.trim(F.when(text.contains("="), F.substring(text, F.length(name) + 2, F.length(text))).otherwise(""))
-        return F.struct(F.trim(name).alias("name"), value.alias("value"), text.contains("=").alias("told"))
+        # behind the end there is nothing
+        return F.struct(F.trim(name).alias("name"), F.trim(F.substring(text, F.length(name) + 2, F.length(text))).alias("value"), text.contains("=").alias("told"))
 
     bare = lambda p: F.when(p["value"].startswith('"'), F.regexp_replace(p["value"], '^"(.*)"$', "$1")).otherwise(p["value"])
-    return F.transform(F.transform(parts, pair), lambda p: F.struct(p["name"].alias("name"), bare(p).alias("value"), p["told"].alias("told")))
+    return F.transform(F.transform(parts, pair), lambda p: F.struct(p["name"].alias("name"), F.lower(p["name"]).alias("key"), bare(p).alias("value"), p["told"].alias("told")))
 
 
 def _sound(pair: Column) -> Column:
@@ -61,7 +59,7 @@ def request_cookies(headers: Column) -> Column:
     """Name and value of each cookie that was sent; malformed ones are left out."""
     parts = F.flatten(F.transform(values_of(headers, "Cookie"), lambda v: F.split(v, ";")))
     cookie = lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value"), *(F.lit(None).cast(k).alias(n) for n, k in _REST))
-    return F.transform(F.filter(_named(parts), _sound), cookie).cast(_COOKIES)
+    return F.transform(F.filter(_named(parts), _sound), cookie)
 
 
 _REST = [("path", "string"), ("domain", "string"), ("expires", "string"), ("httpOnly", "boolean"), ("secure", "boolean"), ("sameSite", "string"), ("comment", "string")]
@@ -76,12 +74,13 @@ def response_cookies(headers: Column) -> Column:
     """Each cookie that was set, with its attributes; malformed ones are left out."""
 
     def parsed(parts: Column) -> Column:
-        head = F.get(parts, F.lit(0))
-        return F.struct(head.alias("head"), F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.struct(F.lower(p["name"]).alias("key"), p["value"].alias("value"))).alias("told"))
+        """The first part, and the others from the last one on."""
+        return F.struct(F.get(parts, F.lit(0)).alias("head"), F.reverse(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("told"))
 
     def said(c: Column) -> Column:
         """Of each attribute the last one, or null."""
-        last = lambda key: F.try_element_at(F.filter(c["told"], lambda a: a["key"] == key), F.lit(-1))["value"]
+        # where a key stands is found without a test of each part for each key
+        last = lambda key: F.get(c["told"]["value"], (F.array_position(c["told"]["key"], key) - 1).cast("int"))
         values = {key: last(key) for key in _TOLD}
         values["expires"] = F.regexp_replace(F.regexp_replace(values["expires"], "^[A-Za-z]+, ", ""), "-", " ")
         values["samesite"] = F.lower(values["samesite"])
@@ -96,7 +95,7 @@ def response_cookies(headers: Column) -> Column:
 
     lines = F.transform(values_of(headers, "Set-Cookie"), lambda line: parsed(_named(F.split(line, ";"))))
     sound = F.filter(lines, lambda c: c["head"]["told"] & _sound(c["head"]))
-    return F.transform(F.transform(sound, said), cookie).cast(_COOKIES)
+    return F.transform(F.transform(sound, said), cookie)
 
 
 def told_pairs(pairs: Column) -> Column:
@@ -104,7 +103,7 @@ def told_pairs(pairs: Column) -> Column:
 
 
 def capture_entries(rows: DataFrame, source: Column, cutoff: float | None = None) -> DataFrame:
-    """source_id, entry_index, entry of hops made with ``whole``; ``entry_index`` is the place of the first event.
+    """source_id, entry_index, entry (as ENTRY) of hops made with ``whole``; ``entry_index`` is the place of the first event.
 
     Headers as sent outweigh those that the request or the response first told. A request body is text; a response
     body is kept as text if it is, else as base64, and not at all where the protocol has none.
@@ -140,4 +139,4 @@ def capture_entries(rows: DataFrame, source: Column, cutoff: float | None = None
         F.lit(PAGE).alias("pageref"), iso_time(F.col("started_wall")).alias("startedDateTime"), c["time"].alias("time"), request.alias("request"), response.alias("response"), F.lit("{}").alias("cache"), timings.alias("timings"),
         none().alias("serverIPAddress"), none().alias("connection"), F.nullif(c["comment"], F.lit("")).alias("comment"), c["resourceType"].alias("_resourceType"), none().alias("_initiator"),
     )
-    return rows.select("source_id", "entry_index", entry.cast(ENTRY).alias("entry"))
+    return rows.select("source_id", "entry_index", entry.alias("entry"))

@@ -72,6 +72,20 @@ def test_links():
     assert A.Redactor(more=["My Field"]).sensitive("my-field")
 
 
+def test_links_as_they_are_split():
+    """Links that need no putting right take a shorter way to the same text, and what repeats is remembered."""
+    r = A.Redactor()
+    rests = ["", "/", "/a/12/b", "/token/12/b", "/token//b", "/12/token", "/a;pin=1;x=2/c", "?", "?a=1&token=2;b", "/p?q=a%20b+c&key=", "/p?a=%zz#f", "/p#f?x=1", "/apikey-1?csrf", "/x=/y", "/p?u=https%3A%2F%2Fh%2F%3Fpin%3D1"]
+    for rest in rests:
+        # a user keeps the link from the shorter way
+        assert r.link(f"https://h.org:1{rest}") == r.link(f"https://u@h.org:1{rest}") == r.new_link(f"https://h.org:1{rest}"), rest
+    assert list(map(A.plain_key, ["aB-c_1", "É-Σ", "ab1"])) == ["abc1", "éσ", "ab1"]
+    before = A.Redactor.known_link.cache_info().hits
+    assert {r.link("https://h.org/homes/?page=1") for _ in range(50)} == {"https://h.org/homes/?page=1"}
+    assert A.Redactor.known_link.cache_info().hits >= before + 49
+    assert A.Redactor(more=["q"]).link("https://h.org/?q=1") == "https://h.org/?q=%5BREDACTED%5D" and r.link("https://h.org/?q=1") == "https://h.org/?q=1"
+
+
 def test_derive(archive):
     row = A.derive_templates(archive).first()
     assert (row.entry_index, row.method, row.referer) == (2, "PUT", "https://www.zillow.com/x?code=%5BREDACTED%5D")

@@ -9,6 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from terrasift import archive_queries as Q
 from terrasift.operators.capture import capture_entries, iso_time, request_cookies, response_cookies
 from terrasift.schemas import ENTRY, EVENT_SCHEMA
 from terrasift.sources import archive_files as S
@@ -105,6 +106,18 @@ def test_numbers_without_a_second_read(spark, tmp_path, monkeypatch):
         assert "Join" not in plan and plan.count("MapInArrow") == 1
 
 
+def test_entries_are_cleaned_as_they_are_read(spark, monkeypatch):
+    """What needs documents once doesn't keep their entries as a table, and a folder is listed without a job of many tasks."""
+    rows, asked = made_entries(spark, 30), []
+    monkeypatch.setattr(Q, "recorded_entries", lambda *_: rows)
+    read = Q.numbered_entries
+    monkeypatch.setattr(Q, "numbered_entries", lambda spark, path, size: asked.append(path) or read(spark, path, size))
+    found = Q.archive_sanitized(spark, "")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and not any("*" in path for path in asked)
+    assert found.count() == 30 and {r.leaks for r in found.collect()} == {0}
+
+
 def test_little_is_read_behind_a_range(tmp_path):
     """Of what follows a range only its last entry's rest is read; for counting nothing."""
     body = ",".join('{"a":"' + "x" * 300 + '"}' for _ in range(4000))
@@ -220,6 +233,13 @@ def test_cookies(spark):
     assert [(c.name, c.value) for c in df[3].q] == [("x", "1"), ("z", "1=2")]
 
 
+def test_entries_are_not_cast_whole(spark):
+    """Entries have the fields of ENTRY as they are put together: no second copy of each is made for the sake of its type."""
+    found = capture_entries(hops(spark.createDataFrame([], WHOLE), whole=True), F.lit("s"))
+    assert found.select("entry").schema.simpleString() == f"struct<entry:{spark.createDataFrame([], f'e {ENTRY}').schema['e'].dataType.simpleString()}>"
+    assert "cast(struct(pageref" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_times_and_bodies(spark):
     times = spark.createDataFrame([(0.0,), (1767225600.25,), (-0.5,), (1e9 + 1e-6,)], "t double").select(iso_time(F.col("t"))).collect()
     assert [t[0] for t in times] == ["1970-01-01T00:00:00Z", "2026-01-01T00:00:00.25Z", "1969-12-31T23:59:59.5Z", "2001-09-09T01:46:40.000001Z"]
