@@ -358,9 +358,10 @@ def derive_templates(entries: DataFrame, redact: Redactor | None = None) -> Data
     return rows.filter(F.coalesce(full & listed, F.lit(False))).select("source_id", "entry_index", F.lit(1).alias("version"), "endpoint", "method", "referer", "searchQueryState", "wants")
 
 
-def _may_stay(head: Column, names: list[str], redact: Redactor) -> Column:
-    # whether one of these few names is forbidden or sensitive is the same for all headers
-    return F.lower(trim_ws(head["name"])).isin(*(n for n in names if plain_key(n) not in R.FORBIDDEN and not redact.sensitive(n)))
+def _is_named(head: Column, names: list[str]) -> Column:
+    """Whether a header has one of a few names, whatever its case and the white space around it."""
+    # only a name that holds one of them is trimmed
+    return F.lower(head["name"]).isin(*names) | (contains_any(F.lower(head["name"]), *names) & F.lower(trim_ws(head["name"])).isin(*names))
 
 
 def sanitize(entries: DataFrame, redact: Redactor | None = None, keep_bodies: bool = False) -> DataFrame:
@@ -376,14 +377,18 @@ def sanitize(entries: DataFrame, redact: Redactor | None = None, keep_bodies: bo
     rows = rows.withColumn("_search", (F.col("entry.request.method") == "PUT") & is_endpoint(F.col("entry.request.url")))
     rows = rows.withColumn("_body", body(F.when(F.col("_search"), F.col("entry.request.postData.text"))))
     for side, names in (("request", R.REQUEST_HEADERS), ("response", R.RESPONSE_HEADERS)):
-        rows = rows.withColumn(f"_{side}", F.filter(f"entry.{side}.headers", lambda h: _may_stay(h, names, redact)))  # noqa: B023
-        linked = F.transform(f"_{side}", lambda h: F.when(R.normalize_key(h["name"]).isin(*R.LINK_HEADERS), h["value"]))
+        # whether one of these few names is forbidden, sensitive or a link's is the same for all headers
+        names = [n for n in names if plain_key(n) not in R.FORBIDDEN and not redact.sensitive(n)]
+        links = [n for n in names if plain_key(n) in R.LINK_HEADERS]
+        rows = rows.withColumn(f"_{side}", F.filter(f"entry.{side}.headers", lambda h: _is_named(h, names)))  # noqa: B023
+        linked = F.transform(f"_{side}", lambda h: F.when(_is_named(h, links), h["value"]))  # noqa: B023
         rows = rows.withColumn(f"_{side}_links", clean_links(redact)(linked))
         rows = rows.withColumn(f"_{side}", F.zip_with(f"_{side}", f"_{side}_links", lambda h, v: h.withField("value", F.coalesce(v, h["value"])).withField("comment", F.lit(None).cast("string"))))
     e = F.col("entry")
+    escaped = lambda c: (c.contains("%") | c.contains("+")) & R.is_credential(F.coalesce(F.try_url_decode(c), c))
     items = F.transform("entry.request.queryString", lambda i: F.struct(
         F.when(R.is_credential(i["name"]), token).otherwise(i["name"]).alias("name"),
-        F.when(R.is_sensitive_link_key(i["name"], own) | R.is_credential(i["value"]) | R.is_credential(F.coalesce(F.try_url_decode(i["value"]), i["value"])), token).otherwise(i["value"]).alias("value"),
+        F.when(R.is_sensitive_link_key(i["name"], own) | R.is_credential(i["value"]) | escaped(i["value"]), token).otherwise(i["value"]).alias("value"),
         F.lit(None).cast("string").alias("comment"),
     ))
     params = F.transform("entry.request.postData.params", lambda p: p.withField("name", F.when(R.is_credential(p["name"]), token).otherwise(p["name"])).withField("value", F.when(p["value"] != "", token).otherwise(p["value"])).withField("fileName", F.when(p["fileName"] != "", token).otherwise(p["fileName"])).withField("comment", F.lit(None).cast("string")))

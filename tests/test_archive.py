@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from terrasift.functions import redact as R
 from terrasift.operators import archive as A
 from terrasift.sources.archive import entries, parse_archives, query_items, ready_to_save
 
@@ -86,6 +87,18 @@ def test_links_as_they_are_split():
     assert A.Redactor(more=["q"]).link("https://h.org/?q=1") == "https://h.org/?q=%5BREDACTED%5D" and r.link("https://h.org/?q=1") == "https://h.org/?q=1"
 
 
+def test_cheap_tests_come_first(spark):
+    """No mark or token gets past the hints, and columns tell secrets as the redactor does."""
+    assert all(any(hint in mark for hint in R.HINTS + R.FOLDED_HINTS) for mark in R.MARKS)
+    r, texts = A.Redactor(), [*R.MARKS, *(f" x{m.upper()}y\u00a0" for m in R.MARKS), "bearer ", "basic", "aaaaaaaa.bbbbbbbb.cccccccc", "a.b", "12", "", "t1", "token", "My-Token ", "content-type", "key", " :path", "x:y", "Set-Cookie"]
+    c = F.col("c")
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "c string").select("c", R.is_credential(c), R.is_sensitive_key(c), R.is_sensitive_link_key(c), R.is_forbidden_header(c)).collect()
+    assert [tuple(row)[1:4] for row in rows[:-1]] == [(r.credential(t), r.sensitive(t), r.sensitive_in_link(t)) for t in texts]
+    assert {row.c for row in rows if row[4]} == {"authorization:", "proxy-authorization:", "bearer ", "cookie:", "set-cookie:", " :path", "Set-Cookie"} and tuple(rows[-1]) == (None,) * 5
+    names = spark.createDataFrame([(n,) for n in ["Accept", "\u00a0accept ", "x-accept", "Content-Type", "", None]], "name string").select(A._is_named(F.struct("name"), ["accept", "content-type"]))
+    assert [row[0] for row in names.collect()] == [True, True, False, True, False, None]
+
+
 def test_derive(archive):
     row = A.derive_templates(archive).first()
     assert (row.entry_index, row.method, row.referer) == (2, "PUT", "https://www.zillow.com/x?code=%5BREDACTED%5D")
