@@ -169,9 +169,10 @@ _LONGEST = max(map(len, _KEYS))
 OUTSIDE, INSIDE, ESCAPED = range(3)
 #: Where nothing closes.
 _NO_LOW = 1 << 30
-_EVENT = "struct<key: string, depth: int, low: int, value: string>"
-_SCAN = f"path string, length bigint, start bigint, ways array<struct<left: int, depth: int, low: int, events: array<{_EVENT}>>>"
-_PLAN = "path string, start bigint, state int, depth int, logged boolean, inside boolean"
+_OPENS = "array<struct<depth: int, n: bigint>>"
+_EVENT = f"struct<key: string, depth: int, low: int, value: string, opens: {_OPENS}>"
+_SCAN = f"path string, length bigint, start bigint, ways array<struct<left: int, depth: int, low: int, events: array<{_EVENT}>, opens: {_OPENS}>>"
+_PLAN = "path string, start bigint, state int, depth int, logged boolean, inside boolean, n bigint"
 
 
 @dataclass
@@ -257,21 +258,32 @@ def value_of(file: Bytes, place: int, key: bytes) -> tuple[str, str] | None:
     return None if value is None else (key[1:-1].decode(), value)
 
 
+def _opens(depths: np.ndarray, steps: np.ndarray, braces: np.ndarray) -> list[dict]:
+    """How many objects open at each depth, but for those that lie deeper than where they could be entries."""
+    lows = np.minimum.accumulate(np.where(steps < 0, depths, _NO_LOW))
+    # an entry opens where the list is left behind by no bracket and by no more than the entry before it
+    found, counts = np.unique(depths[braces & (steps > 0) & ((lows == depths - 1) | (lows == _NO_LOW))], return_counts=True)
+    return [{"depth": depth, "n": n} for depth, n in zip(found.tolist(), counts.tolist(), strict=True)]
+
+
 def scanned(file: Bytes, start: int, size: int, state: int, seen: Marks | None = None) -> dict:
     """How a range changes the state and the depth if it begins in ``state``; depths count from its beginning."""
-    brackets, steps, keys, left = (seen or marks(file, start, start + size)).of(state)
-    depths = np.cumsum(steps)
+    seen = seen or marks(file, start, start + size)
+    brackets, steps, keys, left = seen.of(state)
+    depths, braces = np.cumsum(steps), seen.text[brackets] == 0x7B
     found = [(place, hit) for place, key in keys if (hit := value_of(file, start + place, key))]
     # the least depth at a closing bracket, between each two keys
     cuts = np.searchsorted(brackets, [place for place, _ in found]).tolist()
     edges = [0, *cuts, len(brackets)]
     lows = [int(np.min(depths[a:b][steps[a:b] < 0], initial=_NO_LOW)) for a, b in zip(edges, edges[1:], strict=False)]
-    events = [{"key": hit[0], "depth": int(depths[n - 1]) if n else 0, "value": hit[1], "low": low} for (_, hit), n, low in zip(found, cuts, lows[1:], strict=True)]
-    return {"left": left, "depth": int(depths[-1]) if len(depths) else 0, "low": lows[0], "events": events}
+    opens = [_opens(depths[a:b], steps[a:b], braces[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    events = [{"key": hit[0], "depth": int(depths[n - 1]) if n else 0, "value": hit[1], "low": low, "opens": new} for (_, hit), n, low, new in zip(found, cuts, lows[1:], opens[1:], strict=True)]
+    return {"left": left, "depth": int(depths[-1]) if len(depths) else 0, "low": lows[0], "events": events, "opens": opens[0]}
 
 
-_EVENT_KIND = pa.struct([("key", pa.string()), ("depth", pa.int32()), ("low", pa.int32()), ("value", pa.string())])
-_WAY_KIND = pa.struct([("left", pa.int32()), ("depth", pa.int32()), ("low", pa.int32()), ("events", pa.list_(_EVENT_KIND))])
+_OPENS_KIND = pa.list_(pa.struct([("depth", pa.int32()), ("n", pa.int64())]))
+_EVENT_KIND = pa.struct([("key", pa.string()), ("depth", pa.int32()), ("low", pa.int32()), ("value", pa.string()), ("opens", _OPENS_KIND)])
+_WAY_KIND = pa.struct([("left", pa.int32()), ("depth", pa.int32()), ("low", pa.int32()), ("events", pa.list_(_EVENT_KIND)), ("opens", _OPENS_KIND)])
 _SCAN_KIND = pa.schema([("path", pa.string()), ("length", pa.int64()), ("start", pa.int64()), ("ways", pa.list_(_WAY_KIND))])
 
 
@@ -289,7 +301,7 @@ def _scan(size: int):
 
 
 def _planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The state, the depth and the place in the document at which each range of a file begins.
+    """The state, the depth and the place in the document at which each range of a file begins, and how many entries begin in it.
 
     A range's depths hold whatever follows; so a file's ranges are gone through once, without their bytes.
     """
@@ -297,10 +309,10 @@ def _planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, ranges in zip(batch.column("path").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
             state, depth, logged, inside, version, rows = OUTSIDE, 0, False, False, "", []
             for r in sorted(ranges, key=lambda r: r["start"]):
-                rows.append((path, r["start"], state, depth, logged, inside))
+                begins, n = (path, r["start"], state, depth, logged, inside), 0
                 way = r["ways"][state]
-                parts = [(None, way["low"]), *((e, e["low"]) for e in way["events"])]
-                for event, low in parts:
+                parts = [(None, way["low"], way["opens"]), *((e, e["low"], e["opens"]) for e in way["events"])]
+                for event, low, opens in parts:
                     at = depth + event["depth"] if event else None
                     if event and event["key"] == "log" and at == 1:
                         logged = True
@@ -308,12 +320,14 @@ def _planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         inside = True
                     elif event and event["key"] == "version" and at == 2 and logged:
                         version = event["value"]
+                    n += sum(o["n"] for o in opens if depth + o["depth"] == 4) if inside else 0
                     logged, inside = logged and depth + low >= 2, inside and depth + low >= 3
+                rows.append((*begins, n))
                 state, depth = way["left"], depth + way["depth"]
             if version != VERSION:
                 raise ValueError(f"{path}: " + (f"unsupported version {version}" if version else "log.version is required"))
             columns = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()), strict=True)], ["path", "start", "state", "depth", "logged", "inside"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64()), strict=True)], ["path", "start", "state", "depth", "logged", "inside", "n"])
 
 
 def entries_from(file: Bytes, start: int, size: int, state: int, depth: int, logged: bool, inside: bool, whole: bool = True) -> Iterator[tuple[int, bytes]]:
@@ -379,20 +393,6 @@ def _read(size: int):
     return run
 
 
-def _count(size: int):
-    """How many entries begin in each range, put behind its row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = []
-            for row in batch.to_pylist():
-                with Bytes(row["path"], row["length"]) as file:
-                    counts.append(sum(1 for _ in entries_from(file, row["start"], size, row["state"], row["depth"], row["logged"], row["inside"], whole=False)))
-            yield batch.append_column("n", pa.array(counts, pa.int64()))
-
-    return run
-
-
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["source_id", "range", "place", "offset", "text"])
@@ -432,13 +432,12 @@ def split_entries(spark: SparkSession, path: str, size: int = RANGE) -> DataFram
 def numbered_entries(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     """source_id, entry_index, entry of archives of any size, read as by ``split_entries``.
 
-    What begins in each range is counted between its passes, so a range knows the number of its first entry and entries
-    are neither read twice nor joined.
+    What begins in each range is counted by the pass that finds how it begins, so a range knows the number of its first
+    entry and entries are neither read twice nor joined.
     """
     plan, n = _planned_ranges(spark, path, size)
-    counted = staged(plan.repartition(n, "path", "start").mapInArrow(_count(size), f"{_PLAN}, length bigint, n bigint"))
     ahead = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    before = counted.filter("n > 0").withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
+    before = plan.filter("n > 0").withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
     return _entries(before, n, size).select("source_id", F.col("place").cast("int").alias("entry_index"), "entry")
 
 

@@ -69,6 +69,20 @@ def test_ranges(tmp_path, size):
         assert all(text.encode()[at : at + len(x)] == x for at, x in found)
 
 
+@pytest.mark.parametrize("size", [1, 5, 16, 64, 1000])
+def test_ranges_are_counted_by_the_first_pass(tmp_path, size):
+    """The plan tells how many entries begin in each range, as a pass over them would count them."""
+    rng = random.Random(100 + size)
+    for i in range(20 if size < 4 else 100):
+        path = tmp_path / f"{i}.har"
+        path.write_text(text := document(rng)[0], encoding="utf-8")
+        with S.Bytes(str(path), length := os.path.getsize(path)) as file:
+            ranges = [{"start": at, "ways": [S.scanned(file, at, size, state) for state in (S.OUTSIDE, S.INSIDE, S.ESCAPED)]} for at in range(0, length, size)]
+            for r in next(S._planned([Batch(str(path), ranges)])).to_pylist():
+                known = S.entries_from(file, r["start"], size, r["state"], r["depth"], r["logged"], r["inside"], whole=False)
+                assert r["n"] == sum(1 for _ in known), (text, r)
+
+
 def made_entries(spark, n, sources=2):
     """Entries of several sources, with what JSON has to escape."""
     rows = spark.range(n).select(F.concat(F.lit("s/"), (F.col("id") % sources).cast("string")).alias("source_id"), F.col("id").alias("entry_index"), F.concat(F.lit('{"startedDateTime":"x","time":1.5,"request":{"method":"GET","url":"https://h/'), F.col("id").cast("string"), F.lit('"},"response":{"status":200,"content":{"size":1,"text":"{[\\\\\\" \\u00e9 ]}"}},"_initiator":{"a":[1,"}"]}}')).alias("text"))
